@@ -9,14 +9,16 @@ from __future__ import annotations
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Between two characters that are not white space, before a single space: no token crosses it.
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 
 
 class ChunkTokenizer:
-    """``encode(texts)`` gives each text's ids as the bytes of little-endian unsigned 16-bit integers.
-
-    ``spaced`` tells whether a space belongs to the word after it (byte-level vocabulary) or is dropped.
+    """Ids are unsigned 16-bit integers. ``spaced`` tells whether a space belongs to the word after it (byte-level vocabulary) or is dropped.
     """
 
     def __init__(self, path: str, spaced: bool, most: int = 1_000_000):
@@ -28,37 +30,119 @@ class ChunkTokenizer:
         self.spaced, self.most = spaced, most
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {} if spaced else self.first
+        # a plain word's ids start with the token of its space, or end with a token that closes a word
+        self.edge = np.zeros(1 << 16, bool)
+        for token, i in self.inner.get_vocab(with_added_tokens=False).items():
+            self.edge[i] = token.startswith("Ġ") if spaced else token.endswith("</w>")
+        self.marks = dict(zip(".,\n", self._ids([".", ",", "\n"]), strict=True))
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         # the fast variant gives the same ids without offsets
         found = self.inner.encode_batch_fast(chunks, add_special_tokens=False)
         return [array("H", x.ids).tobytes() for x in found]
 
+    def _words(self, words: list[str], at_once: int = 256) -> list[bytes]:
+        """Ids of plain words, each after a space: many words a call, told apart by their edges."""
+        lead, out = " " * self.spaced, []
+        cuts = range(0, len(words), at_once)
+        for i, x in zip(cuts, self.inner.encode_batch_fast([lead + " ".join(words[i : i + at_once]) for i in cuts], add_special_tokens=False), strict=True):
+            ids = np.array(x.ids, "<u2")
+            at = np.flatnonzero(self.edge[ids]) + (not self.spaced)
+            ends = [*at[1:].tolist(), len(ids)] if self.spaced else at.tolist()
+            starts = at.tolist() if self.spaced else [0, *at[:-1].tolist()]
+            if len(at) != len(words[i : i + at_once]):
+                raise ValueError("words can't be told apart")
+            held = ids.tobytes()
+            out += [held[2 * a : 2 * b] for a, b in zip(starts, ends, strict=True)]
+        return out
+
+    def _parted(self, chunk: str) -> list[tuple[str, str]] | None:
+        """A chunk as lines, each a word and a full stop or comma after it: no token crosses these either."""
+        lines = chunk.split("\n")
+        if len(lines) > 1 and any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+            return None
+        out = []
+        for x in lines:
+            word, tail = (x[:-1], x[-1]) if x[-1:] in (".", ",") else (x, "")
+            if not (word.isascii() and word.isalpha()):
+                word, tail = x, ""
+            elif not self.spaced:
+                word = word.lower()
+            out.append((word, tail))
+        return out
+
+    def _fill(self, chunks: set[str]) -> None:
+        # most new chunks are plain words: straight to the words' path
+        if self.spaced:
+            plain = [x for x in chunks if x.isalpha() and x.isascii()]
+            self.rest.update(zip(plain, self._words(plain), strict=True))
+            chunks = chunks.difference(plain)
+        parted = {x: self._parted(x) for x in chunks}
+        whole = [x for x, p in parted.items() if p is None]
+        lead = " " if self.spaced else ""
+        self.rest.update(zip(whole, self._ids([lead + x for x in whole]), strict=True))
+        parted = {x: p for x, p in parted.items() if p is not None}
+        heads = {p[0][0] for p in parted.values()} | ({w for p in parted.values() for w, _ in p} if not self.spaced else set())
+        heads -= self.rest.keys()
+        plain = [w for w in heads if w.isascii() and w.isalpha()]
+        other = list(heads.difference(plain))
+        self.rest.update(zip(plain, self._words(plain), strict=True))
+        self.rest.update(zip(other, self._ids([lead + x for x in other]), strict=True))
+        if self.spaced:
+            later = list({w for p in parted.values() for w, _ in p[1:]} - self.first.keys())
+            self.first.update(zip(later, self._ids(later), strict=True))
+        line = self.marks["\n"] if self.spaced else b""
+        marks = {"": b""} | self.marks
+        for x, p in parted.items():
+            if x not in self.rest:
+                self.rest[x] = self.rest[p[0][0]] + marks[p[0][1]] + b"".join(line + self.first[w] + marks[m] for w, m in p[1:])
+
     def _odd(self, text: str) -> bytes:
         """A text with runs of white space around a space: cut at the safe places only."""
         return b"".join(self._ids(_SAFE.split(text)))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.rest) > self.most:
+    def _table(self, chunks: list[str]) -> list[bytes | None]:
+        """Ids of distinct chunks; None marks those by which a text is cut at the safe places only."""
+        if len(self.rest) > self.most:
             self.first.clear()
             self.rest.clear()
-        parts = [t.split(" ") for t in texts]
-        new = set().union(*(p[1:] for p in parts)) - self.rest.keys()
+        found = list(map(self.rest.get, chunks))
+        new = [i for i, x in enumerate(found) if x is None]
         if self.spaced:
-            new = {x for x in new if x and not x[0].isspace() and not x[-1].isspace()}
-            heads = [x for x in {p[0] for p in parts} - self.first.keys() if x and not x[-1].isspace()]
-            self.first.update(zip(heads, self._ids(heads), strict=True))
-        else:
-            new |= {p[0] for p in parts} - self.first.keys()
-        new = list(new)
-        self.rest.update(zip(new, self._ids([" " + x for x in new] if self.spaced else new), strict=True))
-        out = []
-        for t, p in zip(texts, parts, strict=True):
-            try:
-                out.append(self.first[p[0]] + b"".join(map(self.rest.__getitem__, p[1:])))
-            except KeyError:
-                out.append(self._odd(t))
-        return out
+            new = [i for i in new if (x := chunks[i]) and not x[0].isspace() and not x[-1].isspace()]
+        self._fill({chunks[i] for i in new})
+        for i in new:
+            found[i] = self.rest[chunks[i]]
+        return found
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's ids begin (and the last one's end)."""
+        lists = pc.split_pattern(texts, " ")
+        cuts = lists.offsets.to_numpy().astype(np.int64)
+        cuts -= cuts[0]
+        coded = lists.flatten().dictionary_encode()
+        at, table = coded.indices.to_numpy(), self._table(coded.dictionary.to_pylist())
+        size = np.fromiter((len(x or b"") // 2 for x in table), np.int64, len(table))
+        n = size[at]
+        if self.spaced:
+            odd = np.flatnonzero(np.fromiter((x is None for x in table), bool, len(table))[at])
+            odd = set((np.searchsorted(cuts, odd, side="right") - 1).tolist())
+            firsts = coded.dictionary.take(coded.indices.take(pa.array(cuts[:-1]))).to_pylist()
+            new = list({x for x in firsts if x not in self.first})
+            self.first.update(zip(new, self._ids(new), strict=True))
+            for i in odd:
+                n[cuts[i] : cuts[i + 1]] = 0
+            # a text's first chunk has no space before it: an entry of its own; of an odd text it is the whole text
+            heads = [self._odd(texts[i].as_py()) if i in odd else self.first[x] for i, x in enumerate(firsts)]
+            at = at.astype(np.int64)
+            at[cuts[:-1]] = len(table) + np.arange(len(heads))
+            table += heads
+            size = np.concatenate([size, np.fromiter((len(x) // 2 for x in heads), np.int64, len(heads))])
+            n[cuts[:-1]] = size[len(size) - len(heads) :]
+        source, start = np.frombuffer(b"".join(x or b"" for x in table), "<u2"), np.cumsum(size) - size
+        ends = np.cumsum(n)
+        ids = source[np.repeat(start[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.concatenate([[0], ends])[cuts]
 
 
 _OPEN: dict[tuple[str, bool], ChunkTokenizer] = {}

@@ -153,16 +153,16 @@ class Places:
 
 def pieces_of(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, capacity: int) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, and which (tells rows of one doc_id apart)."""
-    end = np.array([end_id], "<u2").tobytes()
+    end = np.uint16(end_id)
     schema = pa.schema([("doc_id", pa.int64()), ("which", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = chunk_tokenizer(tokenizer, spaced)
-        for part in (s for b in batches for s in slices(b, "text")):
+        for part in (s for b in batches for s in slices(b, "text", 12_000_000)):
             rows = []
-            found = encoder.encode(part.column("text").to_pylist())
-            for doc_id, which, ids in zip(part.column("doc_id").to_pylist(), part.column("which").to_pylist(), found, strict=True):
-                wide = np.frombuffer(ids + end, "<u2").astype("<u4")
+            ids, at = encoder.encode(part.column("text"))
+            for doc_id, which, x, y in zip(part.column("doc_id").to_pylist(), part.column("which").to_pylist(), at, at[1:], strict=False):
+                wide = np.append(ids[x:y], end).astype("<u4")
                 cuts = [0, *range(len(wide) % capacity or capacity, len(wide) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     rows.append((doc_id, which, k, a, b - a, zlib.crc32(wide[a:b].tobytes())))

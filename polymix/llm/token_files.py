@@ -3,7 +3,7 @@
 Layout of a shard ``NNNNN``:
 
 * ``NNNNN.ids.arrows`` - Arrow IPC stream; columns ``ids`` fixed_size_list<uint16>[L] and ``mask``
-  fixed_size_list<uint8>[L] (1 token, 0 padding). Every batch holds the same number of sequences, so every batch message
+  fixed_size_list<bool>[L] (a token, or padding). Every batch holds the same number of sequences, so every batch message
   has the same length and sequence ``i`` lies at a computed place: a memory map gives it without copying.
 * ``NNNNN.docs.arrows`` - Arrow IPC stream; ``doc_id``, ``start`` (in the shard's ids), ``n_tokens``.
 
@@ -31,7 +31,7 @@ MANIFEST = "shard int, ids_file string, docs_file string, n_docs long, n_tokens
 
 
 def ids_schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint16(), length)), ("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("ids", pa.list_(pa.uint16(), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class ShardWriter:
@@ -52,8 +52,7 @@ class ShardWriter:
         self.n_docs = self.n_tokens = 0
 
     def _flush(self) -> None:
-        mask = np.zeros(self.size, np.uint8)
-        mask[: self.full] = 1
+        mask = np.arange(self.size) < self.full
         self.held[self.full :] = 0
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (self.held, mask)]
         self.ids.write_batch(pa.RecordBatch.from_arrays(columns, schema=ids_schema(self.length)))
@@ -114,10 +113,10 @@ class Shard:
         return cls(pa.memory_map(name) if local else fs.open_input_file(name))
 
     def batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of batch ``k``, (rows, length) each; views of the map where the file is local."""
+        """Ids and mask of batch ``k``, (rows, length) each; the ids are a view of the map where the file is local."""
         self.source.seek(self.first + k * self.stride)
         got = pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
-        return tuple(got.column(c).flatten().to_numpy().reshape(-1, self.length) for c in ("ids", "mask"))
+        return tuple(got.column(c).flatten().to_numpy(zero_copy_only=c == "ids").reshape(-1, self.length) for c in ("ids", "mask"))
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         ids, mask = self.batch(i // self.rows)
@@ -127,7 +126,7 @@ class Shard:
         """The ids without padding, a batch at a time."""
         for k in range(self.batches):
             ids, mask = self.batch(k)
-            yield ids.reshape(-1)[mask.reshape(-1) > 0]
+            yield ids.reshape(-1)[mask.reshape(-1)]
 
 
 def write_token_files(
@@ -144,16 +143,16 @@ def write_token_files(
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).select("doc_id", tie, "text")
     ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie")
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    end = np.array([end_id], "<u2").tobytes()
+    end = np.uint16(end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = chunk_tokenizer(tokenizer, spaced), TaskContext.get().partitionId()
         writer = ShardWriter(uri, shard, length, rows)
         for batch in batches:
-            for part in slices(batch, "text"):
-                found = encoder.encode(part.column("text").to_pylist())
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), found, strict=True):
-                    writer.add(doc_id, np.frombuffer(ids + end, "<u2"))
+            for part in slices(batch, "text", 12_000_000):
+                ids, cuts = encoder.encode(part.column("text"))
+                for doc_id, a, b in zip(part.column("doc_id").to_pylist(), cuts, cuts[1:], strict=False):
+                    writer.add(doc_id, np.append(ids[a:b], end))
         names = writer.close()
         yield pa.RecordBatch.from_pylist([{"shard": shard, "ids_file": names[0], "docs_file": names[1], "n_docs": writer.n_docs, "n_tokens": writer.n_tokens}], schema=pa.schema([("shard", pa.int32()), ("ids_file", pa.string()), ("docs_file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
