@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, line_dedup, packing, pieces, secrets, token_files
+from . import exact_dedup, langid, line_dedup, packing, pieces, pii, secrets, token_files
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), spaced=True, end_id=0)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan_pii(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
@@ -39,7 +43,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_secrets, op4_packing, op7_sentencepiece, op9_language_id, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_secrets, op4_packing, op5_pii, op7_sentencepiece, op9_language_id, op10_line_dedup)}
 
 ORACLES = {
     "op2_exact_dedup": """
