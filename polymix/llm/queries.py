@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, line_dedup, packing, pieces, pii, secrets, token_files
+from . import exact_dedup, langid, line_dedup, ngram_join, packing, pieces, pii, secrets, token_files
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_secrets, op4_packing, op5_pii, op7_sentencepiece, op9_language_id, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_secrets, op4_packing, op5_pii, op7_sentencepiece, op8_ngram_jaccard_join, op9_language_id, op10_line_dedup)}
 
 ORACLES = {
     "op2_exact_dedup": """
