@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, line_dedup, ngram_join, packing, pieces, pii, secrets, token_files
+from . import exact_dedup, langid, line_dedup, ngram_join, packing, pieces, pii, secrets, token_files, topk
 from .common import table
 
 
@@ -31,6 +32,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_pii(table(spark, sf_dir, "documents"))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
@@ -47,12 +52,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_secrets, op4_packing, op5_pii, op7_sentencepiece, op8_ngram_jaccard_join, op9_language_id, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_secrets, op4_packing, op5_pii, op6_top_k, op7_sentencepiece, op8_ngram_jaccard_join, op9_language_id, op10_line_dedup)}
 
 ORACLES = {
     "op2_exact_dedup": """
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
        doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
 from documents window w as (partition by coalesce(text, ''))""",
+    "op6_top_k": topk.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
