@@ -1,8 +1,61 @@
-"""Corpus pipeline (stages are added as their operators land)."""
+"""Corpus pipeline over ``documents``: five stages, each written as Parquet and read again by the next."""
 
-STAGES = []
-ORACLE_SQL = None
+from __future__ import annotations
+
+import public_tokenizers
+from polymix.llm import exact_dedup, langid, ngram_join, packing, pii
+from polymix.llm.common import saved, shared_dir
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A document is rejected below this score, or without a letter.
+LEAST_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told; ``lang`` becomes the prediction."""
+    found = langid.predict(docs, langid.fit(docs, F.lit(True)), keep=tuple(docs.columns))
+    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text. The stream reads files, so the stage's input goes to the shared folder first where it
+    isn't a folder of files already."""
+    path = shared_dir(spark, "docs")
+    docs.write.parquet(path)
+    found = exact_dedup.exact_dedup(spark, path, text=True)
+    return found.filter("kept").select(*COLUMNS)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one that gives the group its id."""
+    found = ngram_join.jaccard_components(docs, width=5, percent=80)
+    stay = saved(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "stay").distinct()
+    return docs.join(stay, docs.doc_id.eqNullSafe(stay.doc_id), "left_semi").select(*COLUMNS)
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind."""
+    found = pii.scan_pii(docs, keep=tuple(docs.columns))
+    text = F.when(F.col("text").isNotNull(), F.col("masked"))
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), spaced=True, end_id=0)
+
+
+STAGES = [("language_id", language_id), ("exact_dedup", exact), ("ngram_jaccard_join", near), ("pii", personal_data), ("packing", packed)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: The classifier, the field and the plan have no SQL.
+ORACLE_SQL = None
