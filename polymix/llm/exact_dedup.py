@@ -45,13 +45,17 @@ def digest_states(spark: SparkSession, path: str, digest: Digest = sha256, files
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, ROCKSDB)
+    # many small states: no space is set aside for their logs
+    settings = {provider: ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         query = states.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     found = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out) if query.lastProgress or query.recentProgress else spark.createDataFrame([], schema)
     # a state only grows: its last version has the largest of both
     last = found.groupBy("digest").agg(F.max("at").alias("at"), F.max("n").alias("n"))
