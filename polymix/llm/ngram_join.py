@@ -30,7 +30,7 @@ BROADCAST_ROWS = 1_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Odd, so that its powers can be divided out.
 _P = 0x100000001B3 * 0x9E3779B1 % (1 << 64) | 1
-_SALTS = np.array([0, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+_SALTS = np.array([k * 0xD6E8FEB86659FD93 % (1 << 64) for k in range(12)], np.uint64)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -141,7 +141,7 @@ def described(base: DataFrame, width: int, percent: int) -> DataFrame:
                 n = len(s)
                 rank = table[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)] << np.uint64(32) | s >> np.uint64(32)
                 prefix = s[np.argsort(rank, kind="stable")[: n + (-n * percent // 100) + 1 if n else 0]].view(np.int64)
-                stars = [int(_mix(s ^ x).min().view(np.int64)) for x in _SALTS[:STARS]] if n else []
+                stars = [int(_mix(s ^ x).min().view(np.int64)) for x in _SALTS] if n else []
                 rows.append((n, digest(s), digest(prefix), prefix, stars))
             columns = list(zip(*rows, strict=True))
             types = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -158,19 +158,19 @@ def _fits(a: str, b: str, percent: int):
 def verified(pairs: DataFrame, base: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of class ids whose whole sets link."""
     pairs = saved(pairs, "pairs")
-    needed = saved(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "needed")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    # a doc_id with several texts may name several classes: the one with the smallest digest stands for it
+    needed = saved(classes.join(needed, "cid", "left_semi").groupBy("cid").agg(F.min("whole").alias("whole")), "needed")
     few = needed.count() <= BROADCAST_ROWS
-    texts = base.withColumnRenamed("doc_id", "cid").join(F.broadcast(needed) if few else needed, "cid", "left_semi")
+    texts = base.withColumnRenamed("doc_id", "cid").join(F.broadcast(needed) if few else needed, "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _per_text(batches, width):
-            whole = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column("cid"), pa.array(whole, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "whole", "members"])
+            own = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == w for s, w in zip(sets, part.column("whole").to_pylist(), strict=True)]
+            made = pa.RecordBatch.from_arrays([part.column("cid"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "members"])
+            yield made.filter(pa.array(own, pa.bool_()))
 
-    made = texts.mapInArrow(run, "cid long, whole binary, members binary")
-    # rows may repeat a doc_id with another text: only the class's own set counts, once
-    made = made.join(classes.select("cid", "whole").join(needed, "cid", "left_semi"), ["cid", "whole"], "left_semi")
-    made = saved(made.groupBy("cid").agg(F.min_by("members", "whole").alias("members")), "sets")
+    made = texts.mapInArrow(run, "cid long, members binary")
     both = pairs.join(made.select(F.col("cid").alias("a"), F.col("members").alias("of_a")), "a").join(made.select(F.col("cid").alias("b"), F.col("members").alias("of_b")), "b")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,18 +211,27 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     table gives no rows; other columns are ignored.
     """
     base = _documents(docs)
+    if base.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        base = base.dropDuplicates(["doc_id", "text"])
     rows = saved(described(base, width, percent), "rows")
-    classes = saved(rows.filter("n > 0").groupBy("whole", "head", "n").agg(F.min("doc_id").alias("cid"), F.first("prefix").alias("prefix"), F.first("stars").alias("stars")), "classes")
-    stars = classes.select("cid", "n", F.posexplode("stars").alias("k", "star"))
-    centres = stars.groupBy("k", "star").agg(F.min(F.struct("cid", "n")).alias("c"), F.count("*").alias("m")).filter("m > 1")
-    centres = centres.select("k", "star", F.col("c.cid").alias("a"), F.col("c.n").alias("na"))
+    classes = rows.filter("n > 0").groupBy("whole", "head", "n").agg(F.min("doc_id").alias("cid"), F.first("stars").alias("stars"))
+    classes = saved(classes, "classes")
+    stars = classes.select("cid", "n", "stars", F.posexplode(F.slice("stars", 1, STARS)).alias("k", "star"))
+    centres = stars.groupBy("k", "star").agg(F.min(F.struct("cid", "n", "stars")).alias("c"), F.count("*").alias("m")).filter("m > 1")
+    centres = centres.select("k", "star", F.col("c.cid").alias("a"), F.col("c.n").alias("na"), F.col("c.stars").alias("of_a"))
     spokes = stars.join(centres, ["k", "star"]).filter((F.col("a") < F.col("cid")) & _fits("n", "na", percent))
+    # a star only saves work: pairs whose smallest hashes mostly differ are left to the exact step
+    alike = F.size(F.filter(F.zip_with("stars", "of_a", lambda p, q: p == q), lambda e: e))
+    spokes = spokes.filter(alike >= len(_SALTS) // 2)
     linked = verified(spokes.select("a", F.col("cid").alias("b")).distinct(), base, classes, width, percent)
     labels = linked.groupBy(F.col("b").alias("cid")).agg(F.min("a").alias("label"))
     classes = saved(classes.drop("stars").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "labelled")
 
-    groups = classes.groupBy("head", "n").agg(F.min("cid").alias("gid"), F.first("prefix").alias("prefix"), F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
-    tokens = groups.select("gid", "n", "low", "high", F.posexplode("prefix").alias("pos", "token"))
+    groups = classes.groupBy("head", "n").agg(F.min("cid").alias("gid"), F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
+    groups = saved(groups, "groups")
+    # the group's prefix comes from the row of the document that names it
+    heads = rows.select("head", "n", F.col("doc_id").alias("gid"), "prefix").join(groups.drop("m"), ["head", "n", "gid"])
+    tokens = heads.select("gid", "n", "low", "high", F.posexplode("prefix").alias("pos", "token"))
     of = Window.partitionBy("token")
     tokens = tokens.withColumns({"g": F.count("*").over(of), "least_label": F.min("low").over(of), "most_label": F.max("high").over(of)})
     tokens = tokens.filter("g > 1 and least_label < most_label").drop("g", "least_label", "most_label")
@@ -239,6 +248,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     more = verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), base, classes, width, percent)
 
     reach = components(linked.union(more))
+    if rows.count() != (all_rows := _documents(docs)).count():  # rows that were repeated
+        rows = saved(described(all_rows, width, percent), "rows")
     own = rows.join(classes.select("whole", "cid"), "whole", "left").join(reach, F.col("cid") == F.col("node"), "left")
     null = lambda c: F.when(c > -(1 << 63), c)
     return own.select(null(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("component", "cid", "doc_id")).alias("component_id"))
