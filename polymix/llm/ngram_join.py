@@ -6,8 +6,8 @@
 2. Documents with equal sets are one class, classes with equal prefixes and sizes one group.
 3. Stars: classes that share the smallest hash of one of some permutations are compared with one of them. A class takes the
    label of a centre that it is linked to, so the members of a large cluster of near copies need not be paired.
-4. Groups that share a token of their prefixes, fit in size and position and don't have one label alone are candidates.
-   Tokens whose groups all have one label are dropped before the join.
+4. Groups that share a token of their prefixes, fit in size and position and don't have one label alone are candidates, if they share
+   as many tokens of their prefixes as a link needs. Tokens whose groups all have one label are dropped before the join.
 5. Candidates are expanded to their classes and verified on their whole sets, which are made again from the texts.
 """
 
@@ -239,12 +239,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     need = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent) - 1e-9)
     room = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
     differ = (F.col("low_x") < F.col("high_y")) | (F.col("low_y") < F.col("high_x"))
-    found = x.join(y, "token").filter((F.col("gid_x") < F.col("gid_y")) & _fits("n_x", "n_y", percent) & (room >= need) & differ)
-    found = found.select(F.col("gid_x").alias("x"), F.col("gid_y").alias("y")).union(groups.filter("m > 1 and low < high").select(F.col("gid").alias("x"), F.col("gid").alias("y")))
+    found = x.join(y, "token").filter((F.col("gid_x") < F.col("gid_y")) & _fits("n_x", "n_y", percent) & differ)
+    shared = found.groupBy("gid_x", "gid_y").agg(F.count("*").alias("c"), F.max(room >= need).alias("fits"), F.first("n_x").alias("n_x"), F.first("n_y").alias("n_y"))
+    # of the prefix that ends first, tokens not shared are in no part of the other set
+    rest = lambda n: F.expr(f"({n} * {percent} + 99) div 100") - 1
+    shared = shared.filter(F.col("fits") & (F.col("c") + F.greatest(rest("n_x"), rest("n_y")) >= need))
+    found = shared.select(F.col("gid_x").alias("x"), F.col("gid_y").alias("y")).union(groups.filter("m > 1 and low < high").select(F.col("gid").alias("x"), F.col("gid").alias("y")))
     members = classes.join(groups.select("head", "n", "gid"), ["head", "n"]).select("gid", "cid", "label")
     a = members.select(F.col("gid").alias("x"), F.col("cid").alias("a"), F.col("label").alias("of_a"))
     b = members.select(F.col("gid").alias("y"), F.col("cid").alias("b"), F.col("label").alias("of_b"))
-    pairs = found.distinct().join(a, "x").join(b, "y").filter((F.col("of_a") != F.col("of_b")) & ((F.col("x") != F.col("y")) | (F.col("a") < F.col("b"))))
+    pairs = found.join(a, "x").join(b, "y").filter((F.col("of_a") != F.col("of_b")) & ((F.col("x") != F.col("y")) | (F.col("a") < F.col("b"))))
     more = verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), base, classes, width, percent)
 
     reach = components(linked.union(more))
