@@ -4,8 +4,8 @@
    order (rare before frequent). A document's prefix is the start of its set in that order, long enough that linked documents
    share a part of it.
 2. Documents with equal sets are one class, classes with equal prefixes and sizes one group.
-3. Stars: classes that share the smallest hash of one of some permutations are compared with one of them. A class takes the
-   label of a centre that it is linked to, so the members of a large cluster of near copies need not be paired.
+3. Stars: classes that share the smallest hash of one of some permutations are compared with one of them. All classes that
+   these links join take one label, so the members of a large cluster of near copies need not be paired.
 4. Groups that share a token of their prefixes, fit in size and position and don't have one label alone are candidates, if they share
    as many tokens of their prefixes as a link needs. Tokens whose groups all have one label are dropped before the join.
 5. Candidates are expanded to their classes and verified on their whole sets, which are made again from the texts.
@@ -224,7 +224,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     alike = F.size(F.filter(F.zip_with("stars", "of_a", lambda p, q: p == q), lambda e: e))
     spokes = spokes.filter(alike >= len(_SALTS) // 2)
     linked = verified(spokes.select("a", F.col("cid").alias("b")).distinct(), base, classes, width, percent)
-    labels = linked.groupBy(F.col("b").alias("cid")).agg(F.min("a").alias("label"))
+    labels = components(linked).select(F.col("node").alias("cid"), F.col("component").alias("label"))
     classes = saved(classes.drop("stars").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "labelled")
 
     groups = classes.groupBy("head", "n").agg(F.min("cid").alias("gid"), F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
@@ -237,13 +237,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     tokens = tokens.filter("g > 1 and least_label < most_label").drop("g", "least_label", "most_label")
     x, y = (tokens.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "low", "high", "pos"))) for s in "xy")
     need = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent) - 1e-9)
-    room = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
     differ = (F.col("low_x") < F.col("high_y")) | (F.col("low_y") < F.col("high_x"))
-    found = x.join(y, "token").filter((F.col("gid_x") < F.col("gid_y")) & _fits("n_x", "n_y", percent) & differ)
-    shared = found.groupBy("gid_x", "gid_y").agg(F.count("*").alias("c"), F.max(room >= need).alias("fits"), F.first("n_x").alias("n_x"), F.first("n_y").alias("n_y"))
-    # of the prefix that ends first, tokens not shared are in no part of the other set
-    rest = lambda n: F.expr(f"({n} * {percent} + 99) div 100") - 1
-    shared = shared.filter(F.col("fits") & (F.col("c") + F.greatest(rest("n_x"), rest("n_y")) >= need))
+    # a pair meets where its first shared token may lie: enough tokens must be left from there on
+    room = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
+    found = x.join(y, "token").filter((F.col("gid_x") < F.col("gid_y")) & _fits("n_x", "n_y", percent) & differ & (room >= need))
+    shared = found.groupBy("gid_x", "gid_y").agg(F.count("*").alias("c"), F.min(room).alias("left"), F.first("n_x").alias("n_x"), F.first("n_y").alias("n_y"))
+    # what is shared up to the last of these places, and all that is left after it, must do
+    shared = shared.filter(F.col("c") + F.col("left") - 1 >= need)
     found = shared.select(F.col("gid_x").alias("x"), F.col("gid_y").alias("y")).union(groups.filter("m > 1 and low < high").select(F.col("gid").alias("x"), F.col("gid").alias("y")))
     members = classes.join(groups.select("head", "n", "gid"), ["head", "n"]).select("gid", "cid", "label")
     a = members.select(F.col("gid").alias("x"), F.col("cid").alias("a"), F.col("label").alias("of_a"))
@@ -251,7 +251,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     pairs = found.join(a, "x").join(b, "y").filter((F.col("of_a") != F.col("of_b")) & ((F.col("x") != F.col("y")) | (F.col("a") < F.col("b"))))
     more = verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), base, classes, width, percent)
 
-    reach = components(linked.union(more))
+    reach = components(labels.filter("label < cid").select(F.col("label").alias("a"), F.col("cid").alias("b")).union(more))
     if rows.count() != (all_rows := _documents(docs)).count():  # rows that were repeated
         rows = saved(described(all_rows, width, percent), "rows")
     own = rows.join(classes.select("whole", "cid"), "whole", "left").join(reach, F.col("cid") == F.col("node"), "left")
