@@ -43,6 +43,16 @@ def start(y: DataFrame, s: Settings) -> Hyper:
     return Hyper(0, 0.0, float(np.random.Generator(np.random.Philox(key=s.seed)).beta(1, 1)), 0.5 * r.yy / r.n, pi)
 
 
+def numerators(geno: DataFrame, marker: DataFrame, eps: DataFrame, beta: DataFrame, n: int) -> DataFrame:
+    """``marker`` with its row of ``beta`` and num: the product of its standardised column with the residual, its own effect put back."""
+    total = eps.agg(F.sum("e")).first()[0]
+    cells = geno.join(marker, "marker_id").join(eps, "ind_id")
+    x = F.when(F.col("d").isNull(), F.col("mave")).otherwise(F.col("d"))
+    dots = cells.groupBy("marker_id").agg(F.sum(x * F.col("e")).alias("xe"))
+    num = F.col("mstd") * (F.coalesce("xe", F.lit(0.0)) - F.col("mave") * F.lit(total)) + F.col("beta") * F.lit(n - 1.0)
+    return marker.join(dots, "marker_id", "left").join(beta, "marker_id").withColumn("num", num)
+
+
 def iterate(geno: DataFrame, marker: DataFrame, eps: DataFrame, beta: DataFrame, h: Hyper, s: Settings, save) -> tuple[DataFrame, DataFrame, Hyper]:
     """One sweep. ``marker``: marker_id, mave, mstd; ``eps``: ind_id, e; ``beta``: marker_id, beta, component. ``save`` writes a
     DataFrame to the shared folder and reads it back, which cuts lineage."""
@@ -55,13 +65,7 @@ def iterate(geno: DataFrame, marker: DataFrame, eps: DataFrame, beta: DataFrame,
     window = F.pmod(F.xxhash64(F.lit(s.seed), F.lit(it), "marker_id"), F.lit(s.windows))
     for w in range(s.windows):
         mine = marker.filter(window == w)
-        total = eps.agg(F.sum("e")).first()[0]
-        cells = geno.join(mine, "marker_id").join(eps, "ind_id")
-        x = F.when(F.col("d").isNull(), F.col("mave")).otherwise(F.col("d"))
-        dots = cells.groupBy("marker_id").agg(F.sum(x * F.col("e")).alias("xe"))
-        now = mine.join(dots, "marker_id", "left").join(beta, "marker_id")
-        num = F.col("mstd") * (F.coalesce("xe", F.lit(0.0)) - F.col("mave") * F.lit(total)) + F.col("beta") * F.lit(n - 1.0)
-        now = now.withColumn("num", num)
+        now = numerators(geno, mine, eps, beta, n)
         logs, means = mixture.log_weights(F.col("num"), n, h.sigma_g, h.sigma_e, list(h.pi), list(s.scale))
         now = now.withColumn("k", mixture.chosen(logs, mixture.uniform(s.seed, it, F.col("marker_id"))))
         new = F.lit(0.0)

@@ -477,3 +477,17 @@ def gibbs_run_short(spark, sf_dir):
 
 
 QUERIES["gibbs_run_short"] = gibbs_run_short
+
+
+def horseshoe_run_short(spark, sf_dir):
+    """Two sweeps of the horseshoe chain; the hyper-parameters of each. Random draws: rows are checked by invariants in the tests."""
+    from ..operators import horseshoe
+    from ..sources.scratch import saver
+
+    d = Domain(spark, sf_dir)
+    _, trace = horseshoe.run(d.genotype(), d.phenotype(), 2, horseshoe.Settings(windows=2), saver(spark))
+    rows = [(h.iteration, h.mu, h.sigma_g, h.sigma_e, h.tau, h.slab, h.m0, h.h2) for h in trace]
+    return spark.createDataFrame(rows, "iter int, mu double, sigma_g double, sigma_e double, tau double, slab double, m0 int, h2 double")
+
+
+QUERIES["horseshoe_run_short"] = horseshoe_run_short

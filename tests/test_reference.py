@@ -53,12 +53,16 @@ def test_readers_and_bed(spark, tmp_path):
     assert sorted(map(tuple, stats.unpack(back, 11).collect()), key=str) == sorted(cells, key=str)
 
 
-def test_chain_keeps_the_residual_and_resumes(spark):
-    from polymix.operators import gibbs, stats
+@pytest.mark.parametrize("model", ["gibbs", "horseshoe"])
+def test_chain_keeps_the_residual_and_resumes(spark, model):
+    import importlib
+
+    from polymix.operators import stats
     from polymix.sources.adapter import Domain
     from polymix.sources.scratch import saver
     from pyspark.sql import functions as F
 
+    gibbs = importlib.import_module(f"polymix.operators.{model}")
     d, s = Domain(spark, SF), gibbs.Settings(windows=2)
     geno, y = d.genotype(), d.phenotype()
     whole, trace = gibbs.run(geno, y, 2, s, saver(spark))
