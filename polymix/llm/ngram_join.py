@@ -6,8 +6,9 @@
 2. Documents with equal sets are one class, classes with equal prefixes and sizes one group.
 3. Stars: classes that share the smallest hash of one of some permutations are compared with one of them. All classes that
    these links join take one label, so the members of a large cluster of near copies need not be paired.
-4. Groups that share a token of their prefixes, fit in size and position and don't have one label alone are candidates, if they share
-   as many tokens of their prefixes as a link needs. Tokens whose groups all have one label are dropped before the join.
+4. Groups that share a token of their prefixes, fit in size and don't have one label alone meet at places where their first shared
+   token may lie, and are candidates if what they share there and all that is left can make a link. Tokens whose groups
+   all have one label are dropped before the join.
 5. Candidates are expanded to their classes and verified on their whole sets, which are made again from the texts.
 """
 
