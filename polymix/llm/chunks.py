@@ -15,10 +15,31 @@ import pyarrow.compute as pc
 
 #: Between two characters that are not white space, before a single space: no token crosses it.
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
+#: Without the dotted capital I, whose lower case holds a mark.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+#: Latin letters, then ASCII marks but the apostrophe: no token crosses from the letters to the marks.
+_WORD = f"^(?P<word>[{_LETTERS}]+)(?P<marks>[!-&(-/:-@\\[-`{{-~]*)$"
+_PLAIN = re.compile(f" ?[{_LETTERS}]+")
+
+
+def _taken(source: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries ``at`` of a table, in a row, and their sizes; entry k is the k-th run of ``source``, ``size[k]`` long."""
+    n = size[at]
+    ends = np.cumsum(n)
+    start = (np.cumsum(size) - size)[at]
+    return source[np.repeat(start - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], n
+
+
+def _sums(n: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sums of ``n`` between cuts."""
+    return np.diff(np.concatenate([[0], np.cumsum(n)])[cuts])
 
 
 class ChunkTokenizer:
     """Ids are unsigned 16-bit integers. ``spaced`` tells whether a space belongs to the word after it (byte-level vocabulary) or is dropped.
+
+    A text is cut at its spaces, each distinct chunk at its line ends, a line into a word and the marks after it; each distinct
+    word and run of marks is looked up once a batch.
     """
 
     def __init__(self, path: str, spaced: bool, most: int = 1_000_000):
@@ -28,13 +49,11 @@ class ChunkTokenizer:
         if self.inner.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit 16 bits")
         self.spaced, self.most = spaced, most
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {} if spaced else self.first
+        self.seen: dict[str, bytes] = {"": b""}
         # a plain word's ids start with the token of its space, or end with a token that closes a word
         self.edge = np.zeros(1 << 16, bool)
         for token, i in self.inner.get_vocab(with_added_tokens=False).items():
             self.edge[i] = token.startswith("Ġ") if spaced else token.endswith("</w>")
-        self.marks = dict(zip(".,\n", self._ids([".", ",", "\n"]), strict=True))
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         # the fast variant gives the same ids without offsets
@@ -42,78 +61,69 @@ class ChunkTokenizer:
         return [array("H", x.ids).tobytes() for x in found]
 
     def _words(self, words: list[str], at_once: int = 256) -> list[bytes]:
-        """Ids of plain words, each after a space: many words a call, told apart by their edges."""
-        lead, out = " " * self.spaced, []
-        cuts = range(0, len(words), at_once)
-        for i, x in zip(cuts, self.inner.encode_batch_fast([lead + " ".join(words[i : i + at_once]) for i in cuts], add_special_tokens=False), strict=True):
+        """Ids of plain words (each with its space, where it has one): many words a call, told apart by their edges."""
+        out, parts = [], [words[i : i + at_once] for i in range(0, len(words), at_once)]
+        between = "" if self.spaced else " "
+        for part, x in zip(parts, self.inner.encode_batch_fast([between.join(p) for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(x.ids, "<u2")
             at = np.flatnonzero(self.edge[ids]) + (not self.spaced)
-            ends = [*at[1:].tolist(), len(ids)] if self.spaced else at.tolist()
-            starts = at.tolist() if self.spaced else [0, *at[:-1].tolist()]
-            if len(at) != len(words[i : i + at_once]):
-                raise ValueError("words can't be told apart")
+            if len(at) != len(part):  # a letter that becomes several, for one
+                out += self._ids(part)
+                continue
+            cuts = [*(2 * at).tolist(), 2 * len(ids)] if self.spaced else [0, *(2 * at).tolist()]
             held = ids.tobytes()
-            out += [held[2 * a : 2 * b] for a, b in zip(starts, ends, strict=True)]
-        return out
-
-    def _parted(self, chunk: str) -> list[tuple[str, str]] | None:
-        """A chunk as lines, each a word and a full stop or comma after it: no token crosses these either."""
-        lines = chunk.split("\n")
-        if len(lines) > 1 and any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
-            return None
-        out = []
-        for x in lines:
-            word, tail = (x[:-1], x[-1]) if x[-1:] in (".", ",") else (x, "")
-            if not (word.isascii() and word.isalpha()):
-                word, tail = x, ""
-            elif not self.spaced:
-                word = word.lower()
-            out.append((word, tail))
+            out += [held[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         return out
 
-    def _fill(self, chunks: set[str]) -> None:
-        # most new chunks are plain words: straight to the words' path
-        if self.spaced:
-            plain = [x for x in chunks if x.isalpha() and x.isascii()]
-            self.rest.update(zip(plain, self._words(plain), strict=True))
-            chunks = chunks.difference(plain)
-        parted = {x: self._parted(x) for x in chunks}
-        whole = [x for x, p in parted.items() if p is None]
-        lead = " " if self.spaced else ""
-        self.rest.update(zip(whole, self._ids([lead + x for x in whole]), strict=True))
-        parted = {x: p for x, p in parted.items() if p is not None}
-        heads = {p[0][0] for p in parted.values()} | ({w for p in parted.values() for w, _ in p} if not self.spaced else set())
-        heads -= self.rest.keys()
-        plain = [w for w in heads if w.isascii() and w.isalpha()]
-        other = list(heads.difference(plain))
-        self.rest.update(zip(plain, self._words(plain), strict=True))
-        self.rest.update(zip(other, self._ids([lead + x for x in other]), strict=True))
-        if self.spaced:
-            later = list({w for p in parted.values() for w, _ in p[1:]} - self.first.keys())
-            self.first.update(zip(later, self._ids(later), strict=True))
-        line = self.marks["\n"] if self.spaced else b""
-        marks = {"": b""} | self.marks
-        for x, p in parted.items():
-            if x not in self.rest:
-                self.rest[x] = self.rest[p[0][0]] + marks[p[0][1]] + b"".join(line + self.first[w] + marks[m] for w, m in p[1:])
-
-    def _odd(self, text: str) -> bytes:
-        """A text with runs of white space around a space: cut at the safe places only."""
-        return b"".join(self._ids(_SAFE.split(text)))
-
-    def _table(self, chunks: list[str]) -> list[bytes | None]:
-        """Ids of distinct chunks; None marks those by which a text is cut at the safe places only."""
-        if len(self.rest) > self.most:
-            self.first.clear()
-            self.rest.clear()
-        found = list(map(self.rest.get, chunks))
-        new = [i for i, x in enumerate(found) if x is None]
+    def _look(self, keys: list[str]) -> list[bytes]:
+        """Ids of distinct strings, each taken as a text of its own."""
+        if len(self.seen) > self.most:
+            self.seen = {"": b""}
+        found = list(map(self.seen.get, keys))
+        new = [k for k, x in zip(keys, found, strict=True) if x is None]
+        plain, other = [], []
+        for k in new:
+            (plain if _PLAIN.fullmatch(k) and k.startswith(" ") == self.spaced else other).append(k)
+        self.seen.update(zip(plain, self._words(plain), strict=True))
+        self.seen.update(zip(other, self._ids(other), strict=True))
+        return [self.seen[k] if x is None else x for k, x in zip(keys, found, strict=True)]
+
+    def _table(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct chunks in a row, how many each has, and which are odd: those by which a text is cut at the safe
+        places only."""
+        lines = pc.split_pattern(chunks, "\n")
+        cuts = lines.offsets.to_numpy().astype(np.int64)
+        line = lines.flatten()
+        parted = pc.extract_regex(line, _WORD)
+        fits = parted.is_valid().to_numpy(zero_copy_only=False)
+        word, marks = pc.struct_field(parted, "word"), pc.fill_null(pc.struct_field(parted, "marks"), "")
+        odd = np.zeros(len(chunks), bool)
         if self.spaced:
-            new = [i for i in new if (x := chunks[i]) and not x[0].isspace() and not x[-1].isspace()]
-        self._fill({chunks[i] for i in new})
-        for i in new:
-            found[i] = self.rest[chunks[i]]
-        return found
+            whole = np.flatnonzero(_sums(~fits, cuts) > 0)
+            texts = chunks.take(pa.array(whole)).to_pylist()
+            odd[whole] = [not x or x[0].isspace() or x[-1].isspace() for x in texts]
+            lead = np.zeros(len(line), bool)
+            lead[cuts[:-1]] = True
+            word = pc.if_else(pa.array(lead), pc.binary_join_element_wise(" ", word, ""), word)
+            # a chunk with a line that is no word and marks is one entry
+            inside = np.repeat(np.isin(np.arange(len(chunks)), whole), np.diff(cuts))
+            keep = ~inside | lead
+            of_lead = np.full(len(chunks), "", object)
+            of_lead[whole] = ["" if o else " " + x for o, x in zip(odd[whole], texts, strict=True)]
+            word = pc.if_else(pa.array(inside), pa.array(np.repeat(of_lead, np.diff(cuts)), pa.string()), word)
+            marks = pc.if_else(pa.array(inside), "", marks)
+            word, marks, lead = word.filter(pa.array(keep)), marks.filter(pa.array(keep)), lead[keep]
+            cuts = np.concatenate([[0], np.cumsum(_sums(keep, cuts))])
+        else:
+            word = pc.if_else(pa.array(fits), pc.ascii_lower(word), line)
+            lead = np.ones(len(line), bool)
+        keys = pa.chunked_array([pa.array(["", "\n"]), word, marks]).combine_chunks().dictionary_encode()
+        ids = self._look(keys.dictionary.to_pylist())
+        at = keys.indices.to_numpy()
+        at = np.stack([np.where(lead, at[0], at[1]), at[2 : 2 + len(lead)], at[2 + len(lead) :]], 1).reshape(-1)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        source, n = _taken(np.frombuffer(b"".join(ids), "<u2"), size, at)
+        return source, _sums(n, 3 * cuts), odd
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's ids begin (and the last one's end)."""
@@ -121,28 +131,20 @@ class ChunkTokenizer:
         cuts = lists.offsets.to_numpy().astype(np.int64)
         cuts -= cuts[0]
         coded = lists.flatten().dictionary_encode()
-        at, table = coded.indices.to_numpy(), self._table(coded.dictionary.to_pylist())
-        size = np.fromiter((len(x or b"") // 2 for x in table), np.int64, len(table))
-        n = size[at]
-        if self.spaced:
-            odd = np.flatnonzero(np.fromiter((x is None for x in table), bool, len(table))[at])
-            odd = set((np.searchsorted(cuts, odd, side="right") - 1).tolist())
-            firsts = coded.dictionary.take(coded.indices.take(pa.array(cuts[:-1]))).to_pylist()
-            new = list({x for x in firsts if x not in self.first})
-            self.first.update(zip(new, self._ids(new), strict=True))
-            for i in odd:
-                n[cuts[i] : cuts[i + 1]] = 0
+        at = coded.indices.to_numpy().astype(np.int64)
+        source, size, odd = self._table(coded.dictionary)
+        if self.spaced and len(texts):
             # a text's first chunk has no space before it: an entry of its own; of an odd text it is the whole text
-            heads = [self._odd(texts[i].as_py()) if i in odd else self.first[x] for i, x in enumerate(firsts)]
-            at = at.astype(np.int64)
-            at[cuts[:-1]] = len(table) + np.arange(len(heads))
-            table += heads
-            size = np.concatenate([size, np.fromiter((len(x) // 2 for x in heads), np.int64, len(heads))])
-            n[cuts[:-1]] = size[len(size) - len(heads) :]
-        source, start = np.frombuffer(b"".join(x or b"" for x in table), "<u2"), np.cumsum(size) - size
-        ends = np.cumsum(n)
-        ids = source[np.repeat(start[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.concatenate([[0], ends])[cuts]
+            odd = np.zeros(len(texts), bool) | (_sums(odd[at], cuts) > 0)
+            firsts = coded.dictionary.take(coded.indices.take(pa.array(cuts[:-1]))).to_pylist()
+            known = dict(zip(u := list(set(firsts)), self._ids(u), strict=True))
+            heads = [b"".join(self._ids(_SAFE.split(texts[i].as_py()))) if o else known[x] for i, (x, o) in enumerate(zip(firsts, odd, strict=True))]
+            at[np.repeat(odd, np.diff(cuts))] = len(size) + len(heads)
+            at[cuts[:-1]] = len(size) + np.arange(len(heads))
+            source = np.concatenate([source, np.frombuffer(b"".join(heads), "<u2")])
+            size = np.concatenate([size, np.fromiter(map(len, heads), np.int64, len(heads)) // 2, [0]])
+        ids, n = _taken(source, size, at)
+        return ids, np.concatenate([[0], np.cumsum(n)])[cuts]
 
 
 _OPEN: dict[tuple[str, bool], ChunkTokenizer] = {}
