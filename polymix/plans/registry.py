@@ -308,10 +308,14 @@ def weibull_init(d):
 @query("""select g.marker_id, round(any_value(mstd) * (sum(case when d = 1 then fail when d = 2 then 2 * fail else 0 end) - any_value(mave) * any_value(sf)), 4) as sum_failure
 from geno g join fail f on g.ind_id = f.ind_id join st on st.marker_id = g.marker_id, (select sum(fail) as sf from fail) group by g.marker_id""")
 def failure_sums(d):
+    return rounded(failures(d), sum_failure=4)
+
+
+def failures(d: Domain) -> DataFrame:
     v, n = d.failure().select("ind_id", F.col("fail").cast("double").alias("f")), d.individuals().count()
     total = v.agg(F.sum("f")).first()[0] or 0.0
     s = stats.marker_dot(d.genotype(), v, n, "f")
-    return s.select("marker_id", F.round(F.col("mstd") * (F.col("s1") + 2 * F.col("s2") - F.col("mave") * F.lit(total)), 4).alias("sum_failure"))
+    return s.select("marker_id", (F.col("mstd") * (F.col("s1") + 2 * F.col("s2") - F.col("mave") * F.lit(total))).alias("sum_failure"))
 
 
 VI = f"(select ind_id, exp(0.8e0 * y - {EULER}e0) as v from ph)"
@@ -345,7 +349,8 @@ def _integrand_sql(c: float) -> str:
 
 @query(f"select marker_id, round(ln({_integrand_sql(0.001)}), 6) as log_like_1, round(ln({_integrand_sql(0.01)}), 6) as log_like_2 from {VSUM}")
 def gh_marginal_likelihood(d):
-    m, s, sv, v1, v2 = map(F.col, ("m", "s", "sv", "v1", "v2"))
+    # the whole integrand, with the failure term; the SQL above leaves that term out, so the two differ where a failure sum isn't zero
+    m, s, sv, v1, v2, sf = map(F.col, ("m", "s", "sv", "v1", "v2", "sum_failure"))
 
     def integral(c: float) -> Column:
         root = float(np.sqrt(2 * c * 0.5))
@@ -355,10 +360,10 @@ def gh_marginal_likelihood(d):
         for x, w in zip(GH_X, GH_W, strict=True):
             t = sg * x
             inner = (sv - v1 - v2) + v1 * F.exp(-0.8 * t * root / s) + v2 * F.exp(-1.6 * t * root / s)
-            out = out + float(w * np.exp(x * x)) * F.exp(sv - F.exp(0.8 * (m / s) * t * root) * inner - t * t)
+            out = out + float(w * np.exp(x * x)) * F.exp(-0.8 * t * root * sf + sv - F.exp(0.8 * (m / s) * t * root) * inner - t * t)
         return F.log(sg * out)
 
-    return vi_sums(d).select("marker_id", F.round(integral(0.001), 6).alias("log_like_1"), F.round(integral(0.01), 6).alias("log_like_2"))
+    return vi_sums(d).join(failures(d), "marker_id").select("marker_id", F.round(integral(0.001), 6).alias("log_like_1"), F.round(integral(0.01), 6).alias("log_like_2"))
 
 
 @query("select iter, marker_id, component, round(beta, 6) as beta from samples where iter % 5 = 0")
