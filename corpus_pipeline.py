@@ -30,10 +30,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one that gives the group its id."""
-    found = ngram_join.jaccard_components(docs, width=5, percent=80)
-    stay = saved(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "stay").distinct()
-    return docs.join(stay, docs.doc_id.eqNullSafe(stay.doc_id), "left_semi").select(*COLUMNS)
+    """One document of each group of near copies: the one that gives the group its id, told by its id and text."""
+    stay = saved(ngram_join.placed(docs, width=5, percent=80).filter("stays").select("doc_id", "key"), "stay").distinct()
+    return docs.join(stay, docs.doc_id.eqNullSafe(stay.doc_id) & (ngram_join.text_key() == stay.key), "left_semi").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 1. Shingles are 64-bit hashes. A table of fixed size counts all of them by hash bucket; its counts, then the hashes, give the global
    order (rare before frequent). A document's prefix is the start of its set in that order, long enough that linked documents
    share a part of it.
-2. Documents with equal sets are one class, classes with equal prefixes and sizes one group.
+2. Rows with equal sets are one class, classes with equal prefixes and sizes one group. Classes are the nodes, numbered as they
+   are written; a doc_id only names the component at the end, so it may be null or repeat.
 3. Stars: classes that share the smallest hash of one of some permutations are compared with one of them. All classes that
    these links join take one label, so the members of a large cluster of near copies need not be paired.
 4. Groups that share a token of their prefixes, fit in size and don't have one label alone meet at places where their first shared
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, slices, whole_text
@@ -95,7 +96,12 @@ class Shingler:
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), whole_text().alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), text_key().alias("key"), whole_text().alias("text"))
+
+
+def text_key() -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(whole_text())
 
 
 def _per_text(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -130,7 +136,7 @@ def bucket_counts(base: DataFrame, width: int) -> np.ndarray:
 
 
 def described(base: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per document: doc_id, n, whole (digest of the set), head (digest of the prefix), prefix, stars."""
+    """Per document: doc_id, key (of the text), n, whole (digest of the set), head (digest of the prefix), prefix, stars."""
     counts = base.sparkSession.sparkContext.broadcast(bucket_counts(base, width))
     digest = lambda a: hashlib.blake2b(a.tobytes(), digest_size=16).digest()
 
@@ -146,9 +152,9 @@ def described(base: DataFrame, width: int, percent: int) -> DataFrame:
                 rows.append((n, digest(s), digest(prefix), prefix, stars))
             columns = list(zip(*rows, strict=True))
             types = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "n", "whole", "head", "prefix", "stars"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "key", "n", "whole", "head", "prefix", "stars"])
 
-    return base.mapInArrow(run, "doc_id long, n long, whole binary, head binary, prefix array<long>, stars array<long>")
+    return base.mapInArrow(run, "doc_id long, key long, n long, whole binary, head binary, prefix array<long>, stars array<long>")
 
 
 def _fits(a: str, b: str, percent: int):
@@ -157,13 +163,12 @@ def _fits(a: str, b: str, percent: int):
 
 
 def verified(pairs: DataFrame, base: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class ids whose whole sets link."""
+    """The pairs (a, b) of classes whose whole sets link; a class's set is made from the row that stands for it."""
     pairs = saved(pairs, "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    # a doc_id with several texts may name several classes: the one with the smallest digest stands for it
-    needed = saved(classes.join(needed, "cid", "left_semi").groupBy("cid").agg(F.min("whole").alias("whole")), "needed")
+    needed = saved(classes.join(needed, "cid", "left_semi").select("cid", "whole", "of.doc_id", "of.key"), "needed")
     few = needed.count() <= BROADCAST_ROWS
-    texts = base.withColumnRenamed("doc_id", "cid").join(F.broadcast(needed) if few else needed, "cid")
+    texts = base.join(F.broadcast(needed) if few else needed, ["doc_id", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _per_text(batches, width):
@@ -207,20 +212,25 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
     Two documents link when 100 * intersection >= ``percent`` * union of their sets of ``width``-word shingles; a document of fewer
     words has its whole sequence as one. Null or empty texts and texts without words have no shingles and link with nothing. Rows that
-    repeat a doc_id are separate rows of one node; if their texts differ and the doc_id names several classes, the class with the
-    smallest digest is compared with others. A null doc_id stays null in the output and counts as the smallest. An empty
-    table gives no rows; other columns are ignored.
+    repeat a doc_id are compared each by its own text, and those that link with nothing in common may get different components. A null
+    doc_id stays null in the output and counts as the smallest. An empty table gives no rows; other columns are ignored.
     """
+    return placed(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """As ``jaccard_components``, with key (``text_key``) and stays: whether doc_id and key are those that stand for the component,
+    or the row has no shingles."""
     base = _documents(docs)
     if base.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         base = base.dropDuplicates(["doc_id", "text"])
     rows = saved(described(base, width, percent), "rows")
-    classes = rows.filter("n > 0").groupBy("whole", "head", "n").agg(F.min("doc_id").alias("cid"), F.first("stars").alias("stars"))
-    classes = saved(classes, "classes")
-    stars = classes.select("cid", "n", "stars", F.posexplode(F.slice("stars", 1, STARS)).alias("k", "star"))
-    centres = stars.groupBy("k", "star").agg(F.min(F.struct("cid", "n", "stars")).alias("c"), F.count("*").alias("m")).filter("m > 1")
+    classes = rows.filter("n > 0").groupBy("whole", "head", "n").agg(F.min(F.struct("doc_id", "key")).alias("of"), F.first("stars").alias("stars"))
+    classes = saved(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    stars = classes.select("cid", "of", "n", "stars", F.posexplode(F.slice("stars", 1, STARS)).alias("k", "star"))
+    centres = stars.groupBy("k", "star").agg(F.min(F.struct("of", "cid", "n", "stars")).alias("c"), F.count("*").alias("m")).filter("m > 1")
     centres = centres.select("k", "star", F.col("c.cid").alias("a"), F.col("c.n").alias("na"), F.col("c.stars").alias("of_a"))
-    spokes = stars.join(centres, ["k", "star"]).filter((F.col("a") < F.col("cid")) & _fits("n", "na", percent))
+    spokes = stars.join(centres, ["k", "star"]).filter((F.col("a") != F.col("cid")) & _fits("n", "na", percent))
     # a star only saves work: pairs whose smallest hashes mostly differ are left to the exact step
     alike = F.size(F.filter(F.zip_with("stars", "of_a", lambda p, q: p == q), lambda e: e))
     spokes = spokes.filter(alike >= len(_SALTS) // 2)
@@ -228,10 +238,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     labels = components(linked).select(F.col("node").alias("cid"), F.col("component").alias("label"))
     classes = saved(classes.drop("stars").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "labelled")
 
-    groups = classes.groupBy("head", "n").agg(F.min("cid").alias("gid"), F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
-    groups = saved(groups, "groups")
-    # the group's prefix comes from the row of the document that names it
-    heads = rows.select("head", "n", F.col("doc_id").alias("gid"), "prefix").join(groups.drop("m"), ["head", "n", "gid"])
+    groups = classes.groupBy("head", "n").agg(F.min(F.struct("of", "cid")).alias("g"), F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
+    groups = saved(groups.select("head", "n", F.col("g.cid").alias("gid"), "g.of.doc_id", "g.of.key", "m", "low", "high"), "groups")
+    # the group's prefix comes from the row that stands for it
+    heads = rows.select("head", "n", "doc_id", "key", "prefix").join(groups.drop("m"), ["head", "n", "doc_id", "key"])
     tokens = heads.select("gid", "n", "low", "high", F.posexplode("prefix").alias("pos", "token"))
     of = Window.partitionBy("token")
     tokens = tokens.withColumns({"g": F.count("*").over(of), "least_label": F.min("low").over(of), "most_label": F.max("high").over(of)})
@@ -255,6 +265,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     reach = components(labels.filter("label < cid").select(F.col("label").alias("a"), F.col("cid").alias("b")).union(more))
     if rows.count() != (all_rows := _documents(docs)).count():  # rows that were repeated
         rows = saved(described(all_rows, width, percent), "rows")
-    own = rows.join(classes.select("whole", "cid"), "whole", "left").join(reach, F.col("cid") == F.col("node"), "left")
+    named = reach.join(classes.select(F.col("cid").alias("node"), "of"), "node")
+    named = reach.join(named.groupBy("component").agg(F.min("of").alias("first")), "component").select(F.col("node").alias("cid"), "first")
+    own = rows.join(classes.select("whole", "cid", "of").join(named, "cid", "left").select("whole", F.coalesce("first", "of").alias("first")), "whole", "left")
     null = lambda c: F.when(c > -(1 << 63), c)
-    return own.select(null(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("component", "cid", "doc_id")).alias("component_id"))
+    least = F.coalesce("first.doc_id", "doc_id")
+    stays = F.coalesce(F.col("first") == F.struct("doc_id", "key"), F.lit(True))
+    return own.select(null(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(least).alias("component_id"), "key", stays.alias("stays"))

@@ -35,3 +35,22 @@ def test_likelihood_holds_the_failure_term(spark):
             want = np.log((weights * np.exp(nodes**2) * np.exp(logs)).sum() / np.sqrt(1 + 0.64 * 0.5 * c * e))
             assert abs(have - want) < 2e-6
     assert moved > len(got) // 2
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    import corpus_pipeline
+    from polymix.llm import ngram_join
+
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 5000, 100))
+    a, b, c, d = (text() for _ in range(4))
+    near = lambda t: t + " tail"
+    rows = [(5, a), (5, b), (3, near(b)), (None, c), (None, near(c)), (None, d), (9, near(d)), (9, a + " end"), (4, None), (4, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df, 5, 80).collect()}
+    assert got == {(5, 96, 5), (5, 96, 3), (3, 97, 3), (None, 96, None), (None, 97, None), (9, 97, None), (9, 97, 5), (4, 0, 4)}
+    stay = [(r.doc_id, r.text) for r in corpus_pipeline.near(spark, df, "").collect()]
+    assert len(stay) == 6
+    assert {x for x in stay if x[0] is not None} == {(5, a), (3, near(b)), (4, None), (4, "")}
+    assert sorted(t in (c, near(c)) for i, t in stay if i is None) == [False, True]
+    assert (None, d) in stay
