@@ -2,7 +2,7 @@
 
 The field is trained on a small labelled table (made by ``labelled``), and decoded by Viterbi in numpy over batches of
 segments. A word of letters alone is always outside (a constraint of the model), so the chain parts exactly at such words:
-segments are the runs of other words that hold a digit or an @. Spans of the field are added where the patterns left
+segments are the runs of other words that hold a digit, an @, or (at) or [at]. Spans of the field are added where the patterns left
 room and a plain test of their kind holds (digits of a phone number, check digit of a card...).
 """
 
@@ -29,7 +29,7 @@ _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01234567
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]")
 _SPACE = re.compile(r"\s")
 
 
@@ -67,9 +67,9 @@ def patterns(text: str) -> list[tuple[int, int, int]]:
 
 
 def shape(word: str) -> str:
-    """Letters to x or X (runs as one), digits to d with the run's length up to 5, other marks as they are; at most 24."""
-    s = re.sub(r"[^\W\d_]+", lambda m: "X" if m[0][0].isupper() else "x", word[:200])
-    return re.sub(r"[0-9]+", lambda m: f"d{min(5, len(m[0]))}", s)[:24]
+    """Letters to x or X (runs as one), digits to d with the run's length up to 5, other marks as they are."""
+    s = re.sub(r"[^\W\d_]+", lambda m: "X" if m[0][0].isupper() else "x", word)
+    return re.sub(r"[0-9]+", lambda m: f"d{min(5, len(m[0]))}", s)
 
 
 def features(words: list[str], before: str, after: str) -> list[list[str]]:
@@ -183,7 +183,7 @@ def trained() -> Field:
 
 
 def segments(text: str) -> list[tuple[list[tuple[int, int]], str, str]]:
-    """Runs of words that hold a digit or an @, or (at) in brackets: their places, and the words before and after."""
+    """Runs of words that hold a digit, an @, or (at) or [at]: their places, and the words before and after."""
     out, end = [], 0
     m = _TRIGGER.search(text)
     while m:
@@ -221,6 +221,11 @@ def _holds(kind: int, s: str) -> bool:
 _EDGE = ".,;:!?\"'<>"
 
 
+def _plain(word: str) -> str:
+    """A word with (at) or [at] without the marks at its ends, as the labelled table has them; others as they are."""
+    return word.strip(_EDGE) if "(at)" in word or "[at]" in word else word
+
+
 def find(texts: list[str], field: Field) -> list[list[tuple[int, int, int]]]:
     """Per text (start, kind, end): the patterns' spans, and the field's beside them."""
     found: list[list] = [patterns(t) if _TRIGGER.search(t) else [] for t in texts]
@@ -229,7 +234,7 @@ def find(texts: list[str], field: Field) -> list[list[tuple[int, int, int]]]:
         if _TRIGGER.search(t):
             for places, before, after in segments(t):
                 owners.append((i, places))
-                rows.append(field.ids([t[a:b] for a, b in places], before, after))
+                rows.append(field.ids([_plain(t[a:b]) for a, b in places], before, after))
     for (i, places), labels in zip(owners, field.decode(rows), strict=True):
         at = 0
         while at < len(places):

@@ -54,3 +54,15 @@ def test_near_copies_with_repeated_and_null_ids(spark):
     assert {x for x in stay if x[0] is not None} == {(5, a), (3, near(b)), (4, None), (4, "")}
     assert sorted(t in (c, near(c)) for i, t in stay if i is None) == [False, True]
     assert (None, d) in stay
+
+
+def test_pii_addresses_without_a_sign(spark):
+    from polymix.llm import pii
+
+    long = "anna.bea.carl.dora.emil.fritz.gerd.hans.ida.jan(at)site.org"
+    texts = ["write to joe(at)site.org now", "or \"sue[at]list.com\".", "joe(at)site.org", "meet (at) noon", f"or {long} too", f"see {'x' * 300}(at)site.org"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.scan_pii(df).collect()}
+    assert got == {0: "email:9:24", 1: "email:4:19", 2: "email:0:15", 3: "", 4: f"email:3:{3 + len(long)}", 5: "email:4:316"}
+    masked = {r.doc_id: r.masked for r in pii.scan_pii(df, keep=("doc_id", "text")).collect()}
+    assert masked[0] == "write to <EMAIL> now" and masked[1] == "or \"<EMAIL>\"."
