@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,10 @@ BITS, ORDERS, SPAN = 16, (1, 2, 3), 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+@cache
 def _letters() -> np.ndarray:
-    """Whether a code point is a letter; above the first plane every one counts as such."""
-    return np.fromiter((chr(c).isalpha() for c in range(1 << 16)), bool, 1 << 16)
+    """Whether a code point is a letter, for all of them; made once a worker."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 class Grams:
@@ -34,8 +36,7 @@ class Grams:
 
     def codes(self, text: str) -> np.ndarray:
         c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        alpha = (c >= 1 << 16) | self.letter[np.minimum(c, (1 << 16) - 1)]
-        c = np.where(alpha, c, 32).astype(np.uint64)
+        c = np.where(self.letter[c], c, 32).astype(np.uint64)
         return c[np.append(True, (c[1:] != 32) | (c[:-1] != 32))] if len(c) else c  # blanks in a row are one
 
     def has_letter(self, codes: np.ndarray) -> bool:

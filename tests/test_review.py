@@ -66,3 +66,15 @@ def test_pii_addresses_without_a_sign(spark):
     assert got == {0: "email:9:24", 1: "email:4:19", 2: "email:0:15", 3: "", 4: f"email:3:{3 + len(long)}", 5: "email:4:316"}
     masked = {r.doc_id: r.masked for r in pii.scan_pii(df, keep=("doc_id", "text")).collect()}
     assert masked[0] == "write to <EMAIL> now" and masked[1] == "or \"<EMAIL>\"."
+
+
+def test_language_of_emoji(spark):
+    from polymix.llm import langid
+
+    known = [(i, t, lang) for i, (t, lang) in enumerate([("the cat sat on the mat", "en"), ("die Katze sitzt auf der Matte", "de")] * 20)]
+    docs = spark.createDataFrame([*known, (100, "\U0001F600\U0001F680 12 !!", None), (101, "\U0001F600 the cat", None), (102, "\U00020000\U00020001", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs).collect()}
+    assert got[100] == ("und", 0.0)
+    assert got[101][0] == "en" and got[102][0] != "und"
+    codes = langid.Grams().codes
+    assert (codes("\U0001F600 the cat") == codes("! the cat")).all()
