@@ -14,19 +14,22 @@ LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; ``lang`` becomes the prediction."""
-    found = langid.predict(docs, langid.fit(docs, F.lit(True)), keep=tuple(docs.columns))
+    """Documents whose language is told; ``lang`` becomes the prediction. Where nothing could be learnt, all pass as they are."""
+    model = langid.fit(docs, F.lit(True))
+    if model is None:
+        return docs.select(*COLUMNS)
+    found = langid.predict(docs, model, keep=tuple(docs.columns))
     kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text. The stream reads files, so the stage's input goes to the shared folder first where it
+    """One document of each text, also where rows repeat an id and a text or have no id. The stream reads files, so the stage's input goes to the shared folder first where it
     isn't a folder of files already."""
     path = shared_dir(spark, "docs")
     docs.write.parquet(path)
     found = exact_dedup.exact_dedup(spark, path, text=True)
-    return found.filter("kept").select(*COLUMNS)
+    return found.filter("kept").dropDuplicates(["text_sha256"]).select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,3 +78,14 @@ def test_language_of_emoji(spark):
     assert got[101][0] == "en" and got[102][0] != "und"
     codes = langid.Grams().codes
     assert (codes("\U0001F600 the cat") == codes("! the cat")).all()
+
+
+def test_pipeline_stages_keep_one_row_and_pass_unlabelled(spark):
+    import corpus_pipeline
+
+    rows = [(1, "x y"), (1, "x y"), (None, "a b"), (None, "a b"), (2, "c"), (3, "c"), (4, None), (5, "")]
+    df = spark.createDataFrame([(i, t, None, "s", 3) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    passed = corpus_pipeline.language_id(spark, df, "")
+    assert passed.count() == len(rows)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.exact(spark, passed, "").collect()), key=str)
+    assert got == sorted([(1, "x y"), (None, "a b"), (3, "c"), (5, "")], key=str)
