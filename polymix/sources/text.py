@@ -90,7 +90,10 @@ def _table(text: str) -> list[list[float]]:
 
 def read_small(spark: SparkSession, path: str) -> list[list[float]]:
     """``a,b;c,d``: a row per group (priors, Dirichlet priors)."""
-    return _table("".join(r.value for r in spark.read.text(path).limit(10_000).collect()))
+    rows = spark.read.text(path).limit(10_001).collect()
+    if len(rows) > 10_000:
+        raise ValueError("more than 10,000 lines")
+    return _table("".join(r.value for r in rows))
 
 
 def read_mixtures(spark: SparkSession, path: str) -> DataFrame:

@@ -89,3 +89,14 @@ def test_pipeline_stages_keep_one_row_and_pass_unlabelled(spark):
     assert passed.count() == len(rows)
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.exact(spark, passed, "").collect()), key=str)
     assert got == sorted([(1, "x y"), (None, "a b"), (3, "c"), (5, "")], key=str)
+
+
+def test_small_files_are_not_cut(spark, tmp_path):
+    import pytest
+    from polymix.sources import text
+
+    (tmp_path / "m").write_text("1,2;\n" * 10_000)
+    assert len(text.read_small(spark, f"file://{tmp_path}/m")) == 10_000
+    (tmp_path / "m").write_text("1,2;\n" * 10_001)
+    with pytest.raises(ValueError):
+        text.read_small(spark, f"file://{tmp_path}/m")
