@@ -10,7 +10,11 @@
 4. Groups that share a token of their prefixes, fit in size and don't have one label alone meet at places where their first shared
    token may lie, and are candidates if what they share there and all that is left can make a link. Tokens whose groups
    all have one label are dropped before the join.
-5. Candidates are expanded to their classes and verified on their whole sets, which are made again from the texts.
+5. Candidates are expanded to their classes and verified on their whole sets: the texts of a class and of its partners meet in
+   one place, where their shingles are made again as 128-bit hashes.
+
+Shingles are 64-bit hashes in steps 1 to 4. A collision there can only add a candidate or move the order of a prefix, alike in all
+documents; two shingles of one document that collide (about one in 1e13 for a thousand shingles) would count as one.
 """
 
 from __future__ import annotations
@@ -23,15 +27,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, slices, whole_text
+from .common import discard, release, saved, sized, slices, whole_text
 
 COUNT_BITS, BLOCK = 18, 4096
 STARS = 3
-#: Ids of this many documents are broadcast to find their texts; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Partners of one class that meet in one place; more are spread, and the class's text goes to each place.
+FAN = 64
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Odd, so that its powers can be divided out.
 _P = 0x100000001B3 * 0x9E3779B1 % (1 << 64) | 1
+#: Odd as well, for the other half of a 128-bit hash.
+_P2 = 0xD1B54A32D192ED03
 _SALTS = np.array([k * 0xD6E8FEB86659FD93 % (1 << 64) for k in range(12)], np.uint64)
 
 
@@ -44,8 +50,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of ``width``-word shingles as sorted distinct hashes; ASCII letters folded, words parted by ASCII white space."""
 
-    def __init__(self, width: int):
-        self.width = width
+    def __init__(self, width: int, prime: int = _P):
+        self.width, self.prime = width, prime
         fold = np.arange(256, dtype=np.uint64)
         fold[65:91] += np.uint64(32)
         self.fold = _mix(fold + np.uint64(1))
@@ -55,7 +61,7 @@ class Shingler:
 
     def _powers(self, n: int) -> None:
         one = np.ones(1, np.uint64)
-        self.up, self.down = (np.cumprod(np.concatenate([one, np.full(n, p, np.uint64)])) for p in (_P, pow(_P, -1, 1 << 64)))
+        self.up, self.down = (np.cumprod(np.concatenate([one, np.full(n, p, np.uint64)])) for p in (self.prime, pow(self.prime, -1, 1 << 64)))
 
     def words(self, b: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words, and where each text's words begin (and the last one's end)."""
@@ -74,6 +80,10 @@ class Shingler:
         return _mix(h + (last - first).astype(np.uint64)), np.searchsorted(first, own)
 
     def sets(self, texts: pa.StringArray) -> list[np.ndarray]:
+        return list(map(np.unique, self.shingles(texts)))
+
+    def shingles(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """Of each text, in order, with repeats."""
         offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
         data = texts.buffers()[2]
         b = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
@@ -84,7 +94,7 @@ class Shingler:
         out = []
         for a, z in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
             if z - a >= n:
-                out.append(np.unique(s[a : z - n + 1]))
+                out.append(s[a : z - n + 1])
             elif z > a:
                 few = w[a]
                 for x in w[a + 1 : z]:
@@ -104,11 +114,11 @@ def text_key() -> Column:
     return F.xxhash64(whole_text())
 
 
-def _per_text(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    shingler = Shingler(width)
+def _per_text(batches: Iterator[pa.RecordBatch], make) -> Iterator[tuple[pa.RecordBatch, list]]:
     with np.errstate(over="ignore"):
         for part in (s for b in batches for s in slices(b, "text", 2_000_000)):
-            yield part, shingler.sets(part.column("text"))
+            yield part, make(part.column("text"))
+    release()
 
 
 def bucket_counts(base: DataFrame, width: int) -> np.ndarray:
@@ -116,7 +126,7 @@ def bucket_counts(base: DataFrame, width: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNT_BITS, np.int64)
-        for _, sets in _per_text(batches, width):
+        for _, sets in _per_text(batches, Shingler(width).sets):
             if sets:
                 total += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total) // BLOCK)), pa.array([x.tobytes() for x in total.reshape(-1, BLOCK)], pa.binary())], names=["block", "counts"])
@@ -142,7 +152,7 @@ def described(base: DataFrame, width: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
-        for part, sets in _per_text(batches, width):
+        for part, sets in _per_text(batches, Shingler(width).sets):
             rows = []
             for s in sets:
                 n = len(s)
@@ -163,47 +173,62 @@ def _fits(a: str, b: str, percent: int):
 
 
 def verified(pairs: DataFrame, base: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets link; a class's set is made from the row that stands for it."""
-    pairs = saved(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    needed = saved(classes.join(needed, "cid", "left_semi").select("cid", "whole", "of.doc_id", "of.key"), "needed")
-    few = needed.count() <= BROADCAST_ROWS
-    texts = base.join(F.broadcast(needed) if few else needed, ["doc_id", "key"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in _per_text(batches, width):
-            own = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == w for s, w in zip(sets, part.column("whole").to_pylist(), strict=True)]
-            made = pa.RecordBatch.from_arrays([part.column("cid"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "members"])
-            yield made.filter(pa.array(own, pa.bool_()))
+    """The pairs (a, b) of classes whose whole sets link; a class's set is made from the row that stands for it.
 
-    made = texts.mapInArrow(run, "cid long, members binary")
-    both = pairs.join(made.select(F.col("cid").alias("a"), F.col("members").alias("of_a")), "a").join(made.select(F.col("cid").alias("b"), F.col("members").alias("of_b")), "b")
+    A place takes a class ``a`` and up to about ``FAN`` of its partners; it gets the text of ``a`` once and that of each partner, so a
+    class with many partners is spread over places.
+    """
+    pairs = saved(pairs, "pairs")
+    fans = pairs.groupBy("a").agg(F.count("*").alias("m"))
+    at = pairs.join(fans, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / FAN)).alias("place"))
+    roles = at.select(F.col("a").alias("cid"), "a", "place", F.lit(0).alias("role")).distinct()
+    roles = roles.union(at.select(F.col("b").alias("cid"), "a", "place", F.lit(1).alias("role")))
+    roles = saved(roles.join(classes.select("cid", "whole", "of.doc_id", "of.key"), "cid"), "roles")
+    texts = base.join(sized(roles, 100), ["doc_id", "key"]).select("a", "place", "role", "cid", "whole", "text")
+    met = texts.repartition("a", "place").sortWithinPartitions("a", "place", "role")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        one, two = Shingler(width), Shingler(width, _P2)
+        make = lambda texts: list(zip(one.shingles(texts), two.shingles(texts), strict=True))
+        now = p = p2 = None
+        for part, found in _per_text(batches, make):
             keep = []
-            for x, y in zip(batch.column("of_a"), batch.column("of_b"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                common = int((q[at] == p).sum())
+            for at, role, whole, (h, h2) in zip(zip(part.column("a").to_pylist(), part.column("place").to_pylist(), strict=True), part.column("role").to_pylist(), part.column("whole").to_pylist(), found, strict=True):
+                q, first = np.unique(h, return_index=True)
+                own = hashlib.blake2b(q.tobytes(), digest_size=16).digest() == whole  # another text may share the key
+                if own and role == 0:
+                    now, p, p2 = at, q, h2[first]
+                if not own or role == 0:
+                    keep.append(False)
+                    continue
+                if now != at:
+                    raise RuntimeError("a class came without its text")
+                where = np.minimum(np.searchsorted(q, p), len(q) - 1)
+                common = int(((q[where] == p) & (h2[first][where] == p2)).sum())
                 keep.append(100 * common >= percent * (len(p) + len(q) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            linked = part.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([linked.column("a"), linked.column("cid")], names=["a", "b"])
 
-    return saved(both.select("a", "b", "of_a", "of_b").mapInArrow(test, "a long, b long"), "links")
+    links = saved(met.mapInArrow(test, "a long, b long"), "links")
+    discard(pairs, roles)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable. Each round takes the smallest label around a node and that label's own
     label, so rounds grow with the logarithm of a chain; labels are written each round."""
     edges = saved(edges.union(edges.select("b", "a")).distinct(), "edges")
-    labels = saved(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    held = labels = saved(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
         near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(near, labels.node == near.a).select("node", "component", F.least("component", "near").alias("new"))
         up = step.select(F.col("node").alias("new"), F.col("new").alias("up"))
         moved = saved(step.join(up, "new").select("node", F.least("new", "up").alias("component"), (F.least("new", "up") < F.col("component")).alias("moved")), "labels")
-        labels = moved.select("node", "component")
-        if moved.filter("moved").limit(1).count() == 0:
+        done = moved.filter("moved").limit(1).count() == 0
+        discard(held)
+        held, labels = moved, moved.select("node", "component")
+        if done:
+            discard(edges)
             return labels
 
 
@@ -225,8 +250,11 @@ def placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     if base.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         base = base.dropDuplicates(["doc_id", "text"])
     rows = saved(described(base, width, percent), "rows")
-    classes = rows.filter("n > 0").groupBy("whole", "head", "n").agg(F.min(F.struct("doc_id", "key")).alias("of"), F.first("stars").alias("stars"))
-    classes = saved(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    classes = rows.filter("n > 0").groupBy("whole", "head", "n").agg(F.min(F.struct("doc_id", "key", "stars", "prefix")).alias("c"))
+    classes = classes.select(F.monotonically_increasing_id().alias("cid"), "whole", "head", "n", F.struct("c.doc_id", "c.key").alias("of"), "c.stars", "c.prefix")
+    wide, classes = rows, saved(classes, "classes")
+    rows = saved(rows.select("doc_id", "key", "n", "whole"), "rows")
+    discard(wide)
     stars = classes.select("cid", "of", "n", "stars", F.posexplode(F.slice("stars", 1, STARS)).alias("k", "star"))
     centres = stars.groupBy("k", "star").agg(F.min(F.struct("of", "cid", "n", "stars")).alias("c"), F.count("*").alias("m")).filter("m > 1")
     centres = centres.select("k", "star", F.col("c.cid").alias("a"), F.col("c.n").alias("na"), F.col("c.stars").alias("of_a"))
@@ -236,16 +264,19 @@ def placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     spokes = spokes.filter(alike >= len(_SALTS) // 2)
     linked = verified(spokes.select("a", F.col("cid").alias("b")).distinct(), base, classes, width, percent)
     labels = components(linked).select(F.col("node").alias("cid"), F.col("component").alias("label"))
-    classes = saved(classes.drop("stars").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "labelled")
-
-    groups = classes.groupBy("head", "n").agg(F.min(F.struct("of", "cid")).alias("g"), F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
-    groups = saved(groups.select("head", "n", F.col("g.cid").alias("gid"), "g.of.doc_id", "g.of.key", "m", "low", "high"), "groups")
-    # the group's prefix comes from the row that stands for it
-    heads = rows.select("head", "n", "doc_id", "key", "prefix").join(groups.drop("m"), ["head", "n", "doc_id", "key"])
-    tokens = heads.select("gid", "n", "low", "high", F.posexplode("prefix").alias("pos", "token"))
-    of = Window.partitionBy("token")
-    tokens = tokens.withColumns({"g": F.count("*").over(of), "least_label": F.min("low").over(of), "most_label": F.max("high").over(of)})
-    tokens = tokens.filter("g > 1 and least_label < most_label").drop("g", "least_label", "most_label")
+    wide = classes
+    classes = saved(classes.drop("stars", "prefix").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "labelled")
+
+    groups = classes.groupBy("head", "n").agg(F.min("cid").alias("gid"), F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
+    groups = saved(groups, "groups")
+    # the group's prefix comes from one of its classes
+    heads = wide.select("cid", "prefix").join(sized(groups.select(F.col("gid").alias("cid"), "n", "low", "high"), 64), "cid")
+    tokens = heads.select(F.col("cid").alias("gid"), "n", "low", "high", F.posexplode("prefix").alias("pos", "token"))
+    # partial sums before the shuffle: a token that very many groups hold is a row per task
+    held = tokens.groupBy("token").agg(F.count("*").alias("g"), F.min("low").alias("least_label"), F.max("high").alias("most_label"))
+    held = saved(held.filter("g > 1 and least_label < most_label").select("token"), "held")
+    tokens = saved(tokens.join(sized(held, 32), "token"), "tokens")
+    discard(wide, held)
     x, y = (tokens.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "low", "high", "pos"))) for s in "xy")
     need = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent) - 1e-9)
     differ = (F.col("low_x") < F.col("high_y")) | (F.col("low_y") < F.col("high_x"))
@@ -264,7 +295,7 @@ def placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     reach = components(labels.filter("label < cid").select(F.col("label").alias("a"), F.col("cid").alias("b")).union(more))
     if rows.count() != (all_rows := _documents(docs)).count():  # rows that were repeated
-        rows = saved(described(all_rows, width, percent), "rows")
+        rows = saved(described(all_rows, width, percent).select("doc_id", "key", "n", "whole"), "rows")
     named = reach.join(classes.select(F.col("cid").alias("node"), "of"), "node")
     named = reach.join(named.groupBy("component").agg(F.min("of").alias("first")), "component").select(F.col("node").alias("cid"), "first")
     own = rows.join(classes.select("whole", "cid", "of").join(named, "cid", "left").select("whole", F.coalesce("first", "of").alias("first")), "whole", "left")
