@@ -1,18 +1,22 @@
 """Byte-pair tokenizers of the ``tokenizers`` library, applied to each distinct chunk of a batch once.
 
 Both vocabularies cut a text before any merge, and never across the places where ``split`` cuts here, so the ids of
-a text are the ids of its chunks in order. A bounded table of chunks already seen stays with the Python worker.
+a text are the ids of its chunks in order. A table of chunks already seen, bounded in bytes, lasts as long as its task.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import release
+
 #: Between two characters that are not white space, before a single space: no token crosses it.
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 #: Without the dotted capital I, whose lower case holds a mark.
@@ -20,6 +24,8 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 #: Latin letters, then ASCII marks but the apostrophe: no token crosses from the letters to the marks.
 _WORD = f"^(?P<word>[{_LETTERS}]+)(?P<marks>[!-&(-/:-@\\[-`{{-~]*)$"
 _PLAIN = re.compile(f" ?[{_LETTERS}]+")
+#: Bytes that an entry of a table takes besides its characters and ids.
+ENTRY = 180
 
 
 def _taken(source: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,19 +48,23 @@ class ChunkTokenizer:
     word and run of marks is looked up once a batch.
     """
 
-    def __init__(self, path: str, spaced: bool, most: int = 1_000_000):
+    def __init__(self, path: str, spaced: bool, most: int = 48_000_000):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
         if self.inner.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit 16 bits")
         self.spaced, self.most = spaced, most
-        self.seen: dict[str, bytes] = {"": b""}
+        self.clear()
         # a plain word's ids start with the token of its space, or end with a token that closes a word
         self.edge = np.zeros(1 << 16, bool)
         for token, i in self.inner.get_vocab(with_added_tokens=False).items():
             self.edge[i] = token.startswith("Ġ") if spaced else token.endswith("</w>")
 
+    def clear(self) -> None:
+        self.seen: dict[str, bytes] = {"": b""}
+        self.held = 0
+
     def _ids(self, chunks: list[str]) -> list[bytes]:
         # the fast variant gives the same ids without offsets
         found = self.inner.encode_batch_fast(chunks, add_special_tokens=False)
@@ -77,8 +87,8 @@ class ChunkTokenizer:
 
     def _look(self, keys: list[str]) -> list[bytes]:
         """Ids of distinct strings, each taken as a text of its own."""
-        if len(self.seen) > self.most:
-            self.seen = {"": b""}
+        if self.held > self.most:
+            self.clear()
         found = list(map(self.seen.get, keys))
         new = [k for k, x in zip(keys, found, strict=True) if x is None]
         plain, other = [], []
@@ -86,6 +96,7 @@ class ChunkTokenizer:
             (plain if _PLAIN.fullmatch(k) and k.startswith(" ") == self.spaced else other).append(k)
         self.seen.update(zip(plain, self._words(plain), strict=True))
         self.seen.update(zip(other, self._ids(other), strict=True))
+        self.held += sum(ENTRY + 2 * len(k) + len(self.seen[k]) for k in new)
         return [self.seen[k] if x is None else x for k, x in zip(keys, found, strict=True)]
 
     def _table(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,8 +161,13 @@ class ChunkTokenizer:
 _OPEN: dict[tuple[str, bool], ChunkTokenizer] = {}
 
 
-def chunk_tokenizer(path: str, spaced: bool) -> ChunkTokenizer:
-    """One per Python worker, kept between tasks."""
+@contextmanager
+def chunk_tokenizer(path: str, spaced: bool) -> Iterator[ChunkTokenizer]:
+    """The tokenizer is opened once per Python worker; its table is dropped at the end of the task."""
     if (path, spaced) not in _OPEN:
         _OPEN[path, spaced] = ChunkTokenizer(path, spaced)
-    return _OPEN[path, spaced]
+    try:
+        yield _OPEN[path, spaced]
+    finally:
+        _OPEN[path, spaced].clear()
+        release()

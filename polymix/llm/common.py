@@ -50,9 +50,10 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sized(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
-    """A side of a join, counted: broadcast within ``most`` bytes, joined by a shuffle beyond."""
-    return F.broadcast(df) if df.count() * row_bytes <= most else df.hint("shuffle_merge")
+def sized(df: DataFrame, row_bytes: int | Column, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A side of a join, measured (rows of ``row_bytes`` each): broadcast within ``most`` bytes, joined by a shuffle beyond."""
+    size = df.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0] or 0
+    return F.broadcast(df) if size <= most else df.hint("shuffle_merge")
 
 
 def release() -> None:

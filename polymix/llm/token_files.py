@@ -3,8 +3,9 @@
 Layout of a shard ``NNNNN``:
 
 * ``NNNNN.ids.arrows`` - Arrow IPC stream; columns ``ids`` fixed_size_list<uint16>[L] and ``mask``
-  fixed_size_list<bool>[L] (a token, or padding). Every batch holds the same number of sequences, so every batch message
-  has the same length and sequence ``i`` lies at a computed place: a memory map gives it without copying.
+  fixed_size_list<uint8>[L / 8] (a bit per token, low bits first; 1: a token, 0: padding). Every batch holds the same number of
+  sequences, so every batch message has the same length and sequence ``i`` lies at a computed place: a memory map gives its
+  ids and its mask without copying. ``tokens`` spreads the bits where a byte per token is wanted.
 * ``NNNNN.docs.arrows`` - Arrow IPC stream; ``doc_id``, ``start`` (in the shard's ids), ``n_tokens``.
 
 Shards hold documents in ascending doc_id (null first, ties by a hash of the text). ``manifest`` (Parquet) lists the
@@ -31,13 +32,20 @@ MANIFEST = "shard int, ids_file string, docs_file string, n_docs long, n_tokens
 
 
 def ids_schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint16(), length)), ("mask", pa.list_(pa.bool_(), length))])
+    return pa.schema([("ids", pa.list_(pa.uint16(), length)), ("mask", pa.list_(pa.uint8(), length // 8))])
+
+
+def tokens(mask: np.ndarray) -> np.ndarray:
+    """Booleans from the bits of a mask."""
+    return np.unpackbits(mask, axis=-1, bitorder="little").view(bool)
 
 
 class ShardWriter:
     """Writes one shard; memory holds one batch. The files appear under their names only once complete."""
 
     def __init__(self, uri: str, shard: int, length: int, rows: int):
+        if length % 8:
+            raise ValueError("length must be a multiple of 8")
         self.fs, root = pa.fs.FileSystem.from_uri(uri)
         self.fs.create_dir(root, recursive=True)
         self.names = [f"{root}/{shard:05d}.{kind}.arrows" for kind in ("ids", "docs")]
@@ -52,9 +60,9 @@ class ShardWriter:
         self.n_docs = self.n_tokens = 0
 
     def _flush(self) -> None:
-        mask = np.arange(self.size) < self.full
+        mask = np.packbits(np.arange(self.size) < self.full, bitorder="little")
         self.held[self.full :] = 0
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (self.held, mask)]
+        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), n) for x, n in ((self.held, self.length), (mask, self.length // 8))]
         self.ids.write_batch(pa.RecordBatch.from_arrays(columns, schema=ids_schema(self.length)))
         self.held, self.full = np.zeros(self.size, "<u2"), 0
 
@@ -113,10 +121,10 @@ class Shard:
         return cls(pa.memory_map(name) if local else fs.open_input_file(name))
 
     def batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of batch ``k``, (rows, length) each; the ids are a view of the map where the file is local."""
+        """Ids and mask of batch ``k``, a row per sequence; both are views of the map where the file is local."""
         self.source.seek(self.first + k * self.stride)
         got = pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
-        return tuple(got.column(c).flatten().to_numpy(zero_copy_only=c == "ids").reshape(-1, self.length) for c in ("ids", "mask"))
+        return tuple(got.column(c).flatten().to_numpy(zero_copy_only=True).reshape(got.num_rows, -1) for c in ("ids", "mask"))
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         ids, mask = self.batch(i // self.rows)
@@ -126,7 +134,7 @@ class Shard:
         """The ids without padding, a batch at a time."""
         for k in range(self.batches):
             ids, mask = self.batch(k)
-            yield ids.reshape(-1)[mask.reshape(-1)]
+            yield ids.reshape(-1)[tokens(mask.reshape(-1))]
 
 
 def write_token_files(
@@ -146,10 +154,10 @@ def write_token_files(
     end = np.uint16(end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = chunk_tokenizer(tokenizer, spaced), TaskContext.get().partitionId()
+        shard = TaskContext.get().partitionId()
         writer = ShardWriter(uri, shard, length, rows)
-        for batch in batches:
-            for part in slices(batch, "text", 12_000_000):
+        with chunk_tokenizer(tokenizer, spaced) as encoder:
+            for part in (s for b in batches for s in slices(b, "text")):
                 ids, cuts = encoder.encode(part.column("text"))
                 for doc_id, a, b in zip(part.column("doc_id").to_pylist(), cuts, cuts[1:], strict=False):
                     writer.add(doc_id, np.append(ids[a:b], end))
