@@ -1,24 +1,26 @@
 """Exact dedup as a stateful stream.
 
 The stream keys every document by the SHA-256 of its text. RocksDB holds one state per digest, without expiry: the
-digest, the stable identifier of the row that stays (largest doc_id), the locator of its content (file) and a count.
-A digest alone decides nothing: where a state was hit, the full bytes of the texts are compared (smallest and largest
-text of the digest must be the same bytes); should two texts share a digest, they are grouped by the text itself.
+digest, the stable identifier of the row that stays (largest doc_id), the locator of the content first seen (file and row) and a
+count. State, updates and the list of files read lie in a store that the caller may name: a later call on it reads only the files
+that came since, and adds to the states.
+
+A digest alone decides nothing. Where a call hits a state, the bytes of its new rows and those at the state's locator are
+compared: only new files and the files that locators name are read for it, and of these only rows of digests that were hit. Should
+two texts share a digest, they are grouped by the text itself from then on.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, shared_dir, whole_text
+from .common import saved, shared_dir, sized, whole_text
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Digests of this many states that were hit are broadcast (32 bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 300_000
-
 Digest = Callable[[Column], Column]
 
 
@@ -26,24 +28,43 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def digest_states(spark: SparkSession, path: str, digest: Digest = sha256, files: int = 1000) -> DataFrame:
-    """Run the stream over the Parquet files at ``path`` until all are read; returns a row per digest:
-    digest, keep_id, locator, n. ``files`` bounds a micro-batch."""
-    out, provider = shared_dir(spark, "dedup"), "spark.sql.streaming.stateStore.providerClass"
+def _rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Parquet files below ``path``; none if nothing was written yet."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+
+def _name(file: Column) -> Column:
+    """A file's name in one form: scans and listings differ in the slashes after the scheme."""
+    return F.regexp_replace(file, "^([A-Za-z0-9+.-]+):/+", "$1:/")
+
+
+STATE = "digest binary, id long, file string, row long, n long"
+
+
+def digest_states(spark: SparkSession, path: str, store: str, digest: Digest = sha256, files: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Run the stream over the Parquet files at ``path`` that ``store`` has not seen, until all are read; returns a row per digest
+    (digest, keep_id, file, row, n) of all states, and the states that this call changed. ``files`` bounds a micro-batch."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
     still = spark.read.parquet(path)
     files_read = still.inputFiles()
     # a stream takes a folder or a pattern: a single file is named by a pattern that only it matches
     source = f"{path[:-1]}[{path[-1]}]" if len(files_read) == 1 and files_read[0].endswith(path.rpartition("/")[2]) else path
     stream = spark.readStream.schema(still.schema).option("maxFilesPerTrigger", files).parquet(source)
     keyed = stream.select(
-        digest(whole_text()).alias("digest"),
-        F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.col("_metadata.file_path").alias("file")).alias("at"),
+        digest(whole_text()).alias("digest"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"),
+        F.struct(F.current_timestamp().alias("batch"), _name(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"),
     )
-    states = keyed.groupBy("digest").agg(F.max("at").alias("at"), F.count("*").alias("n"))
-    schema = states.schema
+    # the time is that of the micro-batch, also when it is run again: the locator stays that of the content first seen
+    states = keyed.groupBy("digest").agg(F.max("id").alias("id"), F.min("at").alias("at"), F.count("*").alias("n"))
+    states = states.select("digest", "id", "at.file", "at.row", "n")
+    written: list[str] = []
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{store}/updates/batch={number}")
+        written.append(f"{store}/updates/batch={number}")
 
     # many small states: no space is set aside for their logs
     settings = {provider: ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
@@ -51,40 +72,63 @@ def digest_states(spark: SparkSession, path: str, digest: Digest = sha256, files
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        query = states.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
-        query.awaitTermination()
+        states.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{store}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    found = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out) if query.lastProgress or query.recentProgress else spark.createDataFrame([], schema)
-    # a state only grows: its last version has the largest of both
-    last = found.groupBy("digest").agg(F.max("at").alias("at"), F.max("n").alias("n"))
-    return last.select("digest", F.when(F.col("at.id") > -(1 << 63), F.col("at.id")).alias("keep_id"), F.col("at.file").alias("locator"), "n")
-
 
-def exact_dedup(spark: SparkSession, path: str, digest: Digest = sha256, files: int = 1000, text: bool = False) -> DataFrame:
+    def last(found: DataFrame) -> DataFrame:
+        # a state only grows: its last version has the largest count
+        found = found.groupBy("digest").agg(F.max("id").alias("id"), F.max_by(F.struct("file", "row"), "n").alias("at"), F.max("n").alias("n"))
+        return found.select("digest", F.when(F.col("id") > -(1 << 63), F.col("id")).alias("keep_id"), "at.file", "at.row", "n")
+
+    fresh = spark.read.schema(STATE).parquet(*written) if written else spark.createDataFrame([], STATE)
+    return last(_rows(spark, f"{store}/updates", STATE)), last(fresh)
+
+
+def shared_digests(spark: SparkSession, path: str, store: str, fresh: DataFrame, digest: Digest) -> DataFrame:
+    """Digests that stand for more than one text: those known to ``store``, and those found among the states that were hit now."""
+    hit = saved(fresh.filter("n > 1").select("digest", "file", "row"), "hit")
+    seen = {r.file for r in _rows(spark, f"{store}/files", "file string").collect()}
+    there = {re.sub("^([A-Za-z0-9+.-]+):/+", r"\1:/", f): f for f in spark.read.parquet(path).inputFiles()}
+    new = set(there) - seen
+    spark.createDataFrame([(f,) for f in sorted(new)], "file string").coalesce(1).write.mode("append").parquet(f"{store}/files")
+    # the content first seen lies in the files that locators name, as well as in files that are gone through now
+    named = {r.file for r in hit.select("file").distinct().collect()} if seen else set()
+    look = [at for f, at in there.items() if f in named or f in new]
+    if look:
+        docs = spark.read.parquet(*look).select(whole_text().alias("text"), _name(F.col("_metadata.file_path")).alias("of"), F.col("_metadata.row_index").alias("at"))
+        met = docs.withColumn("digest", digest(F.col("text"))).join(sized(hit, 160), "digest")
+        if seen:  # of a file read before, the row at the locator alone
+            new_files = spark.createDataFrame([(f,) for f in sorted(new)], "of string").withColumn("is_new", F.lit(True))
+            met = met.join(sized(new_files, 200), "of", "left").filter("is_new or (of = file and at = row)")
+        texts = met.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high"))
+        texts.filter("low <> high").select("digest").write.mode("append").parquet(f"{store}/shared")
+    return _rows(spark, f"{store}/shared", "digest binary").distinct()
+
+
+def exact_dedup(spark: SparkSession, path: str, digest: Digest = sha256, files: int = 1000, text: bool = False, store: str | None = None) -> DataFrame:
     """Per document at ``path``: doc_id, keep_id, group_size, kept, text_sha256; with ``text`` all its own columns too.
 
     Null text counts as empty. Of equal texts the largest doc_id stays (null below all; rows that repeat doc_id and
     text alike are one document, so all of them say kept). An empty table gives no rows. Column names of the input
-    that clash with the added ones are replaced.
+    that clash with the added ones are replaced. ``store`` names the folder of the states; files are only added at ``path`` between
+    calls on one store.
     """
-    states = saved(digest_states(spark, path, digest, files), "states")
-    hit = states.filter("n > 1").select("digest")
-    docs = spark.read.parquet(path)
-    keyed = docs.select("doc_id", "text").withColumn("text", whole_text()).withColumn("digest", digest(F.col("text")))
-    few = hit.count() <= BROADCAST_ROWS
-    texts = keyed.join(F.broadcast(hit) if few else hit, "digest", "left_semi")
-    bytes_of = texts.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high"))
-    clash = saved(bytes_of.filter("low <> high").select("digest"), "clash")
+    store = store or shared_dir(spark, "dedup")
+    every, fresh = digest_states(spark, path, store, digest, files)
+    states = saved(every.select("digest", "keep_id", "n"), "states")
+    clash = saved(shared_digests(spark, path, store, fresh, digest), "clash")
     clashes = clash.count()
 
+    docs = spark.read.parquet(path)
     own = [F.col(c) for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256", "digest", "doc_id")] if text else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *own, F.sha2(whole_text(), 256).alias("text_sha256"), digest(whole_text()).alias("digest"), *([whole_text().alias("_bytes")] if clashes else []))
-    plain = rows.join(F.broadcast(clash) if clashes <= BROADCAST_ROWS else clash, "digest", "left_anti") if clashes else rows
+    plain = rows.join(sized(clash, 64), "digest", "left_anti") if clashes else rows
+    # a digest that a third of the rows share is split by the join; the states have one row of each
     found = plain.join(states.select("digest", "keep_id", F.col("n").alias("group_size")), "digest")
     if clashes:
-        odd = rows.join(clash, "digest", "left_semi")
+        odd = rows.join(sized(clash, 64), "digest", "left_semi")
         groups = odd.groupBy("_bytes").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         found = found.unionByName(odd.join(groups, "_bytes"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
