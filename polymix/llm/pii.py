@@ -2,8 +2,9 @@
 
 The field is trained on a small labelled table (made by ``labelled``), and decoded by Viterbi in numpy over batches of
 segments. A word of letters alone is always outside (a constraint of the model), so the chain parts exactly at such words:
-segments are the runs of other words that hold a digit, an @, or (at) or [at]. Spans of the field are added where the patterns left
-room and a plain test of their kind holds (digits of a phone number, check digit of a card...).
+segments are the runs of other words that hold a digit, an @, or (at) or [at]. What tells a card, an address or a number of another
+kind (check digit, parts up to 255, how many digits) is a feature; the field decides. Its spans are added where the patterns left room,
+without the marks at their ends. Words and context are read whole.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, whole_text
+from .common import release, slices, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("out", *KINDS)
@@ -66,35 +67,111 @@ def patterns(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+_AT = re.compile(r"\(at\)|\[at\]")
+_LEAD, _TAIL = re.compile(r"^[^\w+(]+"), re.compile(r"[^\w)]+$")
+
+
+def bare(word: str) -> tuple[int, int]:
+    """Where the word starts and ends without the marks around it."""
+    lead = _LEAD.match(word)
+    tail = _TAIL.search(word)
+    a, b = lead.end() if lead else 0, tail.start() if tail else len(word)
+    return (a, b) if a < b else (0, len(word))
+
+
 def shape(word: str) -> str:
-    """Letters to x or X (runs as one), digits to d with the run's length up to 5, other marks as they are."""
-    s = re.sub(r"[^\W\d_]+", lambda m: "X" if m[0][0].isupper() else "x", word)
+    """Letters to x or X (runs as one), digits to d with the run's length up to 5, (at) and [at] to @, other marks as they are."""
+    s = re.sub(r"[^\W\d_]+", lambda m: "X" if m[0][0].isupper() else "x", _AT.sub("@", word))
     return re.sub(r"[0-9]+", lambda m: f"d{min(5, len(m[0]))}", s)
 
 
-def features(words: list[str], before: str, after: str) -> list[list[str]]:
-    shapes = [shape(before), *map(shape, words), shape(after)]
-    return [[f"w{s}", f"b{p}", f"a{n}", f"h{s[:2]}", f"t{s[-2:]}", f"c{p[:2]} {s[:3]}"] for p, s, n in zip(shapes, shapes[1:], shapes[2:], strict=False)]
+def octets(word: str) -> bool:
+    """Four numbers of at most 255 in a row, a port after them or not."""
+    m = re.fullmatch(r"([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})(?::[0-9]+)?", word)
+    return bool(m) and all(int(x) <= 255 for x in m.groups())
+
+
+def checked(digits: list[str], pure: list[bool]) -> set[int]:
+    """Places of words of digits, one or some in a row, whose 14 to 19 digits end with a right check digit."""
+    found: set[int] = set()
+    for i in range(len(digits)):
+        joined = ""
+        for j in range(i, len(digits)):
+            joined += digits[j]
+            if not pure[j] or len(joined) > 19:
+                break
+            if len(joined) >= 14 and luhn(joined):
+                found |= set(range(i, j + 1))
+    return found
 
 
-def labelled(seed: int = 5, rows: int = 240) -> list[tuple[list[str], list[int]]]:
-    """The labelled table: sentences of words, each with the number of its label. Invented, from forms and a seed."""
+def features(words: list[str], before: str, after: str) -> list[list[str]]:
+    """Of each word: its shape and those around it, its ends, its digits and those of the run it is in, and the word before the segment."""
+    cut = [w[slice(*bare(w))] for w in words]
+    digits = [_digits(w) for w in cut]
+    pure = [bool(d) and re.fullmatch(r"[0-9-]+", w) is not None for d, w in zip(digits, cut, strict=True)]
+    good = checked(digits, pure)
+    dial = [re.fullmatch(r"[+().0-9-]+", w) is not None for w in cut]
+    run = []  # digits of the words around that could be dialled, without those that are an address
+    for t in range(len(cut)):
+        i = j = t
+        while i and dial[i - 1] and not octets(cut[i - 1]) and not cut[i].startswith("+"):
+            i -= 1
+        while j + 1 < len(cut) and dial[j + 1] and not octets(cut[j + 1]) and not cut[j + 1].startswith("+"):
+            j += 1
+        run.append(sum(map(len, digits[i : j + 1])))
+    cue = before.strip(".,:;!?()\"'").lower()
+    shapes = [shape(before), *map(shape, cut), shape(after)]
+    rows = []
+    for t, (p, s, n) in enumerate(zip(shapes, shapes[1:], shapes[2:], strict=False)):
+        facts = f"{t in good} {octets(cut[t])} {pure[t]}"
+        rows.append([f"w{s}", f"b{p} {s[:2]}", f"a{n} {s[-2:]}", f"h{s[:2]}", f"t{s[-2:]}", f"c{p[:2]} {s[:3]}", f"f{facts}", f"r{min(20, run[t])} {s}", f"n{min(20, len(digits[t]))} {facts}", f"q{cue} {s[:1]}"])
+    return rows
+
+
+def labelled(seed: int = 5, rows: int = 900) -> list[tuple[list[str], list[int]]]:
+    """The labelled table: sentences of words, each with the number of its label. Invented, from forms and a seed: what is personal, and
+    what looks like it (dates, amounts, versions, digests, card numbers with a wrong check digit, addresses with parts over 255)."""
     rng = np.random.default_rng(seed)
     num = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     word = lambda: "".join(rng.choice(list("abeilmnorst"), rng.integers(2, 8)))
+    hexed = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    pick = lambda *x: x[int(rng.integers(len(x)))]
+
+    def card(good: bool) -> str:
+        head = num(15)
+        last = next(c for c in "0123456789" if luhn(head + c))
+        return head + (last if good else str((int(last) + int(rng.integers(1, 10))) % 10))
+
+    def fours(c: str, sep: str) -> str:
+        return sep.join(c[i : i + 4] for i in range(0, 16, 4))
+
+    small = lambda: ".".join(str(x) for x in rng.integers(0, 256, 4))
     forms = {
-        "email": [lambda: f"{word()}.{num(2)}@{word()}.com", lambda: f"{word()}@{word()}{num(1)}.example.org", lambda: f"{word()}(at){word()}.com", lambda: f"{word()}[at]{word()}.org", lambda: f"{word()}{num(2)}(at){word()}.net"],
-        "ip": [lambda: ".".join(str(x) for x in rng.integers(1, 255, 4))],
-        "card": [lambda: num(16), lambda: " ".join(num(4) for _ in range(4)), lambda: "-".join(num(4) for _ in range(4))],
-        "phone": [lambda: f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"{num(3)}-{num(3)}-{num(4)}", lambda: f"+{num(2)} {num(3)} {num(4)} {num(3)}"],
-        "out": [lambda: f"{num(4)}-{num(2)}-{num(2)}", lambda: f"{num(2)}:{num(2)}", lambda: num(2) + ".", lambda: f"{num(1)}.{num(1)}.", lambda: num(5), lambda: f"${num(3)},{num(3)}", lambda: f"{word()}-{num(3)}", lambda: f"{word()}={num(12)}", lambda: f"@{word()}", lambda: f"{num(1)}.{num(2)}", lambda: f"{num(3)}-{num(3)}"],
+        "email": [lambda: f"{word()}.{num(2)}@{word()}.com", lambda: f"{word()}@{word()}{num(1)}.example.org", lambda: f"{word()}(at){word()}.com", lambda: f"{word()}[at]{word()}.org", lambda: f"{word()}.{word()}(at){word()}.net", lambda: f"{word()}_{num(2)}[at]{word()}-{word()}.co.uk"],
+        "ip": [small, small, lambda: f"{small()}:{num(4)}"],
+        "card": [lambda: card(True), lambda: fours(card(True), " "), lambda: fours(card(True), "-")],
+        "phone": [lambda: f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"{num(3)}-{num(3)}-{num(4)}", lambda: f"{num(3)}.{num(3)}.{num(4)}", lambda: f"+{num(2)} {num(3)} {num(4)} {num(3)}", lambda: f"+{num(2)} {num(2)} {num(4)} {num(4)}", lambda: f"+{num(11)}"],
+        "out": [
+            lambda: f"{num(4)}-{num(2)}-{num(2)}", lambda: f"{num(2)}:{num(2)}", lambda: num(2) + ".", lambda: f"{num(1)}.{num(1)}.", lambda: num(5), lambda: f"${num(3)},{num(3)}",
+            lambda: f"{word()}-{num(3)}", lambda: f"{word()}={num(12)}", lambda: f"@{word()}", lambda: f"{num(1)}.{num(2)}", lambda: f"{num(3)}-{num(3)}", lambda: card(False), lambda: card(False),
+            lambda: fours(card(False), " "), lambda: fours(card(False), "-"), lambda: f'"{hexed(40)}"', lambda: hexed(32), lambda: f"{rng.integers(256, 999)}.{num(2)}.{num(3)}.{num(1)}",
+            lambda: f"{num(1)}.{num(1)}.{num(1)}", lambda: num(int(rng.integers(6, 14))), lambda: f"{num(3)}-{num(1)}-{num(3)}-{num(5)}-{num(1)}", lambda: "(at)", lambda: f"{num(2)}/{num(2)}/{num(4)}", lambda: f"+{num(2)}%", lambda: f"({num(4)})", lambda: f"{num(2)} {num(3)} {num(3)}",
+            lambda: f"[{num(2)}]", lambda: f"{num(4)}-{num(4)}", lambda: f"{word()}@{word()}", lambda: f"{num(2)}.{num(3)}.{num(3)},{num(2)}",
+        ],
     }
     out = []
     for i in range(rows):
-        kind = LABELS[i % len(LABELS)]
-        own = forms[kind][int(rng.integers(len(forms[kind])))]().split(" ")
-        left, right = ([word() for _ in range(int(rng.integers(0, 4)))] for _ in range(2))
-        out.append(([*left, *own, *right], [0] * len(left) + [LABELS.index(kind)] * len(own) + [0] * len(right)))
+        words, labels = [], []
+        # one thing, or two in a row: neighbours must not run into each other
+        for kind in (LABELS[i % len(LABELS)], *((pick(*LABELS),) if rng.random() < 0.35 else ())):
+            own = pick(*forms[kind])().split(" ")
+            if rng.random() < 0.35:
+                own[-1] += pick(".", ",", "!!", ";", "***", "###", '"')
+            left, right = ([word() for _ in range(int(rng.integers(0, 3)))] for _ in range(2))
+            words += [*left, *own, *right]
+            labels += [0] * len(left) + [LABELS.index(kind)] * len(own) + [0] * len(right)
+        out.append((words, labels))
     return out
 
 
@@ -136,7 +213,7 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (np.log(np.exp(x - top).sum(axis, keepdims=True)) + top).squeeze(axis)
 
 
-def fit_field(table: list[tuple[list[str], list[int]]], epochs: int = 150, rate: float = 0.1, l2: float = 0.02) -> Field:
+def fit_field(table: list[tuple[list[str], list[int]]], epochs: int = 100, rate: float = 0.1, l2: float = 0.02) -> Field:
     """Gradient of the log-likelihood by forward and backward sums over the padded table, steps by Adam."""
     number: dict[str, int] = {}
     for words, _ in table:
@@ -200,56 +277,57 @@ def segments(text: str) -> list[tuple[list[tuple[int, int]], str, str]]:
         m = _TRIGGER.search(text, end)
     found = []
     for places in out:
-        before = text[max(0, places[0][0] - 40) : places[0][0]].split()
-        after = text[places[-1][1] : places[-1][1] + 40].split()
-        found.append((places, before[-1] if before else "", after[0] if after else ""))
+        a, b = places[0][0], places[-1][1]
+        found.append((places, _before(text, a), _after(text, b)))
     return found
 
 
-def _holds(kind: int, s: str) -> bool:
-    """The plain test of a span of the field."""
-    d = _digits(s)
-    if kind == 0:
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+(?:@|\(at\)|\[at\])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", s))
-    if kind == 1:
-        return bool(re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", s)) and all(int(x) <= 255 for x in s.split("."))
-    if kind == 2:
-        return 14 <= len(d) <= 19 and luhn(d) and bool(re.fullmatch(r"[0-9 -]+", s))
-    return bool(re.fullmatch(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}", s))
+def _before(text: str, a: int) -> str:
+    """The whole word before place ``a``."""
+    while a and text[a - 1].isspace():
+        a -= 1
+    start = a
+    while start and not text[start - 1].isspace():
+        start -= 1
+    return text[start:a]
+
+
+_WORD = re.compile(r"\S+")
 
 
-_EDGE = ".,;:!?\"'<>"
+def _after(text: str, b: int) -> str:
+    m = _WORD.search(text, b)
+    return m[0] if m else ""
 
 
-def _plain(word: str) -> str:
-    """A word with (at) or [at] without the marks at its ends, as the labelled table has them; others as they are."""
-    return word.strip(_EDGE) if "(at)" in word or "[at]" in word else word
+def pieces(words: list[str], labels: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(kind, first, last) of the runs of one label. Addresses are a word each, a card ends with 14 digits or more, a + begins a number."""
+    at = 0
+    while at < len(labels):
+        kind, last, n = labels[at], at, len(_digits(words[at]))
+        while last + 1 < len(labels) and labels[last + 1] == kind and ((kind == 3 and n < 14) or (kind == 4 and not words[last + 1].startswith("+"))):
+            last += 1
+            n += len(_digits(words[last]))
+        if kind:
+            yield kind - 1, at, last
+        at = last + 1
 
 
-def find(texts: list[str], field: Field) -> list[list[tuple[int, int, int]]]:
+def find(texts: list[str], field: Field, base: list[list[tuple[int, int, int]]] | None = None) -> list[list[tuple[int, int, int]]]:
     """Per text (start, kind, end): the patterns' spans, and the field's beside them."""
-    found: list[list] = [patterns(t) if _TRIGGER.search(t) else [] for t in texts]
+    found = [list(x) for x in base] if base is not None else [patterns(t) if _TRIGGER.search(t) else [] for t in texts]
     owners, rows = [], []
     for i, t in enumerate(texts):
         if _TRIGGER.search(t):
             for places, before, after in segments(t):
-                owners.append((i, places))
-                rows.append(field.ids([_plain(t[a:b]) for a, b in places], before, after))
-    for (i, places), labels in zip(owners, field.decode(rows), strict=True):
-        at = 0
-        while at < len(places):
-            kind, last = int(labels[at]), at
-            while last + 1 < len(places) and labels[last + 1] == kind:
-                last += 1
-            if kind:
-                a, b = places[at][0], places[last][1]
-                while b > a and texts[i][b - 1] in _EDGE:
-                    b -= 1
-                while a < b and texts[i][a] in _EDGE:
-                    a += 1
-                if _holds(kind - 1, texts[i][a:b]) and not any(x < b and a < y for x, _, y in found[i]):
-                    found[i].append((a, kind - 1, b))
-            at = last + 1
+                words = [t[a:b] for a, b in places]
+                owners.append((i, places, words))
+                rows.append(field.ids(words, before, after))
+    for (i, places, words), labels in zip(owners, field.decode(rows), strict=True):
+        for kind, first, last in pieces(words, labels.tolist()):
+            a, b = places[first][0] + bare(words[first])[0], places[last][0] + bare(words[last])[1]
+            if not any(x < b and a < y for x, _, y in found[i]):
+                found[i].append((a, kind, b))
     return [sorted(x) for x in found]
 
 
@@ -266,10 +344,10 @@ def scan_pii(docs: DataFrame, field: Field | None = None, keep: tuple[str, ...]
     names = own.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (s for b in batches for s in slices(b, "_text", 8_000_000)):
+        for part in (s for b in batches for s in slices(b, "_text")):
             texts = part.column("_text").to_pylist()
             base = [patterns(t) if _TRIGGER.search(t) else [] for t in texts]
-            spans, kept = find(texts, field), [part.column(n) for n in names]
+            spans, kept = find(texts, field, base), [part.column(n) for n in names]
             if keep is not None:
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(map(mask, texts, spans), pa.string())], names=[*names, "masked"])
                 continue
@@ -277,6 +355,7 @@ def scan_pii(docs: DataFrame, field: Field | None = None, keep: tuple[str, ...]
             counts = [pa.array([sum(k == j for _, k, _ in x) for x in base], pa.int64()) for j in range(len(KINDS))]
             digest = pa.array([hashlib.sha256(say(x).encode()).hexdigest() for x in base], pa.string())
             yield pa.RecordBatch.from_arrays([*kept, *counts, digest, pa.array(map(say, spans), pa.string()), pa.array(map(len, spans), pa.int64())], names=[*names, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
+        release()
 
     types = dict(own.dtypes)
     ddl = ", ".join(f"`{n}` {types[n]}" for n in names)
