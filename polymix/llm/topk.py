@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 from .common import saved
 
 PIVOTS, ROWS, ANNULI, QUERIES, SEEDS = 64, 512, 50_000, 2048, 2
+#: Queries whose bounds are held at once: 256 x 50,000 doubles are 100 MB.
+AT_ONCE = 256
 
 
 def integers(vectors: DataFrame, ident: str, vector: str, scale: int) -> DataFrame:
-    """id, v (array<long> of floor(scale * x)); vectors that are null or hold a null or a number that isn't finite are left out."""
+    """id, v (array<long> of floor(scale * x), at most the ends of long); vectors that are null or hold a null or a number that isn't finite
+    are left out."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
     return vectors.filter(F.col(ident).isNotNull() & F.col(vector).isNotNull() & finite).select(F.col(ident).cast("long").alias("id"), v.alias("v"))
@@ -36,6 +39,19 @@ def _matrix(rows, width: int) -> np.ndarray:
     return out
 
 
+def _products(a, b, width: int) -> np.ndarray:
+    """Inner products of integer vectors, exact: in doubles below 2**53, in 64-bit integers below 2**62, as Python's integers beyond
+    (then held to the range of long)."""
+    x, y = _matrix(a, width), _matrix(b, width)
+    size = float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * max(1, width)
+    if size < 1 << 53:
+        return (x @ y.T).astype(np.int64)
+    wide = lambda rows, t: np.array([[*map(int, x), *[0] * (width - len(x))] for x in rows], t).reshape(len(rows), width)
+    if size < 1 << 62:
+        return wide(a, np.int64) @ wide(b, np.int64).T
+    return np.clip(wide(a, object) @ wide(b, object).T, -(1 << 63), (1 << 63) - 1).astype(np.int64)
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best: score down, id up."""
     if len(scores) > k:
@@ -50,10 +66,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, ident: str = "vec_i
     """Per query: query_id, rank (from 1), vec_id, score (integer inner product); ties to the smaller vec_id.
 
     ``is_query`` tells the queries by ``id``. A query's own id is no candidate. Fewer candidates give fewer ranks. Vectors of
-    unequal length count as filled with zeros; rows that repeat an id are candidates each. Unusable vectors take no part; an
-    empty table gives no rows; other columns are ignored. The pivots (a bounded sample, drawn by a hash) and the catalogue of annuli
-    (at most about 50,000 rows: annuli hold more vectors as the table grows) are all that reaches the driver. Inner products are
-    exact in doubles below 2**53, checked against the longest vector.
+    unequal length count as filled with zeros; rows that repeat an id are candidates each, and as a query the id has the least of its
+    vectors. Unusable vectors take no part; an empty table gives no rows; other columns are ignored. Inner products are exact integers for
+    vectors of any size; a score beyond the range of long counts as its end. The pivots (a bounded sample, drawn by a hash) and the catalogue of annuli
+    (at most about 50,000 rows: annuli hold more vectors as the table grows) are all that reaches the driver.
     """
     spark = vectors.sparkSession
     base = saved(integers(vectors, ident, vector, scale), "vectors")
@@ -62,8 +78,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, ident: str = "vec_i
     out = "query_id long, rank int, vec_id long, score long"
     if not facts.n:
         return spark.createDataFrame([], out)
-    if facts.long >= 2**53:
-        raise ValueError("inner products may exceed 2**53")
     width, longest, rows = facts.width, facts.long, max(ROWS, facts.n // ANNULI)
     pivots = _matrix([r.v for r in base.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("v").collect()], width)
     pivots_sq = (pivots**2).sum(1)
@@ -108,17 +122,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, ident: str = "vec_i
         return (sq[:, None] + longest - least**2) / 2 + 1e-6 * (longest + sq[:, None]) + 1
 
     def seeds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            v = _matrix(f["v"], width)
-            order = np.argsort(-bounds(v), axis=1)[:, : 4 * SEEDS]
-            for j, row in enumerate(order):
-                for a in list(dict.fromkeys(annulus[row].tolist()))[:SEEDS]:
-                    yield pd.DataFrame({"qid": [f["qid"].iloc[j]], "q": [f["q"].iloc[j]], "v": [f["v"].iloc[j]], "annulus": [a]})
+        for f in (x.iloc[c : c + AT_ONCE] for x in frames for c in range(0, len(x), AT_ONCE)):
+            most = min(4 * SEEDS, len(annulus))
+            b = bounds(_matrix(f["v"], width))
+            top = np.argpartition(-b, most - 1, axis=1)[:, :most]
+            order = np.take_along_axis(top, np.argsort(-np.take_along_axis(b, top, 1), axis=1), 1)
+            at = [(j, a) for j, row in enumerate(order) for a in list(dict.fromkeys(annulus[row].tolist()))[:SEEDS]]
+            own = f.iloc[[j for j, _ in at]]
+            yield pd.DataFrame({"qid": own["qid"].to_numpy(), "q": own["q"].to_numpy(), "v": own["v"].to_numpy(), "annulus": [a for _, a in at]})
 
     def later(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for cut_ in range(0, len(f), 512):
-                g = f.iloc[cut_ : cut_ + 512]
+            for cut_ in range(0, len(f), AT_ONCE):
+                g = f.iloc[cut_ : cut_ + AT_ONCE]
                 ok = bounds(_matrix(g["v"], width)) >= g["least"].to_numpy()[:, None]
                 j, e = np.nonzero(ok)
                 pairs = pd.DataFrame({"j": j, "annulus": annulus[e]}).drop_duplicates()
@@ -135,12 +151,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, ident: str = "vec_i
     def scan(mine: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(mine) or not len(block):
             return pd.DataFrame({"qid": [], "vec_id": [], "score": [], "annulus": []}).astype("int64")
-        scores = _matrix(mine["v"], width) @ _matrix(block["w"], width).T
+        scores = _products(mine["v"].tolist(), block["w"].tolist(), width)
         ids, found = block["id"].to_numpy(), []
         for i, qid in enumerate(mine["qid"].to_numpy()):
             other = np.flatnonzero(ids != qid)
             at = other[_best(scores[i, other], ids[other], k)]
-            found.append(pd.DataFrame({"qid": qid, "vec_id": ids[at], "score": scores[i, at].astype(np.int64), "annulus": mine["annulus"].iloc[0]}))
+            found.append(pd.DataFrame({"qid": qid, "vec_id": ids[at], "score": scores[i, at], "annulus": mine["annulus"].iloc[0]}))
         return pd.concat(found)
 
     def scanned(pairs: DataFrame) -> DataFrame:
@@ -152,7 +168,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, ident: str = "vec_i
     # the number of query blocks follows the queries
     chosen = base.filter(is_query)
     many = max(1, chosen.count() // QUERIES)
-    queries = saved(chosen.select(F.col("id").alias("qid"), F.pmod(F.xxhash64("id"), F.lit(many)).cast("int").alias("q"), "v").dropDuplicates(["qid"]), "queries")
+    queries = saved(chosen.select(F.col("id").alias("qid"), F.pmod(F.xxhash64("id"), F.lit(many)).cast("int").alias("q"), "v").groupBy("qid", "q").agg(F.min("v").alias("v")), "queries")
     tasks = min(4096, max(8, queries.count() // 64))
     pairs = saved(queries.repartition(tasks).mapInPandas(seeds, asked), "seeds")
     first = saved(scanned(pairs), "first")
