@@ -9,30 +9,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import saved, sized, whole_text
 
 WIDTH = 3
+#: Any character but ASCII white space: lines without one are blank.
+FILLED = r"[^\x20\x09-\x0D]"
+#: A window found more often than this is hot.
+HOT = 10_000
 
 
 def line_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per document: doc_id, text (without the removed lines), n_lines, n_removed, kept_sha256.
 
-    Lines are what newlines part. Windows of blank lines alone don't count. Documents with fewer lines than a window
-    stay whole. Null text counts as empty (one empty line). Rows that repeat doc_id and text are one document and are
-    treated alike. Other columns are ignored; an empty table gives no rows.
+    Lines are what newlines part. A line is blank if it holds nothing but ASCII white space (blank, tab, vertical tab, form feed, carriage
+    return); windows of blank lines alone don't count and stay. Documents with fewer lines than a window stay whole. Null text counts
+    as empty (one empty line). Rows that repeat doc_id and text are one document and are treated alike. Other columns are ignored; an
+    empty table gives no rows.
 
-    Windows are shuffled once by their hash (counted before the shuffle, so a window that a third of the documents
-    share is a row per task) and once more to find their documents again; texts are shuffled once.
+    Windows (a hash and a place, no text) are written once. Their counts are partial sums before the shuffle; windows found more
+    than once find their places again by a broadcast where they are counted to be few. Beyond that by a shuffle, but for hot windows:
+    these are broadcast always, as there can't be many (``HOT`` grows with the table, so that at most half a million are hot), so no task
+    holds all places of one window. Texts stay where they are, unless covered places are too many to broadcast.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     base = base.withColumn("tie", F.xxhash64("text")).withColumn("lines", F.split("text", "\n", -1))
     starts = F.when(F.size("lines") >= width, F.sequence(F.lit(0), F.size("lines") - width)).otherwise(F.array().cast("array<int>"))
-    hashed = F.transform(starts, lambda i: F.when(F.trim(F.array_join(F.slice("lines", i + 1, width), "")) != "", F.unhex(F.md5(F.array_join(F.slice("lines", i + 1, width), "\n")))))
+    window = lambda i: F.array_join(F.slice("lines", i + 1, width), "\n")
+    hashed = F.transform(starts, lambda i: F.when(F.rlike(F.array_join(F.slice("lines", i + 1, width), " "), F.lit(FILLED)), F.unhex(F.md5(window(i)))))
     windows = base.select("doc_id", "tie", F.posexplode(hashed).alias("pos", "h")).filter("h is not null")
-    windows = windows.select("h", F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "tie", "pos").alias("at"))
-    seen = windows.groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
-    later = windows.join(seen, "h").filter(F.col("at") > F.col("first")).groupBy(F.col("at.id").alias("id"), F.col("at.tie").alias("tie"))
-    later = later.agg(F.sort_array(F.collect_set("at.pos")).alias("covered"))
+    windows = saved(windows.select("h", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "tie", "pos"), "windows")
+    at = F.struct("id", "tie", "pos")
+    seen = saved(windows.groupBy("h").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1"), "seen")
+    hot = max(HOT, windows.count() // 500_000)
+    parts = [windows.join(F.broadcast(seen.filter(F.col("n") > hot)), "h"), windows.join(sized(seen.filter(F.col("n") <= hot), 80), "h")]
+    later = parts[0].unionByName(parts[1]).filter(at > F.col("first")).groupBy("id", "tie")
+    later = saved(later.agg(F.sort_array(F.collect_set("pos")).alias("covered")), "later")
+    later = sized(later, 48 + 4 * F.size("covered"))
     both = base.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(later, ["id", "tie"], "left")
     covered = F.coalesce("covered", F.array().cast("array<int>"))
     # lines that stay lie between the end of a covered window and the start of the next
@@ -46,11 +58,11 @@ def line_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 #: The same rows in DuckDB, without the texts.
-ORACLE = """
+ORACLE = r"""
 with base as (select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as l from documents),
 w as (select doc_id, text, unnest(range(0, len(l) - 2)) as pos, l from base where len(l) >= 3),
 h as (select doc_id, text, pos, l[pos + 1] || chr(10) || l[pos + 2] || chr(10) || l[pos + 3] as h,
-             trim(l[pos + 1] || l[pos + 2] || l[pos + 3], ' ') <> '' as filled from w),
+             regexp_matches(l[pos + 1] || l[pos + 2] || l[pos + 3], '[^\x20\x09-\x0D]') as filled from w),
 r as (select *, row_number() over (partition by h order by doc_id, pos) as k from h where filled),
 c as (select distinct doc_id, pos + unnest([0, 1, 2]) as line from r where k > 1),
 ln as (select doc_id, unnest(range(0, len(l))) as line, unnest(l) as s from base),
