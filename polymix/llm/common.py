@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 #: A side of a join is broadcast up to this size.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
+#: Rows of an Arrow batch: documents are some kilobytes, so a batch of Spark's usual 10,000 would be tens of megabytes in JVM and worker.
+ARROW_ROWS, ARROW_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
@@ -33,8 +35,15 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/polymix/{what}-{uuid.uuid4().hex}"
 
 
+def settled(spark: SparkSession) -> None:
+    """Smaller Arrow batches, unless the session asks for a size of its own."""
+    if spark.conf.get(ARROW_SETTING) == "10000":
+        spark.conf.set(ARROW_SETTING, ARROW_ROWS)
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+    settled(df.sparkSession)
     path = shared_dir(df.sparkSession, what)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -65,6 +74,7 @@ def release() -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    settled(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

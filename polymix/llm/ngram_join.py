@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, release, saved, sized, slices, whole_text
 
-COUNT_BITS, BLOCK = 18, 4096
+COUNT_BITS, BLOCK = 21, 65536
 STARS = 3
 #: Partners of one class that meet in one place; more are spread, and the class's text goes to each place.
 FAN = 64
@@ -116,7 +116,7 @@ def text_key() -> Column:
 
 def _per_text(batches: Iterator[pa.RecordBatch], make) -> Iterator[tuple[pa.RecordBatch, list]]:
     with np.errstate(over="ignore"):
-        for part in (s for b in batches for s in slices(b, "text", 2_000_000)):
+        for part in (s for b in batches for s in slices(b, "text", 600_000)):
             yield part, make(part.column("text"))
     release()
 
@@ -125,17 +125,18 @@ def bucket_counts(base: DataFrame, width: int) -> np.ndarray:
     """How many documents hold a shingle of each hash bucket, over all documents; a table of fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNT_BITS, np.int64)
+        total = np.zeros(1 << COUNT_BITS, np.uint32)
         for _, sets in _per_text(batches, Shingler(width).sets):
             if sets:
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
+                at, n = np.unique(np.concatenate(sets) >> np.uint64(64 - COUNT_BITS), return_counts=True)
+                total[at.astype(np.int64)] += n.astype(np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total) // BLOCK)), pa.array([x.tobytes() for x in total.reshape(-1, BLOCK)], pa.binary())], names=["block", "counts"])
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BLOCK, np.int64)
         for batch in batches:
             for x in batch.column("counts"):
-                total += np.frombuffer(x.as_buffer(), np.int64)
+                total += np.frombuffer(x.as_buffer(), np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
 
     blocks = base.select("text").mapInArrow(count, "block long, counts binary")
@@ -275,7 +276,7 @@ def placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     # partial sums before the shuffle: a token that very many groups hold is a row per task
     held = tokens.groupBy("token").agg(F.count("*").alias("g"), F.min("low").alias("least_label"), F.max("high").alias("most_label"))
     held = saved(held.filter("g > 1 and least_label < most_label").select("token"), "held")
-    tokens = saved(tokens.join(sized(held, 32), "token"), "tokens")
+    tokens = saved(tokens.join(sized(held, 20), "token"), "tokens")
     discard(wide, held)
     x, y = (tokens.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "low", "high", "pos"))) for s in "xy")
     need = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent) - 1e-9)
@@ -285,7 +286,13 @@ def placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     found = x.join(y, "token").filter((F.col("gid_x") < F.col("gid_y")) & _fits("n_x", "n_y", percent) & differ & (room >= need))
     shared = found.groupBy("gid_x", "gid_y").agg(F.count("*").alias("c"), F.min(room).alias("left"), F.first("n_x").alias("n_x"), F.first("n_y").alias("n_y"))
     # what is shared up to the last of these places, and all that is left after it, must do
-    shared = shared.filter(F.col("c") + F.col("left") - 1 >= need)
+    shared = saved(shared.filter(F.col("c") + F.col("left") - 1 >= need).select("gid_x", "gid_y", "n_x", "n_y"), "shared")
+    # of two prefixes, one ends first in the global order: what it holds and the other doesn't is missing in the other's whole set
+    own = tokens.select("token", "gid")
+    both = shared.join(own.withColumnRenamed("gid", "gid_x"), "gid_x").join(own.withColumnRenamed("gid", "gid_y"), ["gid_y", "token"])
+    over = lambda n: F.expr(f"1 - ({n} * {percent} + 99) div 100")  # noqa: E731  (length of the prefix, less the size)
+    both = both.groupBy("gid_x", "gid_y", "n_x", "n_y").agg(F.count("*").alias("c"))
+    shared = both.filter(F.col("c") >= need + F.least(over("n_x"), over("n_y")))
     found = shared.select(F.col("gid_x").alias("x"), F.col("gid_y").alias("y")).union(groups.filter("m > 1 and low < high").select(F.col("gid").alias("x"), F.col("gid").alias("y")))
     members = classes.join(groups.select("head", "n", "gid"), ["head", "n"]).select("gid", "cid", "label")
     a = members.select(F.col("gid").alias("x"), F.col("cid").alias("a"), F.col("label").alias("of_a"))
