@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import saved, shared_dir, sized, whole_text
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ADDED = ("doc_id", "keep_id", "group_size", "kept", "text_sha256", "digest", "n", "_keep", "_bytes")
+
 Digest = Callable[[Column], Column]
 
 
@@ -66,8 +68,9 @@ def digest_states(spark: SparkSession, path: str, store: str, digest: Digest = s
         batch.write.mode("overwrite").parquet(f"{store}/updates/batch={number}")
         written.append(f"{store}/updates/batch={number}")
 
-    # many small states: no space is set aside for their logs
-    settings = {provider: ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+    # many small states: no space is set aside for their logs, and all of an executor's stores share a bounded memory
+    rocksdb = "spark.sql.streaming.stateStore.rocksdb"
+    settings = {provider: ROCKSDB, f"{rocksdb}.allowFAllocate": "false", f"{rocksdb}.boundedMemoryUsage": "true", f"{rocksdb}.maxMemoryUsageMB": "96"}
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
@@ -122,14 +125,17 @@ def exact_dedup(spark: SparkSession, path: str, digest: Digest = sha256, files:
     clashes = clash.count()
 
     docs = spark.read.parquet(path)
-    own = [F.col(c) for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256", "digest", "doc_id")] if text else []
+    own = [F.col(c) for c in docs.columns if c not in ADDED] if text else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *own, F.sha2(whole_text(), 256).alias("text_sha256"), digest(whole_text()).alias("digest"), *([whole_text().alias("_bytes")] if clashes else []))
     plain = rows.join(sized(clash, 64), "digest", "left_anti") if clashes else rows
-    # a digest that a third of the rows share is split by the join; the states have one row of each
-    found = plain.join(states.select("digest", "keep_id", F.col("n").alias("group_size")), "digest")
+    # a digest found once needs no state; one that a third of the rows share is split by the join
+    hits = states.filter("n > 1").select("digest", F.col("keep_id").alias("_keep"), "n")
+    found = plain.join(sized(hits, 96), "digest", "left")
+    found = found.withColumn("keep_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("_keep")))
+    found = found.withColumn("group_size", F.coalesce("n", F.lit(1).cast("long"))).drop("n", "_keep")
     if clashes:
         odd = rows.join(sized(clash, 64), "digest", "left_semi")
         groups = odd.groupBy("_bytes").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         found = found.unionByName(odd.join(groups, "_bytes"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
-    return found.select("doc_id", *(c for c in found.columns if own and c not in ("doc_id", "keep_id", "group_size", "text_sha256", "digest", "_bytes")), "keep_id", "group_size", kept, "text_sha256")
+    return found.select("doc_id", *(c for c in found.columns if own and c not in ADDED), "keep_id", "group_size", kept, "text_sha256")
