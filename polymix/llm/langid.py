@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, whole_text
+from .common import release, slices, whole_text
 
 BITS, ORDERS, SPAN = 16, (1, 2, 3), 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, learn: Column, sample: int = 3000) -> Model | None:
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, df, seen = Grams(), np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, bool)
-        for part in (s for b in batches for s in slices(b, "text")):
+        for part in (s for b in batches for s in slices(b, "text", 1_000_000)):
             for text in part.column("text").to_pylist():
                 seen[:] = False
                 for b in grams.buckets(grams.codes(text)):
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, learn: Column, sample: int = 3000) -> Model | None:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
-        for part in (s for b in batches for s in slices(b, "text")):
+        for part in (s for b in batches for s in slices(b, "text", 1_000_000)):
             rows = []
             for text in part.column("text").to_pylist():
                 count = np.zeros(1 << BITS, np.int64)
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, learn: Column, sample: int = 3000) -> Model | None:
         df[r.bucket] = r.df
     idf = np.log((1 + total) / (1 + df)) + 1
     rows = drawn.filter("drawn").select("doc_id", "text", "lang").mapInArrow(features, "doc_id long, lang string, at binary, share binary").collect()
-    rows = sorted(((r.doc_id or 0, r.lang, np.frombuffer(r["at"], np.int32), np.frombuffer(r.share, np.float32)) for r in rows), key=lambda r: (r[0], r[1]))
+    rows = sorted(((r.doc_id or 0, r.lang, np.frombuffer(r["at"], np.int32), np.frombuffer(r.share, np.float32)) for r in rows), key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
     return fit_ftrl(rows, idf, sorted(totals), epochs=3)
 
 
@@ -166,7 +166,7 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, m = Grams(), held.value
-        for part in (s for b in batches for s in slices(b, "_text")):
+        for part in (s for b in batches for s in slices(b, "_text", 1_000_000)):
             found = []
             for text in part.column("_text").to_pylist():
                 codes = grams.codes(text)
@@ -181,6 +181,7 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) ->
                 found.append(m.score(sums / n))
             kept = [part.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*names, "lang_pred", "score"])
+        release()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c) for c in names[1:]), whole_text().alias("_text"))
     types = dict(own.dtypes)
