@@ -48,7 +48,7 @@ class ChunkTokenizer:
     word and run of marks is looked up once a batch.
     """
 
-    def __init__(self, path: str, spaced: bool, most: int = 48_000_000):
+    def __init__(self, path: str, spaced: bool, most: int = 24_000_000):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
@@ -158,16 +158,13 @@ class ChunkTokenizer:
         return ids, np.concatenate([[0], np.cumsum(n)])[cuts]
 
 
-_OPEN: dict[tuple[str, bool], ChunkTokenizer] = {}
-
-
 @contextmanager
 def chunk_tokenizer(path: str, spaced: bool) -> Iterator[ChunkTokenizer]:
-    """The tokenizer is opened once per Python worker; its table is dropped at the end of the task."""
-    if (path, spaced) not in _OPEN:
-        _OPEN[path, spaced] = ChunkTokenizer(path, spaced)
+    """For one task: opening the vocabulary takes a quarter of a second, keeping it would hold a worker's memory for good."""
+    encoder = ChunkTokenizer(path, spaced)
     try:
-        yield _OPEN[path, spaced]
+        yield encoder
     finally:
-        _OPEN[path, spaced].clear()
+        encoder.clear()
+        del encoder
         release()

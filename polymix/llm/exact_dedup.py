@@ -70,7 +70,7 @@ def digest_states(spark: SparkSession, path: str, store: str, digest: Digest = s
 
     # many small states: no space is set aside for their logs, and all of an executor's stores share a bounded memory
     rocksdb = "spark.sql.streaming.stateStore.rocksdb"
-    settings = {provider: ROCKSDB, f"{rocksdb}.allowFAllocate": "false", f"{rocksdb}.boundedMemoryUsage": "true", f"{rocksdb}.maxMemoryUsageMB": "96"}
+    settings = {provider: ROCKSDB, f"{rocksdb}.allowFAllocate": "false", f"{rocksdb}.boundedMemoryUsage": "true", f"{rocksdb}.maxMemoryUsageMB": "48"}
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
