@@ -1,4 +1,4 @@
-"""Gibbs chain of the Gaussian mixture model in synchronisation windows.
+"""Gibbs chain of the Gaussian mixture model in synchronisation windows, by joins alone: for more individuals or effects than ``chain`` broadcasts.
 
 Within a window every marker sees the residual as of the last synchronisation, so a window is two grouped sums: the numerators per
 marker and the change of the residual per individual. Draws come from counters (seed, iteration, marker), so a chain doesn't
@@ -63,7 +63,9 @@ def iterate(geno: DataFrame, marker: DataFrame, eps: DataFrame, beta: DataFrame,
     mu = float(rng.normal((m.s + n * h.mu) / n, np.sqrt(h.sigma_e / n)))
     eps = eps.withColumn("e", F.col("e") + F.lit(h.mu - mu))
     window = F.pmod(F.xxhash64(F.lit(s.seed), F.lit(it), "marker_id"), F.lit(s.windows))
-    for w in range(s.windows):
+    if not h.sigma_g:  # no effects are left, and none come back: only the mean and the residual's variance move on
+        eps = save(eps)
+    for w in range(s.windows if h.sigma_g else 0):
         mine = marker.filter(window == w)
         now = numerators(geno, mine, eps, beta, n)
         logs, means = mixture.log_weights(F.col("num"), n, h.sigma_g, h.sigma_e, list(h.pi), list(s.scale))
@@ -82,7 +84,7 @@ def iterate(geno: DataFrame, marker: DataFrame, eps: DataFrame, beta: DataFrame,
     sq, m0 = sum(b for _, b in counts.values()), int(cass[1:].sum())
     inv_chi = lambda dof, scale: float(1 / rng.gamma(dof / 2, 2 / (dof * scale)))
     sigma_g = inv_chi(s.v0 + m0, (sq * m0 + s.v0 * s.s0) / (s.v0 + m0)) if m0 else 0.0
-    pi = tuple(rng.dirichlet(cass + 1.0).tolist())
+    pi = tuple(rng.dirichlet(cass + 1.0).tolist()) if m0 else h.pi
     ee = eps.agg(F.sum(F.col("e") * F.col("e"))).first()[0]
     sigma_e = inv_chi(s.v0 + n, (ee + s.v0 * s.s0) / (s.v0 + n))
     return eps, beta, replace(h, iteration=it, mu=mu, sigma_g=sigma_g, sigma_e=sigma_e, pi=pi, m0=m0, h2=sigma_g / (sigma_g + sigma_e))
@@ -97,8 +99,6 @@ def run(geno: DataFrame, y: DataFrame, iterations: int, s: Settings, save, state
         state = (y.select("ind_id", F.col("y").alias("e")), marker.select("marker_id", F.lit(0.0).alias("beta"), F.lit(0).alias("component")), start(y, s))
     trace = []
     for _ in range(iterations):
-        if not state[2].sigma_g:
-            break  # a group without effects stays without
         state = iterate(geno, marker, *state, s, save)
         trace.append(state[2])
     return state, trace

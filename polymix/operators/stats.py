@@ -82,6 +82,32 @@ def block_of(marker: Column, markers: int, blocks: int) -> Column:
     return F.when(marker < edge, F.floor(marker / (q + 1))).otherwise(r + F.floor((marker - edge) / max(q, 1))).cast("long")
 
 
+def node_of(task: Column, tasks: int, per_node: int) -> Column:
+    """The node of a task, where nodes take ``per_node`` tasks as far as needed and the others one less, in the order of the tasks."""
+    nodes = -(-tasks // per_node)
+    full = tasks + nodes * (1 - per_node)
+    edge = full * per_node
+    return F.when(task < edge, F.floor(task / per_node)).otherwise(full + F.floor((task - edge) / max(per_node - 1, 1))).cast("long")
+
+
+def trait_dots(cells: DataFrame, traits: DataFrame) -> DataFrame:
+    """Per marker and trait: n1, n2, nm, mave, mstd, num over the individuals whose trait is known. ``traits``: ind_id, trait, y (null:
+    not in the trait's mask). One shuffle of the cells, keyed by individual, and partial sums per marker and trait."""
+    known = traits.filter("y is not null")
+    moments_of = known.groupBy("trait").agg(F.count("*").alias("n"), F.avg("y").alias("m"), F.stddev_samp("y").alias("s"))
+    z = known.join(F.broadcast(moments_of), "trait").select("ind_id", "trait", ((F.col("y") - F.col("m")) / F.col("s")).alias("z"))  # a row per trait
+    over = lambda d: F.sum(F.when(_is(d), F.col("z")).otherwise(0.0))
+    sums = cells.join(z, "ind_id").groupBy("marker_id", "trait").agg(
+        F.count_if(_is(1)).alias("n1"), F.count_if(_is(2)).alias("n2"), F.count_if(_is(None)).alias("nm"), over(1).alias("s1"), over(2).alias("s2"), over(None).alias("sm"))
+    sums = sums.join(F.broadcast(moments_of.select("trait", "n")), "trait")
+    mave = (F.col("n1") + 2 * F.col("n2")) / (F.col("n") - F.col("nm")).cast("double")
+    zeros = F.col("n") - F.col("nm") - F.col("n1") - F.col("n2")
+    ss = F.col("n1") * (1 - mave) * (1 - mave) + F.col("n2") * (2 - mave) * (2 - mave) + zeros * mave * mave
+    sums = sums.withColumns({"mave": mave, "ss": ss}).filter("ss > 0").withColumn("mstd", F.sqrt((F.col("n") - 1.0) / F.col("ss")))
+    # the masked trait sums to zero over its individuals
+    return sums.withColumn("num", F.col("mstd") * (F.col("s1") + 2 * F.col("s2") + F.col("mave") * F.col("sm"))).drop("ss")
+
+
 def pack(geno: DataFrame, individuals: int) -> DataFrame:
     """marker_id, packed: two bits per individual, low bits first, 00=2 01=missing 10=1 11=0. One shuffle by marker; the list of a
     marker's cells is bounded by the individuals, as its packed row is."""

@@ -322,6 +322,10 @@ VI = f"(select ind_id, exp(0.8e0 * y - {EULER}e0) as v from ph)"
 VSUM = f"(select g.marker_id, any_value(mave) as m, 1 / any_value(mstd) as s, any_value(sv) as sv, sum(case when d = 1 then v else 0e0 end) as v1, sum(case when d = 2 then v else 0e0 end) as v2 from geno g join {VI} v on g.ind_id = v.ind_id join st on st.marker_id = g.marker_id, (select sum(v) as sv from {VI}) group by g.marker_id)"
 
 
+FSUM = """(select g.marker_id, any_value(mstd) * (sum(case when d = 1 then fail when d = 2 then 2 * fail else 0 end) - any_value(mave) * any_value(sf)) as sf
+from geno g join fail f on g.ind_id = f.ind_id join st on st.marker_id = g.marker_id, (select sum(fail) as sf from fail) group by g.marker_id)"""
+
+
 def vi_sums(d: Domain) -> DataFrame:
     v = d.phenotype().select("ind_id", F.exp(0.8 * F.col("y") - F.lit(EULER)).alias("v"))
     total = v.agg(F.sum("v")).first()[0] or 0.0
@@ -338,18 +342,17 @@ GH_X, GH_W = (a.tolist() for a in np.polynomial.hermite.hermgauss(5))
 
 
 def _integrand_sql(c: float) -> str:
-    """sigma * sum of w * exp(x^2) * f(sigma * x), f as in the marginal likelihood without failures, alpha 0.8, sigma_g 0.5."""
+    """sigma * sum of w * exp(x^2) * f(sigma * x), f as in the marginal likelihood, alpha 0.8, sigma_g 0.5."""
     root = float(np.sqrt(2 * c * 0.5))
     e = "((v1 * (1 - 2 * m) + 4 * (1 - m) * v2 + m * m * sv) / (s * s))"
     sg = f"(1 / sqrt(1 + 0.64e0 * 0.5e0 * {c}e0 * {e}))"
     v0 = "(sv - v1 - v2)"
-    terms = [f"{float(w * np.exp(x * x))!r}e0 * exp(sv - exp(0.8e0 * (m / s) * {sg} * ({x!r}e0) * {root!r}e0) * ({v0} + v1 * exp(-0.8e0 * {sg} * ({x!r}e0) * {root!r}e0 / s) + v2 * exp(-1.6e0 * {sg} * ({x!r}e0) * {root!r}e0 / s)) - ({sg} * ({x!r}e0)) * ({sg} * ({x!r}e0)))" for x, w in zip(GH_X, GH_W, strict=True)]
+    terms = [f"{float(w * np.exp(x * x))!r}e0 * exp(-0.8e0 * ({sg} * ({x!r}e0)) * {root!r}e0 * sf + sv - exp(0.8e0 * (m / s) * {sg} * ({x!r}e0) * {root!r}e0) * ({v0} + v1 * exp(-0.8e0 * {sg} * ({x!r}e0) * {root!r}e0 / s) + v2 * exp(-1.6e0 * {sg} * ({x!r}e0) * {root!r}e0 / s)) - ({sg} * ({x!r}e0)) * ({sg} * ({x!r}e0)))" for x, w in zip(GH_X, GH_W, strict=True)]
     return f"{sg} * ({' + '.join(terms)})"
 
 
-@query(f"select marker_id, round(ln({_integrand_sql(0.001)}), 6) as log_like_1, round(ln({_integrand_sql(0.01)}), 6) as log_like_2 from {VSUM}")
+@query(f"select marker_id, round(ln({_integrand_sql(0.001)}), 6) as log_like_1, round(ln({_integrand_sql(0.01)}), 6) as log_like_2 from {VSUM} join {FSUM} using (marker_id)")
 def gh_marginal_likelihood(d):
-    # the whole integrand, with the failure term; the SQL above leaves that term out, so the two differ where a failure sum isn't zero
     m, s, sv, v1, v2, sf = map(F.col, ("m", "s", "sv", "v1", "v2", "sum_failure"))
 
     def integral(c: float) -> Column:
@@ -470,6 +473,121 @@ def dimensions(d):
     return c.select(F.lit(d.individuals().count()).alias("individuals"), F.lit(d.table("part").count()).alias("markers"), "n1", "n2", "nm")
 
 
+@query("""select k.ind_id, round(coalesce(s, 0) - flat, 6) as delta_eps from keep k
+left join (select ind_id, sum(case when d is null then a * mave else a * d end) as s from geno g join (select marker_id, mave, mstd * (marker_id % 7 - 3) / 100e0 as a from st) m on g.marker_id = m.marker_id group by ind_id) x on k.ind_id = x.ind_id,
+(select sum(mstd * (marker_id % 7 - 3) / 100e0 * mave) as flat from st)""")
+def delta_eps_allreduce(d):
+    # the change of the residual from the block kernel of the chains: a partial vector per task, added up by parts of the vector
+    from ..operators import chain
+
+    geno, index, n = chain.indexed(d.genotype(), d.individuals().select("ind_id"))
+    moved = delta(d).filter("delta_beta <> 0")
+    change = chain.residual_change(chain.marker_lists(geno, n), moved, n)
+    return index.join(change, "ind").select("ind_id", F.round("delta_eps", 6).alias("delta_eps"))
+
+
+MIXTURES = "(select cast(p_size % 2 as int) as grp, cast(k as int) as k, case when k = 0 then 0e0 else (p_size % 2 + 1) * pow(10e0, k - 4) end as cva, count(*) as markers from part, (select unnest([0, 1, 2, 3]) as k) group by 1, 2, 3)"
+
+
+def mixtures(d: Domain) -> DataFrame:
+    """grp, k, cva, markers: the mixture of each group of markers, the zero component first."""
+    g = d.table("part").groupBy((F.col("p_size") % 2).cast("int").alias("grp")).agg(F.count("*").alias("markers"))
+    k = g.select("grp", "markers", F.explode(F.array(*map(F.lit, range(4)))).alias("k"))
+    cva = F.when(F.col("k") == 0, 0.0).otherwise((F.col("grp") + 1) * F.pow(F.lit(10.0), F.col("k") - 4))
+    return k.select("grp", "k", F.when(cva >= 0, cva).otherwise(F.raise_error(F.lit("a mixture variance is negative")).cast("double")).alias("cva"), "markers")
+
+
+@query(f"select grp, k, round(cva, 6) as cva, markers from {MIXTURES}")
+def mixture_table(d):
+    return rounded(mixtures(d), cva=6)
+
+
+@query(f"select grp, k, round(case when k = 0 then 0.5e0 else 0.5e0 * cva / sum(cva) over (partition by grp) end, 6) as pi from {MIXTURES}")
+def prior_pi_init(d):
+    share = 0.5 * F.col("cva") / F.sum("cva").over(Window.partitionBy("grp"))
+    return mixtures(d).select("grp", "k", F.round(F.when(F.col("k") == 0, 0.5).otherwise(share), 6).alias("pi"))
+
+
+GRID = "(select unnest([0.1e0, 0.3e0, 0.5e0, 0.7e0, 0.9e0]) as x)"
+
+
+@query(f"""select x, round(-0.8e0 * x * any_value(fails) - sum(exp(0.8e0 * (y - x) - {EULER}e0)) - x * x / 200, 4) as log_mu,
+round((0.01e0 + any_value(fails) - 1) * ln(x) + x * (any_value(ef) - 0.01e0) - sum(exp(x * y - {EULER}e0)), 4) as log_alpha,
+round(-0.8e0 * x * any_value(cf) - sum(exp(0.8e0 * (y - x1 / 25 * x) - {EULER}e0)) - x * x / 200, 4) as log_gamma
+from (select ph.*, cast(c_nationkey as double) as x1 from ph join customer on c_custkey = ind_id), {GRID},
+(select sum(fail) as fails, sum(fail * y) as ef, sum(fail * c_nationkey / 25e0) as cf from fail join ph using (ind_id) join customer on c_custkey = ind_id) group by x""")
+def weibull_density_grid(d):
+    # log densities of the intercept, the shape and a covariate's effect, as the survival chain evaluates them, over a grid
+    t = d.phenotype().join(d.failure(), "ind_id").join(d.table("customer").select(F.col("c_custkey").alias("ind_id"), (F.col("c_nationkey") / F.lit(25.0)).alias("x1")), "ind_id")
+    fails = t.agg(F.sum("fail").alias("n"), F.sum(F.col("fail") * F.col("y")).alias("ef"), F.sum(F.col("fail") * F.col("x1")).alias("cf"))
+    x, y = F.col("x"), F.col("y")
+    sums = t.select("y", "x1", F.explode(F.array(*map(F.lit, (0.1, 0.3, 0.5, 0.7, 0.9)))).alias("x")).groupBy("x").agg(
+        F.sum(F.exp(0.8 * (y - x) - EULER)).alias("mu"), F.sum(F.exp(x * y - EULER)).alias("alpha"), F.sum(F.exp(0.8 * (y - F.col("x1") * x) - EULER)).alias("gamma"))
+    sums = sums.join(F.broadcast(fails))  # a row of totals
+    return sums.select(
+        "x", F.round(-0.8 * x * F.col("n") - F.col("mu") - x * x / 200, 4).alias("log_mu"),
+        F.round((0.01 + F.col("n") - 1) * F.ln(x) + x * (F.col("ef") - 0.01) - F.col("alpha"), 4).alias("log_alpha"),
+        F.round(-0.8 * x * F.col("cf") - F.col("gamma") - x * x / 200, 4).alias("log_gamma"))
+
+
+@query("""select iter, cast(2 as int) as num_groups, round(sum(case when marker_id % 2 = 0 then beta * beta else 0 end), 9) as sigma_g_1, round(sum(case when marker_id % 2 = 1 then beta * beta else 0 end), 9) as sigma_g_2,
+cast(0.5 as double) as sigma_e, round(sum(beta * beta) / (sum(beta * beta) + 0.5e0), 9) as h2, cast(count(*) filter (where component > 0) as int) as num_markers from samples group by iter""")
+def hyper_header(d):
+    # lines of the chain's text file, written in its format and read back with names and types
+    from ..sources import chain_files
+
+    b2, odd = F.col("beta") * F.col("beta"), F.col("marker_id") % 2
+    h = d.samples().groupBy("iter").agg(F.array(F.sum(F.when(odd == 0, b2).otherwise(0.0)), F.sum(F.when(odd == 1, b2).otherwise(0.0))).alias("sigma_g"), F.sum(b2).alias("v"), F.count_if(F.col("component") > 0).alias("m0"))
+    h = h.select("iter", "sigma_g", F.lit(0.5).alias("sigma_e"), (F.col("v") / (F.col("v") + 0.5)).alias("h2"), "m0", F.array(F.array(F.lit(0.5), F.lit(0.5)), F.array(F.lit(0.25), F.lit(0.75))).alias("pi"))
+    back = chain_files.parse_hyper(chain_files.hyper_lines(h))
+    return back.select("iter", "num_groups", F.round(F.col("sigma_g")[0], 9).alias("sigma_g_1"), F.round(F.col("sigma_g")[1], 9).alias("sigma_g_2"), "sigma_e", F.round("h2", 9).alias("h2"), F.col("m0").alias("num_markers"))
+
+
+@query("select iter, marker_id, round(beta, 6) as beta, component, p_name as snp, cast(p_size % 2 as int) as grp from samples left join part on p_partkey = marker_id where iter >= 5")
+def beta_bim_group_join(d):
+    p = d.table("part").select(F.col("p_partkey").alias("marker_id"), F.col("p_name").alias("snp"), (F.col("p_size") % 2).cast("int").alias("grp"))
+    return rounded(d.samples().filter("iter >= 5").join(p, "marker_id", "left").select("iter", "marker_id", "beta", "component", "snp", "grp"), beta=6)
+
+
+@query("""select marker_id, p_name || ':' || p_partkey as snp, round((p_partkey % 7 - 3) / 100e0, 6) as truth, round(avg(beta) + 1e-9, 6) as mean from samples join part on p_partkey = marker_id
+where p_partkey % 5 = 0 group by marker_id, p_name, p_partkey""")
+def causal_effects_join(d):
+    # effects that are known by the marker's name, beside those of the chain
+    p = d.table("part").select(F.col("p_partkey").alias("marker_id"), F.concat_ws(":", "p_name", "p_partkey").alias("snp"))
+    known = delta(d).filter("marker_id % 5 = 0").join(p, "marker_id").select("snp", F.col("delta_beta").alias("truth"))
+    means = d.samples().groupBy("marker_id").agg((F.avg("beta") + 1e-9).alias("mean"))
+    return rounded(means.join(p, "marker_id").join(known, "snp").select("marker_id", "snp", "truth", "mean"), truth=6, mean=6)
+
+
+@query(f"""select node, count(distinct block) as tasks, cast(sum(bytes) as bigint) as bytes, sum(bytes) = max(sum(bytes)) over () as most, sum(bytes) = min(sum(bytes)) over () as least
+from (select block, case when block < 3 then 0 else 1 + (block - 3) // 2 end as node, coalesce(4 * (n1 + n2 + nm), 0) as bytes from {BLOCKS} b left join cnt on cnt.marker_id = b.m) group by node""")
+def ram_check(d):
+    # seven tasks, at most three a node: the first nodes are full, the others take one less
+    p = d.table("part").select(F.col("p_partkey").alias("marker_id"))
+    b = p.withColumn("block", stats.block_of(F.col("marker_id"), p.count(), 7)).join(stats.class_counts(d.genotype()), "marker_id", "left")
+    size = F.coalesce(4 * (F.col("n1") + F.col("n2") + F.col("nm")), F.lit(0))
+    nodes = b.groupBy("block").agg(F.sum(size).alias("bytes")).groupBy(stats.node_of(F.col("block"), 7, 3).alias("node")).agg(F.count("*").alias("tasks"), F.sum("bytes").alias("bytes"))
+    every = nodes.agg(F.max("bytes").alias("high"), F.min("bytes").alias("low"))
+    return nodes.join(F.broadcast(every)).select("node", "tasks", "bytes", (F.col("bytes") == F.col("high")).alias("most"), (F.col("bytes") == F.col("low")).alias("least"))
+
+
+TRAITS = """(select c_custkey as ind_id, 0 as trait, case when c_acctbal >= 0 then c_acctbal end as y from customer
+ union all select c_custkey, 1, case when o % 3 <> 0 then cast(o as double) end from (select c_custkey, count(o_orderkey) as o from customer left join orders on o_custkey = c_custkey group by 1))"""
+TRAIT_CELLS = """(select c.ind_id, c.marker_id, case when mis = 1 then null when c.c >= 2 then 2 else 1 end as d from cells c)"""
+
+
+@query(f"""select marker_id, cast(trait as int) as trait, n1, n2, nm, round(mave, 6) as mave, round(sqrt((n - 1) / ss) * (s1 + 2 * s2 - mave * (total - sm)), 4) as num from (
+select *, n1 * (1 - mave) * (1 - mave) + n2 * (2 - mave) * (2 - mave) + (n - nm - n1 - n2) * mave * mave as ss from (select *, (n1 + 2 * n2) / cast(n - nm as double) as mave from (
+select marker_id, trait, any_value(n) as n, any_value(total) as total, count(*) filter (where d = 1) as n1, count(*) filter (where d = 2) as n2, count(*) filter (where d is null) as nm,
+ coalesce(sum(z) filter (where d = 1), 0) as s1, coalesce(sum(z) filter (where d = 2), 0) as s2, coalesce(sum(z) filter (where d is null), 0) as sm
+from {TRAIT_CELLS} g join (select ind_id, trait, (y - avg(y) over (partition by trait)) / stddev_samp(y) over (partition by trait) as z, count(*) over (partition by trait) as n from {TRAITS} where y is not null) t on t.ind_id = g.ind_id
+ join (select 0e0 as total) on true group by marker_id, trait))) where ss > 0""")
+def multi_trait_scan(d):
+    # each trait under its own mask: counts, mean, scale and product of a marker's column
+    cells = d.cells().select("ind_id", "marker_id", "d")
+    return rounded(stats.trait_dots(cells, d.traits()).select("marker_id", "trait", "n1", "n2", "nm", "mave", "num"), mave=6, num=4)
+
+
 def gibbs_run_short(spark, sf_dir):
     """Three sweeps of the Gaussian chain; the hyper-parameters of each. Random draws: rows are checked by invariants in the tests."""
     from ..operators import gibbs
@@ -496,3 +614,34 @@ def horseshoe_run_short(spark, sf_dir):
 
 
 QUERIES["horseshoe_run_short"] = horseshoe_run_short
+
+
+def groups_run_short(spark, sf_dir):
+    """Three sweeps of the Gaussian chain with two groups, priors of their own and two covariates, over blocks of markers; a row of hyper-parameters
+    per sweep. Random draws: rows are checked by invariants in the tests."""
+    from ..operators import chain
+
+    d = Domain(spark, sf_dir)
+    groups = d.table("part").select(F.col("p_partkey").alias("marker_id"), (F.col("p_size") % 2).cast("int").alias("grp"))
+    x = covariates(d).select("ind_id", F.array(F.col("x1") / 25.0, F.col("x2") / 20.0).alias("x"))
+    s = chain.Settings(windows=2, mixture=((0.001, 0.01, 0.1), (0.002, 0.02, 0.2)), priors=((1e-4, 1e-4), (2.0, 0.01)), dirichlet=((1.0,) * 4, (2.0, 1.0, 1.0, 1.0)))
+    _, trace, _ = chain.run(spark, d.genotype(), d.phenotype(), 3, s, groups=groups, covariates=x)
+    rows = [(h.iteration, h.mu, list(h.sigma_g), h.sigma_e, list(h.gamma), h.m0, h.h2) for h in trace]
+    return spark.createDataFrame(rows, "iter int, mu double, sigma_g array<double>, sigma_e double, gamma array<double>, m0 int, h2 double")
+
+
+QUERIES["groups_run_short"] = groups_run_short
+
+
+def weibull_run_short(spark, sf_dir):
+    """Three sweeps of the survival chain; the hyper-parameters of each. Random draws: rows are checked by invariants in the tests."""
+    from ..operators import chain, weibull
+
+    d = Domain(spark, sf_dir)
+    y = d.individuals().select("ind_id", F.log1p("y").alias("y"))
+    _, trace, _ = chain.run(spark, d.genotype(), y, 3, chain.Settings(windows=2), fail=d.failure(), model=weibull.Weibull)
+    rows = [(h.iteration, h.mu, h.alpha, list(h.sigma_g), h.m0, h.h2) for h in trace]
+    return spark.createDataFrame(rows, "iter int, mu double, alpha double, sigma_g array<double>, m0 int, h2 double")
+
+
+QUERIES["weibull_run_short"] = weibull_run_short

@@ -22,13 +22,24 @@ class Domain:
         return self.table("customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("ind_id"), F.col("c_acctbal").alias("y"))
 
     def genotype(self, marker: str = "l_partkey") -> DataFrame:
-        """ind_id, marker_id, d: the cells that are not zero; d is null where missing."""
+        """ind_id, marker_id, d: the cells that are not zero, of individuals with a phenotype; d is null where missing."""
+        return self.cells(marker).join(self.individuals().select("ind_id"), "ind_id", "left_semi").select("ind_id", "marker_id", "d")
+
+    def traits(self) -> DataFrame:
+        """ind_id, trait, y: two traits of every individual, null where a trait isn't known."""
+        o = self.table("orders").groupBy(F.col("o_custkey").alias("ind_id")).agg(F.count("*").alias("o"))
+        c = self.table("customer").select(F.col("c_custkey").alias("ind_id"), F.col("c_acctbal").alias("b")).join(o, "ind_id", "left").withColumn("o", F.coalesce("o", F.lit(0)))
+        y = F.array(F.when(F.col("b") >= 0, F.col("b")), F.when(F.col("o") % 3 != 0, F.col("o").cast("double")))
+        return c.select("ind_id", F.posexplode(y).alias("trait", "y"))
+
+    def cells(self, marker: str = "l_partkey") -> DataFrame:
+        """ind_id, marker_id, d of all individuals."""
         mis = F.min(F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45), 1).otherwise(0))
         lines = self.table("lineitem").select("l_orderkey", F.col(marker).alias("marker_id"), "l_returnflag", "l_quantity")
         orders = self.table("orders").select("o_orderkey", F.col("o_custkey").alias("ind_id"))
         cells = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("ind_id", "marker_id").agg(F.count("*").alias("c"), mis.alias("mis"))
         d = F.when(F.col("mis") == 1, None).when(F.col("c") >= 2, 2).otherwise(1)
-        return cells.join(self.individuals().select("ind_id"), "ind_id", "left_semi").select("ind_id", "marker_id", d.cast("int").alias("d"))
+        return cells.select("ind_id", "marker_id", d.cast("int").alias("d"))
 
     def phenotype(self) -> DataFrame:
         """ind_id, y with mean 0 and variance 1; the two moments are an aggregate of one row."""

@@ -1,7 +1,7 @@
 """Data source ``bed``: packed genotype files, a row (marker_id, packed) per marker, a partition per block of markers.
 
-Files are opened through ``pyarrow.fs``, so any store it knows will do. ``individuals`` gives the row's length; the three header
-bytes are skipped.
+Files are opened through ``pyarrow.fs``, so any store it knows will do. ``individuals`` gives the row's length. The three header bytes and the
+size of the file are checked; a task reads about ``BYTES`` at a time.
 """
 
 from __future__ import annotations
@@ -13,6 +13,11 @@ import pyarrow.fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
+#: Fixed values of the format.
+HEADER = b"\x6c\x1b\x01"
+BYTES = 16 << 20
+
+
 def _open(uri: str):
     return pa.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
@@ -29,16 +34,24 @@ class BedReader(DataSourceReader):
 
     def partitions(self) -> list[Block]:
         fs, path = _open(self.path)
-        markers = (fs.get_file_info(path).size - 3) // self.row
+        with fs.open_input_stream(path) as f:
+            if f.read(3) != HEADER:
+                raise ValueError("not a marker-major packed genotype file")
+        markers, rest = divmod(fs.get_file_info(path).size - 3, self.row)
+        if rest:
+            raise ValueError("the file's size doesn't fit the number of individuals")
         return [Block(a, min(a + self.block, markers)) for a in range(0, markers, self.block)]
 
     def read(self, part: Block) -> Iterator[pa.RecordBatch]:
         fs, path = _open(self.path)
         with fs.open_input_file(path) as f:
             f.seek(3 + part.start * self.row)
-            held = f.read((part.end - part.start) * self.row)
-        rows = [held[i * self.row : (i + 1) * self.row] for i in range(part.end - part.start)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(part.start, part.end), pa.int64()), pa.array(rows, pa.binary())], names=["marker_id", "packed"])
+            step = max(1, BYTES // self.row)
+            for a in range(part.start, part.end, step):
+                n = min(step, part.end - a)
+                held = f.read(n * self.row)
+                rows = [held[i * self.row : (i + 1) * self.row] for i in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(a, a + n), pa.int64()), pa.array(rows, pa.binary())], names=["marker_id", "packed"])
 
 
 class BedSource(DataSource):

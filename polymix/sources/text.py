@@ -104,9 +104,37 @@ def read_mixtures(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(g, k, v) for g, r in enumerate(rows) for k, v in enumerate([0.0, *r])], "grp int, k int, cva double")
 
 
+def read_phenotypes(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """ind_id, trait, y of a file per trait, null where a trait is missing: each trait has a mask of its own."""
+    one = lambda i, p: read_phen(spark, p).select("ind_id", F.lit(i).alias("trait"), "y")
+    out = one(0, paths[0])
+    for i, p in enumerate(paths[1:], 1):
+        out = out.unionByName(one(i, p))
+    return out
+
+
+def read_priors(spark: SparkSession, path: str) -> tuple[tuple[float, float], ...]:
+    """v0 and s0 of each group."""
+    rows = read_small(spark, path)
+    if any(len(r) != 2 for r in rows):
+        raise ValueError("a group's priors are two numbers")
+    return tuple((a, b) for a, b in rows)
+
+
+def read_dirichlet(spark: SparkSession, path: str) -> tuple[tuple[float, ...], ...]:
+    """A weight per component, the zero component first, for each group."""
+    return tuple(tuple(r) for r in read_small(spark, path))
+
+
+#: Lines of a block file: a block is a partition of work, so there are few.
+MOST_BLOCKS = 1_000_000
+
+
 def read_blocks(spark: SparkSession, path: str, markers: int) -> DataFrame:
     """block, start, end: 1-based, inclusive, contiguous, from 1 to ``markers``."""
-    rows = [r.value for r in spark.read.text(path).collect()]
+    rows = [r.value for r in spark.read.text(path).limit(MOST_BLOCKS + 1).collect()]
+    if len(rows) > MOST_BLOCKS:
+        raise ValueError(f"more than {MOST_BLOCKS} blocks")
     parts = [r.split(" ") for r in rows if r.strip()]
     if any(len(p) != 2 or not all(x.isdigit() for x in p) for p in parts):
         raise ValueError("a block is two numbers and one space")
