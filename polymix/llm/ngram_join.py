@@ -7,6 +7,7 @@
    are written; a doc_id only names the component at the end, so it may be null or repeat.
 3. Stars: classes that share the smallest hash of one of some permutations are compared with one of them. All classes that
    these links join take one label, so the members of a large cluster of near copies need not be paired.
+   Groups of near copies that stay apart are compared, token by token of their prefixes, with the first and the last group that holds it.
 4. Groups that share a token of their prefixes, fit in size and don't have one label alone meet at places where their first shared
    token may lie, and are candidates if what they share there and all that is left can make a link. Tokens whose groups
    all have one label are dropped before the join.
@@ -173,6 +174,28 @@ def _fits(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
+def least_common(a: str, b: str, percent: int) -> Column:
+    """What two linked sets of these sizes have in common at least."""
+    return F.ceil((F.col(a) + F.col(b)) * percent / (100 + percent) - 1e-9)
+
+
+def least_shared(a: str, b: str, percent: int) -> Column:
+    """What their prefixes share at least: of two prefixes, one ends first in the global order, and what it holds and the other doesn't is missing
+    in the other's whole set."""
+    over = lambda n: F.expr(f"1 - ({n} * {percent} + 99) div 100")  # noqa: E731  (length of the prefix, less the size)
+    return least_common(a, b, percent) + F.least(over(a), over(b))
+
+
+def hubs(tokens: DataFrame, order: Column, percent: int) -> DataFrame:
+    """Pairs (a, b) of groups: of the groups that hold a token and have several labels, each with the first in ``order``, where they share at least half of what
+    a link needs. A row per group and token at most."""
+    first = tokens.groupBy("token").agg(F.min(F.struct(order.alias("o"), "gid", "n", "low", "high")).alias("c"), F.count("*").alias("g"), F.min("low").alias("l"), F.max("high").alias("h"))
+    first = first.filter("g > 2 and l < h").select("token", F.col("c.gid").alias("a"), F.col("c.n").alias("na"), F.col("c.low").alias("la"), F.col("c.high").alias("ha"))
+    met = tokens.join(first, "token").filter((F.col("gid") != F.col("a")) & _fits("n", "na", percent) & ((F.col("low") < F.col("ha")) | (F.col("la") < F.col("high"))))
+    met = met.groupBy("a", "gid", "n", "na").agg(F.count("*").alias("c")).filter(2 * F.col("c") >= least_shared("n", "na", percent))
+    return met.select("a", F.col("gid").alias("b"))
+
+
 def verified(pairs: DataFrame, base: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets link; a class's set is made from the row that stands for it.
 
@@ -278,8 +301,18 @@ def placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     held = saved(held.filter("g > 1 and least_label < most_label").select("token"), "held")
     tokens = saved(tokens.join(sized(held, 20), "token"), "tokens")
     discard(wide, held)
+    # groups of near copies that the stars left apart: a token's groups are compared with one of them, from both ends of the order
+    links = labels.filter("label < cid").select(F.col("label").alias("a"), F.col("cid").alias("b"))
+    for order in (F.col("gid"), -F.col("gid")):
+        links = links.union(verified(hubs(tokens, order, percent).distinct(), base, classes, width, percent))
+        labels = components(links).select(F.col("node").alias("cid"), F.col("component").alias("label"))
+        classes = saved(classes.drop("label").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "labelled")
+        groups = saved(classes.groupBy("head", "n").agg(F.min("cid").alias("gid"), F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high")), "groups")
+        apart = tokens.drop("low", "high").join(sized(groups.select("gid", "low", "high"), 40), "gid")
+        held = apart.groupBy("token").agg(F.min("low").alias("least_label"), F.max("high").alias("most_label")).filter("least_label < most_label").select("token")
+        tokens = saved(apart.join(sized(saved(held, "held"), 20), "token"), "tokens")
     x, y = (tokens.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "low", "high", "pos"))) for s in "xy")
-    need = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent) - 1e-9)
+    need = least_common("n_x", "n_y", percent)
     differ = (F.col("low_x") < F.col("high_y")) | (F.col("low_y") < F.col("high_x"))
     # a pair meets where its first shared token may lie: enough tokens must be left from there on
     room = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
@@ -287,12 +320,9 @@ def placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     shared = found.groupBy("gid_x", "gid_y").agg(F.count("*").alias("c"), F.min(room).alias("left"), F.first("n_x").alias("n_x"), F.first("n_y").alias("n_y"))
     # what is shared up to the last of these places, and all that is left after it, must do
     shared = saved(shared.filter(F.col("c") + F.col("left") - 1 >= need).select("gid_x", "gid_y", "n_x", "n_y"), "shared")
-    # of two prefixes, one ends first in the global order: what it holds and the other doesn't is missing in the other's whole set
-    own = tokens.select("token", "gid")
-    both = shared.join(own.withColumnRenamed("gid", "gid_x"), "gid_x").join(own.withColumnRenamed("gid", "gid_y"), ["gid_y", "token"])
-    over = lambda n: F.expr(f"1 - ({n} * {percent} + 99) div 100")  # noqa: E731  (length of the prefix, less the size)
-    both = both.groupBy("gid_x", "gid_y", "n_x", "n_y").agg(F.count("*").alias("c"))
-    shared = both.filter(F.col("c") >= need + F.least(over("n_x"), over("n_y")))
+    own = tokens.groupBy("gid").agg(F.collect_list("token").alias("held"))  # a part of a prefix
+    both = shared.join(own.select(F.col("gid").alias("gid_x"), F.col("held").alias("held_x")), "gid_x").join(own.select(F.col("gid").alias("gid_y"), F.col("held").alias("held_y")), "gid_y")
+    shared = both.filter(F.size(F.array_intersect("held_x", "held_y")) >= least_shared("n_x", "n_y", percent))
     found = shared.select(F.col("gid_x").alias("x"), F.col("gid_y").alias("y")).union(groups.filter("m > 1 and low < high").select(F.col("gid").alias("x"), F.col("gid").alias("y")))
     members = classes.join(groups.select("head", "n", "gid"), ["head", "n"]).select("gid", "cid", "label")
     a = members.select(F.col("gid").alias("x"), F.col("cid").alias("a"), F.col("label").alias("of_a"))
@@ -300,7 +330,7 @@ def placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     pairs = found.join(a, "x").join(b, "y").filter((F.col("of_a") != F.col("of_b")) & ((F.col("x") != F.col("y")) | (F.col("a") < F.col("b"))))
     more = verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), base, classes, width, percent)
 
-    reach = components(labels.filter("label < cid").select(F.col("label").alias("a"), F.col("cid").alias("b")).union(more))
+    reach = components(links.union(more))
     if rows.count() != (all_rows := _documents(docs)).count():  # rows that were repeated
         rows = saved(described(all_rows, width, percent).select("doc_id", "key", "n", "whole"), "rows")
     named = reach.join(classes.select(F.col("cid").alias("node"), "of"), "node")
