@@ -159,9 +159,9 @@ class ChunkTokenizer:
 
 
 @contextmanager
-def chunk_tokenizer(path: str, spaced: bool) -> Iterator[ChunkTokenizer]:
+def chunk_tokenizer(path: str, spaced: bool, most: int = 24_000_000) -> Iterator[ChunkTokenizer]:
     """For one task: opening the vocabulary takes a quarter of a second, keeping it would hold a worker's memory for good."""
-    encoder = ChunkTokenizer(path, spaced)
+    encoder = ChunkTokenizer(path, spaced, most)
     try:
         yield encoder
     finally:
