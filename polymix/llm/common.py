@@ -6,6 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import suppress
 
 import pyarrow as pa
@@ -83,6 +84,19 @@ def whole_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Small batches put together until they hold about ``most`` bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
     """Cut a batch so that the texts of ``column`` in a slice hold about ``most`` bytes (at least one row)."""
     lengths = pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import chunk_tokenizer
-from .common import shared_dir, slices, whole_text
+from .common import gathered, shared_dir, slices, whole_text
 
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 MANIFEST = "shard int, ids_file string, docs_file string, n_docs long, n_tokens long, base long"
@@ -157,7 +157,7 @@ def write_token_files(
         shard = TaskContext.get().partitionId()
         writer = ShardWriter(uri, shard, length, rows)
         with chunk_tokenizer(tokenizer, spaced, 96_000_000) as encoder:
-            for part in (s for b in batches for s in slices(b, "text", 12_000_000)):
+            for part in (s for b in gathered(batches, 12_000_000) for s in slices(b, "text", 12_000_000)):
                 ids, cuts = encoder.encode(part.column("text"))
                 for doc_id, a, b in zip(part.column("doc_id").to_pylist(), cuts, cuts[1:], strict=False):
                     writer.add(doc_id, np.append(ids[a:b], end))
