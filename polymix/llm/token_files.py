@@ -157,7 +157,7 @@ def write_token_files(
         shard = TaskContext.get().partitionId()
         writer = ShardWriter(uri, shard, length, rows)
         with chunk_tokenizer(tokenizer, spaced, 96_000_000) as encoder:
-            for part in (s for b in gathered(batches, 12_000_000) for s in slices(b, "text", 12_000_000)):
+            for part in (s for b in gathered(batches, 4_000_000) for s in slices(b, "text", 4_000_000)):
                 ids, cuts = encoder.encode(part.column("text"))
                 for doc_id, a, b in zip(part.column("doc_id").to_pylist(), cuts, cuts[1:], strict=False):
                     writer.add(doc_id, np.append(ids[a:b], end))
