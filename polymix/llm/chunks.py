@@ -6,6 +6,7 @@ a text are the ids of its chunks in order. A table of chunks already seen, bound
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -32,8 +33,11 @@ def _taken(source: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.nda
     """Entries ``at`` of a table, in a row, and their sizes; entry k is the k-th run of ``source``, ``size[k]`` long."""
     n = size[at]
     ends = np.cumsum(n)
-    start = (np.cumsum(size) - size)[at]
-    return source[np.repeat(start - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], n
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(source)) < 1 << 31 else np.int64
+    where = np.repeat(((np.cumsum(size) - size)[at] - ends + n).astype(kind), n)
+    where += np.arange(total, dtype=kind)
+    return source[where], n
 
 
 def _sums(n: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -49,6 +53,8 @@ class ChunkTokenizer:
     """
 
     def __init__(self, path: str, spaced: bool, most: int = 24_000_000):
+        # a task has one core; the library's own threads would each hold memory for good
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
