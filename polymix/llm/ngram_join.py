@@ -10,7 +10,8 @@
    Groups of near copies that stay apart are compared, token by token of their prefixes, with the first and the last group that holds it.
 4. Groups that share a token of their prefixes, fit in size and don't have one label alone meet at places where their first shared
    token may lie, and are candidates if what they share there and all that is left can make a link. Tokens whose groups
-   all have one label are dropped before the join.
+   all have one label are dropped before the join. Where both groups are one class each, their parity bitmaps must not differ in more
+   bits than linked sets of these sizes can differ in shingles.
 5. Candidates are expanded to their classes and verified on their whole sets: the texts of a class and of its partners meet in
    one place, where their shingles are made again as 128-bit hashes.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import discard, release, saved, sized, slices, whole_text
 
 COUNT_BITS, BLOCK = 21, 65536
+#: Bits of a set's parity bitmap.
+PARITY = 512
 STARS = 3
 #: Partners of one class that meet in one place; more are spread, and the class's text goes to each place.
 FAN = 64
@@ -148,7 +152,7 @@ def bucket_counts(base: DataFrame, width: int) -> np.ndarray:
 
 
 def described(base: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per document: doc_id, key (of the text), n, whole (digest of the set), head (digest of the prefix), prefix, stars."""
+    """Per document: doc_id, key (of the text), n, whole (digest of the set), head (digest of the prefix), prefix, stars, bits (``parity``)."""
     counts = base.sparkSession.sparkContext.broadcast(bucket_counts(base, width))
     digest = lambda a: hashlib.blake2b(a.tobytes(), digest_size=16).digest()
 
@@ -161,12 +165,24 @@ def described(base: DataFrame, width: int, percent: int) -> DataFrame:
                 rank = table[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)] << np.uint64(32) | s >> np.uint64(32)
                 prefix = s[np.argsort(rank, kind="stable")[: n + (-n * percent // 100) + 1 if n else 0]].view(np.int64)
                 stars = [int(_mix(s ^ x).min().view(np.int64)) for x in _SALTS] if n else []
-                rows.append((n, digest(s), digest(prefix), prefix, stars))
+                rows.append((n, digest(s), digest(prefix), prefix, stars, parity(s)))
             columns = list(zip(*rows, strict=True))
-            types = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "key", "n", "whole", "head", "prefix", "stars"])
+            types = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "key", "n", "whole", "head", "prefix", "stars", "bits"])
 
-    return base.mapInArrow(run, "doc_id long, key long, n long, whole binary, head binary, prefix array<long>, stars array<long>")
+    return base.mapInArrow(run, "doc_id long, key long, n long, whole binary, head binary, prefix array<long>, stars array<long>, bits array<long>")
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """Of each bucket of hashes, whether the set holds an odd number. Bitmaps of two sets differ in no more bits than the sets do in members."""
+    odd = np.bincount((s % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def near_enough(percent: int) -> Column:
+    """Whether the sets of ``bits_x`` and ``bits_y`` can link; true where one isn't known."""
+    apart = reduce(lambda a, b: a + b, [F.bit_count(F.col("bits_x")[i].bitwiseXOR(F.col("bits_y")[i])) for i in range(PARITY // 64)])
+    return F.coalesce(apart <= F.col("n_x") + F.col("n_y") - 2 * least_common("n_x", "n_y", percent), F.lit(True))
 
 
 def _fits(a: str, b: str, percent: int):
@@ -274,8 +290,8 @@ def placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     if base.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         base = base.dropDuplicates(["doc_id", "text"])
     rows = saved(described(base, width, percent), "rows")
-    classes = rows.filter("n > 0").groupBy("whole", "head", "n").agg(F.min(F.struct("doc_id", "key", "stars", "prefix")).alias("c"))
-    classes = classes.select(F.monotonically_increasing_id().alias("cid"), "whole", "head", "n", F.struct("c.doc_id", "c.key").alias("of"), "c.stars", "c.prefix")
+    classes = rows.filter("n > 0").groupBy("whole", "head", "n").agg(F.min(F.struct("doc_id", "key", "stars", "prefix", "bits")).alias("c"))
+    classes = classes.select(F.monotonically_increasing_id().alias("cid"), "whole", "head", "n", F.struct("c.doc_id", "c.key").alias("of"), "c.stars", "c.prefix", "c.bits")
     wide, classes = rows, saved(classes, "classes")
     rows = saved(rows.select("doc_id", "key", "n", "whole"), "rows")
     discard(wide)
@@ -289,7 +305,7 @@ def placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     linked = verified(spokes.select("a", F.col("cid").alias("b")).distinct(), base, classes, width, percent)
     labels = components(linked).select(F.col("node").alias("cid"), F.col("component").alias("label"))
     wide = classes
-    classes = saved(classes.drop("stars", "prefix").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "labelled")
+    classes = saved(classes.drop("stars", "prefix", "bits").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "labelled")
 
     groups = classes.groupBy("head", "n").agg(F.min("cid").alias("gid"), F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
     groups = saved(groups, "groups")
@@ -300,6 +316,7 @@ def placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     held = tokens.groupBy("token").agg(F.count("*").alias("g"), F.min("low").alias("least_label"), F.max("high").alias("most_label"))
     held = saved(held.filter("g > 1 and least_label < most_label").select("token"), "held")
     tokens = saved(tokens.join(sized(held, 20), "token"), "tokens")
+    bits = saved(wide.select(F.col("cid").alias("gid"), "bits"), "bits")
     discard(wide, held)
     # groups of near copies that the stars left apart: a token's groups are compared with one of them, from both ends of the order
     links = labels.filter("label < cid").select(F.col("label").alias("a"), F.col("cid").alias("b"))
@@ -311,16 +328,20 @@ def placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
         apart = tokens.drop("low", "high").join(sized(groups.select("gid", "low", "high"), 40), "gid")
         held = apart.groupBy("token").agg(F.min("low").alias("least_label"), F.max("high").alias("most_label")).filter("least_label < most_label").select("token")
         tokens = saved(apart.join(sized(saved(held, "held"), 20), "token"), "tokens")
-    x, y = (tokens.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "low", "high", "pos"))) for s in "xy")
+    # a group of several classes has no bitmap of its own
+    alone = bits.join(groups.filter("m = 1").select("gid"), "gid", "left_semi")
+    tokens, bare = tokens.join(alone.hint("shuffle_merge"), "gid", "left"), tokens
+    x, y = (tokens.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "low", "high", "pos", "bits"))) for s in "xy")
     need = least_common("n_x", "n_y", percent)
     differ = (F.col("low_x") < F.col("high_y")) | (F.col("low_y") < F.col("high_x"))
     # a pair meets where its first shared token may lie: enough tokens must be left from there on
     room = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
-    found = x.join(y, "token").filter((F.col("gid_x") < F.col("gid_y")) & _fits("n_x", "n_y", percent) & differ & (room >= need))
+    found = x.join(y, "token").filter((F.col("gid_x") < F.col("gid_y")) & _fits("n_x", "n_y", percent) & differ & (room >= need) & near_enough(percent))
     shared = found.groupBy("gid_x", "gid_y").agg(F.count("*").alias("c"), F.min(room).alias("left"), F.first("n_x").alias("n_x"), F.first("n_y").alias("n_y"))
     # what is shared up to the last of these places, and all that is left after it, must do
     shared = saved(shared.filter(F.col("c") + F.col("left") - 1 >= need).select("gid_x", "gid_y", "n_x", "n_y"), "shared")
-    own = tokens.groupBy("gid").agg(F.collect_list("token").alias("held"))  # a part of a prefix
+    discard(bits)
+    own = bare.groupBy("gid").agg(F.collect_list("token").alias("held"))  # a part of a prefix
     both = shared.join(own.select(F.col("gid").alias("gid_x"), F.col("held").alias("held_x")), "gid_x").join(own.select(F.col("gid").alias("gid_y"), F.col("held").alias("held_y")), "gid_y")
     shared = both.filter(F.size(F.array_intersect("held_x", "held_y")) >= least_shared("n_x", "n_y", percent))
     found = shared.select(F.col("gid_x").alias("x"), F.col("gid_y").alias("y")).union(groups.filter("m > 1 and low < high").select(F.col("gid").alias("x"), F.col("gid").alias("y")))
