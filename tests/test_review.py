@@ -37,60 +37,6 @@ def test_likelihood_holds_the_failure_term(spark):
     assert moved > len(got) // 2
 
 
-def test_near_copies_with_repeated_and_null_ids(spark):
-    import corpus_pipeline
-    from polymix.llm import ngram_join
-
-    rng = np.random.default_rng(8)
-    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 5000, 100))
-    a, b, c, d = (text() for _ in range(4))
-    near = lambda t: t + " tail"
-    rows = [(5, a), (5, b), (3, near(b)), (None, c), (None, near(c)), (None, d), (9, near(d)), (9, a + " end"), (4, None), (4, "")]
-    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df, 5, 80).collect()}
-    assert got == {(5, 96, 5), (5, 96, 3), (3, 97, 3), (None, 96, None), (None, 97, None), (9, 97, None), (9, 97, 5), (4, 0, 4)}
-    stay = [(r.doc_id, r.text) for r in corpus_pipeline.near(spark, df, "").collect()]
-    assert len(stay) == 6
-    assert {x for x in stay if x[0] is not None} == {(5, a), (3, near(b)), (4, None), (4, "")}
-    assert sorted(t in (c, near(c)) for i, t in stay if i is None) == [False, True]
-    assert (None, d) in stay
-
-
-def test_pii_addresses_without_a_sign(spark):
-    from polymix.llm import pii
-
-    long = "anna.bea.carl.dora.emil.fritz.gerd.hans.ida.jan(at)site.org"
-    texts = ["write to joe(at)site.org now", "or \"sue[at]list.com\".", "joe(at)site.org", "meet (at) noon", f"or {long} too", f"see {'x' * 300}(at)site.org"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.spans for r in pii.scan_pii(df).collect()}
-    assert got == {0: "email:9:24", 1: "email:4:19", 2: "email:0:15", 3: "", 4: f"email:3:{3 + len(long)}", 5: "email:4:316"}
-    masked = {r.doc_id: r.masked for r in pii.scan_pii(df, keep=("doc_id", "text")).collect()}
-    assert masked[0] == "write to <EMAIL> now" and masked[1] == "or \"<EMAIL>\"."
-
-
-def test_language_of_emoji(spark):
-    from polymix.llm import langid
-
-    known = [(i, t, lang) for i, (t, lang) in enumerate([("the cat sat on the mat", "en"), ("die Katze sitzt auf der Matte", "de")] * 20)]
-    docs = spark.createDataFrame([*known, (100, "\U0001F600\U0001F680 12 !!", None), (101, "\U0001F600 the cat", None), (102, "\U00020000\U00020001", None)], "doc_id long, text string, lang string")
-    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs).collect()}
-    assert got[100] == ("und", 0.0)
-    assert got[101][0] == "en" and got[102][0] != "und"
-    codes = langid.Grams().codes
-    assert (codes("\U0001F600 the cat") == codes("! the cat")).all()
-
-
-def test_pipeline_stages_keep_one_row_and_pass_unlabelled(spark):
-    import corpus_pipeline
-
-    rows = [(1, "x y"), (1, "x y"), (None, "a b"), (None, "a b"), (2, "c"), (3, "c"), (4, None), (5, "")]
-    df = spark.createDataFrame([(i, t, None, "s", 3) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    passed = corpus_pipeline.language_id(spark, df, "")
-    assert passed.count() == len(rows)
-    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.exact(spark, passed, "").collect()), key=str)
-    assert got == sorted([(1, "x y"), (None, "a b"), (3, "c"), (5, "")], key=str)
-
-
 def test_small_files_are_not_cut(spark, tmp_path):
     import pytest
     from polymix.sources import text
