@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, line_dedup, ngram_join, packing, pieces, pii, secrets, token_files, topk
+from . import centroids, cover_tree, exact_dedup, hard_negatives, langid, line_dedup, ngram_join, packing, pieces, pii, secrets, token_files, topk
 from .common import table
 
 
@@ -52,7 +52,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_secrets, op4_packing, op5_pii, op6_top_k, op7_sentencepiece, op8_ngram_jaccard_join, op9_language_id, op10_line_dedup)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("id") % 50 == 0)
+
+
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_secrets, op4_packing, op5_pii, op6_top_k, op7_sentencepiece, op8_ngram_jaccard_join, op9_language_id, op10_line_dedup, op11_hard_negatives, op12_embedding_near_dedup, op13_centroids)}
 
 ORACLES = {
     "op2_exact_dedup": """
@@ -61,4 +74,7 @@ select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
 from documents window w as (partition by coalesce(text, ''))""",
     "op6_top_k": topk.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
+    "op12_embedding_near_dedup": cover_tree.ORACLE,
+    "op13_centroids": centroids.ORACLE,
 }

@@ -23,12 +23,16 @@ PIVOTS, ROWS, ANNULI, QUERIES, SEEDS = 64, 512, 50_000, 2048, 2
 AT_ONCE = 256
 
 
-def integers(vectors: DataFrame, ident: str, vector: str, scale: int) -> DataFrame:
-    """id, v (array<long> of floor(scale * x), at most the ends of long); vectors that are null or hold a null or a number that isn't finite
-    are left out."""
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+def usable(vector: str) -> Column:
+    """Whether a vector is there and all its numbers are finite."""
+    return F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def integers(vectors: DataFrame, ident: str, vector: str, scale: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, v (array<long> of floor(scale * x), at most the ends of long) and ``keep``; vectors that are null or hold a null or a number that
+    isn't finite are left out."""
     v = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    return vectors.filter(F.col(ident).isNotNull() & F.col(vector).isNotNull() & finite).select(F.col(ident).cast("long").alias("id"), v.alias("v"))
+    return vectors.filter(F.col(ident).isNotNull() & usable(vector)).select(F.col(ident).cast("long").alias("id"), v.alias("v"), *keep)
 
 
 def _matrix(rows, width: int) -> np.ndarray:
