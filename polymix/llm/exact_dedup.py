@@ -2,8 +2,9 @@
 
 The stream keys every document by the SHA-256 of its text. RocksDB holds one state per digest, without expiry: the
 digest, the stable identifier of the row that stays (largest doc_id), the locator of the content first seen (file and row) and a
-count. State, updates and the list of files read lie in a store that the caller may name: a later call on it reads only the files
-that came since, and adds to the states.
+count. State, updates and the list of what was compared lie in a store that the caller may name: a later call on it reads only the files
+that came since, and adds to the states. Updates and files count as compared once the comparison's result is written, so a call that was
+stopped before leaves them to the next one.
 
 A digest alone decides nothing. Where a call hits a state, the bytes of its new rows and those at the state's locator are
 compared: only new files and the files that locators name are read for it, and of these only rows of digests that were hit. Should
@@ -44,11 +45,14 @@ def _name(file: Column) -> Column:
 
 
 STATE = "digest binary, id long, file string, row long, n long"
+#: A file whose rows were compared, or the number of a micro-batch up to which states were.
+COMPARED = "file string, batch long"
 
 
 def digest_states(spark: SparkSession, path: str, store: str, digest: Digest = sha256, files: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Run the stream over the Parquet files at ``path`` that ``store`` has not seen, until all are read; returns a row per digest
-    (digest, keep_id, file, row, n) of all states, and the states that this call changed. ``files`` bounds a micro-batch."""
+    (digest, keep_id, file, row, n) of all states, and the states that changed and have not been compared yet, with ``batch``. ``files``
+    bounds a micro-batch."""
     provider = "spark.sql.streaming.stateStore.providerClass"
     still = spark.read.parquet(path)
     files_read = still.inputFiles()
@@ -62,11 +66,9 @@ def digest_states(spark: SparkSession, path: str, store: str, digest: Digest = s
     # the time is that of the micro-batch, also when it is run again: the locator stays that of the content first seen
     states = keyed.groupBy("digest").agg(F.max("id").alias("id"), F.min("at").alias("at"), F.count("*").alias("n"))
     states = states.select("digest", "id", "at.file", "at.row", "n")
-    written: list[str] = []
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{store}/updates/batch={number}")
-        written.append(f"{store}/updates/batch={number}")
 
     # many small states: no space is set aside for their logs, and all of an executor's stores share a bounded memory
     rocksdb = "spark.sql.streaming.stateStore.rocksdb"
@@ -82,20 +84,23 @@ def digest_states(spark: SparkSession, path: str, store: str, digest: Digest = s
 
     def last(found: DataFrame) -> DataFrame:
         # a state only grows: its last version has the largest count
-        found = found.groupBy("digest").agg(F.max("id").alias("id"), F.max_by(F.struct("file", "row"), "n").alias("at"), F.max("n").alias("n"))
-        return found.select("digest", F.when(F.col("id") > -(1 << 63), F.col("id")).alias("keep_id"), "at.file", "at.row", "n")
+        found = found.groupBy("digest").agg(F.max("id").alias("id"), F.max_by(F.struct("file", "row"), "n").alias("at"), F.max("n").alias("n"), F.max("batch").alias("batch"))
+        return found.select("digest", F.when(F.col("id") > -(1 << 63), F.col("id")).alias("keep_id"), "at.file", "at.row", "n", "batch")
 
-    fresh = spark.read.schema(STATE).parquet(*written) if written else spark.createDataFrame([], STATE)
-    return last(_rows(spark, f"{store}/updates", STATE)), last(fresh)
+    every = _rows(spark, f"{store}/updates", STATE)
+    number = F.regexp_extract(F.col("_metadata.file_path"), "batch=([0-9]+)", 1).cast("long") if every.columns and every.inputFiles() else F.lit(0).cast("long")
+    every = every.withColumn("batch", number)
+    compared = _rows(spark, f"{store}/compared", COMPARED).agg(F.max("batch")).first()[0]
+    return last(every).drop("batch"), last(every.filter(F.col("batch") > (-1 if compared is None else compared)))
 
 
 def shared_digests(spark: SparkSession, path: str, store: str, fresh: DataFrame, digest: Digest) -> DataFrame:
     """Digests that stand for more than one text: those known to ``store``, and those found among the states that were hit now."""
+    upto = fresh.agg(F.max("batch")).first()[0]
     hit = saved(fresh.filter("n > 1").select("digest", "file", "row"), "hit")
-    seen = {r.file for r in _rows(spark, f"{store}/files", "file string").collect()}
+    seen = {r.file for r in _rows(spark, f"{store}/compared", COMPARED).filter("file is not null").collect()}
     there = {re.sub("^([A-Za-z0-9+.-]+):/+", r"\1:/", f): f for f in spark.read.parquet(path).inputFiles()}
     new = set(there) - seen
-    spark.createDataFrame([(f,) for f in sorted(new)], "file string").coalesce(1).write.mode("append").parquet(f"{store}/files")
     # the content first seen lies in the files that locators name, as well as in files that are gone through now
     named = {r.file for r in hit.select("file").distinct().collect()} if seen else set()
     look = [at for f, at in there.items() if f in named or f in new]
@@ -107,6 +112,9 @@ def shared_digests(spark: SparkSession, path: str, store: str, fresh: DataFrame,
             met = met.join(sized(new_files, 200), "of", "left").filter("is_new or (of = file and at = row)")
         texts = met.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high"))
         texts.filter("low <> high").select("digest").write.mode("append").parquet(f"{store}/shared")
+    # one write after the comparison's: what isn't listed here is compared by the next call
+    done = [(f, None) for f in sorted(new)] + ([(None, upto)] if upto is not None else [])
+    spark.createDataFrame(done, COMPARED).coalesce(1).write.mode("append").parquet(f"{store}/compared")
     return _rows(spark, f"{store}/shared", "digest binary").distinct()
 
 
