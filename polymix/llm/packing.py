@@ -2,7 +2,7 @@
 
 Only the histogram (at most ``capacity`` rows) reaches the driver. There multiplicative weights give prices to the
 lengths, a knapsack dynamic program prices configurations (ways to fill one sequence), and the fractional multiplicities
-are rounded down; what stays over goes to the fullest sequence it fits. The plan is a bounded table of configurations: piece
+are rounded; what stays over goes to the fullest sequence it fits. Every histogram takes this way. The plan is a bounded table of configurations: piece
 number r of its length finds its sequence and place in it by arithmetic, so no piece is gathered anywhere.
 """
 
@@ -24,107 +24,114 @@ from .common import saved, slices, whole_text
 Config = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
 
-def knapsack(price: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best value for each capacity, and the index of the length taken there (-1: none)."""
-    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    last = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        if k := last[c]:
-            value = price[:k] + best[c - lengths[:k]]
-            j = int(value.argmax())
-            if value[j] > best[c]:
-                best[c], took[c] = value[j], j
-    return best, took
-
-
-def traced(took: np.ndarray, lengths: np.ndarray, c: int) -> list[int]:
-    out = []
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
-            out.append(int(took[c]))
-            c -= int(lengths[took[c]])
+def knapsack(price: np.ndarray, lengths: np.ndarray, most: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The dynamic program over items (a length, 1, 2, 4, ... of its at most ``most`` copies): of each item its length's index, its copies, and for
+    each capacity whether the best filling takes it."""
+    items = [(j, min(1 << k, m - (1 << k) + 1)) for j, m in enumerate(most.tolist()) for k in range(m.bit_length())]
+    own, copies = (np.array(x) for x in zip(*items, strict=True))
+    best, took = np.zeros(capacity + 1), np.zeros((len(own), capacity + 1), bool)
+    for i, (size, value) in enumerate(zip((lengths[own] * copies).tolist(), (price[own] * copies).tolist(), strict=True)):
+        more = best[:-size] + value
+        took[i, size:] = more > best[size:]
+        best[size:] = np.maximum(more, best[size:])
+    return own, copies, took
+
+
+def traced(program: tuple[np.ndarray, np.ndarray, np.ndarray], lengths: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The best filling of each room: how many of each length."""
+    own, copies, took = program
+    room, out = room.copy(), np.zeros((len(room), len(lengths)), np.int64)
+    for j, n, item in zip(own[::-1].tolist(), copies[::-1].tolist(), took[::-1], strict=True):
+        taken = item[room]
+        out[taken, j] += n
+        room[taken] -= n * int(lengths[j])
     return out
 
 
-def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, rate: float) -> Counter:
-    """Multiplicities of configurations that cover ``demand``: in each round, lengths whose cover lags behind the round's
-    share are dear, and each takes the best configuration that holds it."""
+def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, rate: float, steep: float) -> Counter:
+    """Multiplicities of configurations that cover ``demand``: in each round, lengths whose cover lags behind the round's share are dear, and
+    each takes the best configuration that holds it. A configuration holds no more of a length than there is. Long pieces are worth a
+    little more than their length, so that short ones are kept for what rounding leaves."""
     cover, used = np.zeros(len(lengths)), Counter()
+    most = np.minimum(demand, capacity // lengths).astype(np.int64)
     for t in range(1, rounds + 1):
         target = t / rounds
-        lag = target - cover / demand
-        price = lengths * np.exp(rate * np.clip(lag, -2, 2))
-        _, took = knapsack(price, lengths, capacity)
-        for j in np.argsort(-lengths):
+        price = lengths * (lengths / capacity) ** steep * np.exp(rate * np.clip(target - cover / demand, -2, 2))
+        fillings = traced(knapsack(price, lengths, most, capacity), lengths, capacity - lengths)
+        for j in range(len(lengths) - 1, -1, -1):
             need = target * demand[j] - cover[j]
             if need <= 1e-9 * demand[j]:
                 continue
-            config = Counter([int(j), *traced(took, lengths, capacity - int(lengths[j]))])
-            step = need / config[int(j)]
-            for i, n in config.items():
-                cover[i] += n * step
-            used[tuple(sorted(config.items(), reverse=True))] += step
+            held = fillings[j]
+            held[j] = min(held[j] + 1, most[j])
+            step = need / held[j]
+            cover += held * step
+            used[tuple((int(i), int(held[i])) for i in np.flatnonzero(held)[::-1])] += step
     return used
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> Counter:
-    """Longest first, each into the fullest sequence with room: multiplicities of the resulting configurations."""
+def best_fit(counts: dict[int, int], capacity: int, begun: Counter | None = None) -> Counter:
+    """Longest first, each into the fullest sequence with room, of those ``begun`` and of new ones: multiplicities of the resulting
+    configurations."""
     open_: dict[int, Counter] = {}  # room -> configurations with that room
     rooms = np.zeros(capacity + 1, bool)
+
+    def put(config: Counter | dict, room: int, n: int) -> None:
+        open_.setdefault(room, Counter())[tuple(sorted(config.items(), reverse=True))] += n
+        rooms[room] = True
+
+    for config, n in (begun or {}).items():
+        put(dict(config), capacity - sum(k * m for k, m in config), n)
     for length in sorted(counts, reverse=True):
         left = counts[length]
         while left:
             room = int(rooms[length:].argmax()) + length if rooms[length:].any() else -1
             if room < 0:
-                config, have = Counter(), left
+                config, have, room = Counter(), left, capacity
             else:
                 config, have = open_[room].popitem()
                 config = Counter(dict(config))
                 if not open_[room]:
                     rooms[room] = False
-            room = capacity if room < 0 else room
             fit = room // length
             n, rest = (min(have, left // fit), fit) if left >= fit else (1, left)
-            if have > n and sum(config.values()):
-                open_.setdefault(room, Counter())[tuple(sorted(config.items(), reverse=True))] += have - n
-                rooms[room] = True
+            if have > n and config:
+                put(config, room, have - n)
             config[length] += rest
             left -= n * rest
-            room -= rest * length
-            open_.setdefault(room, Counter())[tuple(sorted(config.items(), reverse=True))] += n
-            rooms[room] = True
+            put(config, room - rest * length, n)
     out: Counter = Counter()
     for configs in open_.values():
         out.update(configs)
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 24, passes: int = 4, rate: float = 6.0) -> list[tuple[Config, int]]:
-    """Configurations with multiplicities that hold exactly the pieces of ``histogram``."""
+def rounded(histogram: dict[int, int], capacity: int, rounds: int = 4, rate: float = 2.0, steep: float = 0.3) -> tuple[Counter, Counter]:
+    """The program's configurations with whole multiplicities, and the pieces that are left over: fullest first, each is taken as often as the
+    program says, rounded down but once at least, as far as its pieces are still there."""
     left, chosen = Counter({k: v for k, v in histogram.items() if v}), Counter()
+    lengths = np.array(sorted(left), np.int64)
+    if not len(lengths):
+        return chosen, left
+    found = fractional(lengths, np.array([left[int(x)] for x in lengths], float), capacity, rounds, rate, steep)
+    fill = lambda c: sum(int(lengths[j]) * n for j, n in c)
+    for config, times in sorted(found.items(), key=lambda x: (-fill(x[0]), x[0])):
+        own = [(int(lengths[j]), n) for j, n in config]
+        if m := min(max(1, int(times)), *(left[k] // n for k, n in own)):
+            chosen[tuple(own)] += m
+            for k, n in own:
+                left[k] -= m * n
+    return chosen, +left
+
+
+def plan(histogram: dict[int, int], capacity: int, passes: int = 5) -> list[tuple[Config, int]]:
+    """Configurations with multiplicities that hold exactly the pieces of ``histogram``: those of the program, solved again for what rounding leaves
+    (``passes`` times in all); the rest goes where it fits best."""
+    chosen, left = Counter(), histogram
     for _ in range(passes):
-        lengths = np.array(sorted(left), np.int64)
-        if len(lengths) == 0 or sum(left.values()) < 4 * len(lengths):
-            break
-        found = fractional(lengths, np.array([left[int(x)] for x in lengths], float), capacity, rounds, rate)
-        fill = lambda c: sum(int(lengths[j]) * n for j, n in c)
-        before = sum(left.values())
-        for config, times in sorted(found.items(), key=lambda x: (-fill(x[0]), x[0])):
-            if fill(config) < 0.98 * capacity:
-                break
-            own = [(int(lengths[j]), n) for j, n in config]
-            if m := min(int(times), *(left[k] // n for k, n in own)):
-                chosen[tuple(own)] += m
-                for k, n in own:
-                    left[k] -= m * n
-        left = +left
-        if sum(left.values()) > 0.9 * before:
-            break
-    chosen.update(best_fit(left, capacity))
-    return sorted(chosen.items())
+        found, left = rounded(left, capacity)
+        chosen.update(found)
+    return sorted(best_fit(left, capacity, chosen).items())
 
 
 class Places:
