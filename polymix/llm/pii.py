@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
 
-The field is trained on a small labelled table (made by ``labelled``), and decoded by Viterbi in numpy over batches of
-segments. A word of letters alone is always outside (a constraint of the model), so the chain parts exactly at such words:
+The field is trained on a small labelled table (sentences of ``pii_table.txt`` and those that ``labelled`` makes), and decoded by Viterbi in
+numpy over batches of segments. It is trained on the segments of the table with the words around them, as decoding sees them. A word of letters alone is always outside (a constraint of the model), so the chain parts exactly at such words:
 segments are the runs of other words that hold a digit, an @, or (at) or [at]. What tells a card, an address or a number of another
 kind (check digit, parts up to 255, how many digits) is a feature; the field decides. Its spans are added where the patterns left room,
 without the marks at their ends. Words and context are read whole.
@@ -13,6 +13,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,9 @@ def patterns(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+#: The written sentences count as often beside the made ones.
+TIMES = 4
+
 _AT = re.compile(r"\(at\)|\[at\]")
 _LEAD, _TAIL = re.compile(r"^[^\w+(]+"), re.compile(r"[^\w)]+$")
 
@@ -105,6 +109,21 @@ def checked(digits: list[str], pure: list[bool]) -> set[int]:
     return found
 
 
+def runs(dial: list[bool], plus: list[bool], count: list[int]) -> list[int]:
+    """Digits of each word and of the words around it that could be dialled with it: a + begins a number. Each end is that of the
+    neighbour or the word's own, so a text of numbers costs its length once."""
+    n = len(dial)
+    first, last, sums = list(range(n)), list(range(n)), [0]
+    for t in range(n):
+        sums.append(sums[-1] + count[t])
+        if t and dial[t - 1] and not plus[t]:
+            first[t] = first[t - 1]
+    for t in range(n - 2, -1, -1):
+        if dial[t + 1] and not plus[t + 1]:
+            last[t] = last[t + 1]
+    return [sums[b + 1] - sums[a] for a, b in zip(first, last, strict=True)]
+
+
 def features(words: list[str], before: str, after: str) -> list[list[str]]:
     """Of each word: its shape and those around it, its ends, its digits and those of the run it is in, and the word before the segment."""
     cut = [w[slice(*bare(w))] for w in words]
@@ -112,14 +131,7 @@ def features(words: list[str], before: str, after: str) -> list[list[str]]:
     pure = [bool(d) and re.fullmatch(r"[0-9-]+", w) is not None for d, w in zip(digits, cut, strict=True)]
     good = checked(digits, pure)
     dial = [re.fullmatch(r"[+().0-9-]+", w) is not None for w in cut]
-    run = []  # digits of the words around that could be dialled, without those that are an address
-    for t in range(len(cut)):
-        i = j = t
-        while i and dial[i - 1] and not octets(cut[i - 1]) and not cut[i].startswith("+"):
-            i -= 1
-        while j + 1 < len(cut) and dial[j + 1] and not octets(cut[j + 1]) and not cut[j + 1].startswith("+"):
-            j += 1
-        run.append(sum(map(len, digits[i : j + 1])))
+    run = runs([d and not octets(w) for d, w in zip(dial, cut, strict=True)], [w.startswith("+") for w in cut], list(map(len, digits)))
     cue = before.strip(".,:;!?()\"'").lower()
     shapes = [shape(before), *map(shape, cut), shape(after)]
     rows = []
@@ -129,6 +141,37 @@ def features(words: list[str], before: str, after: str) -> list[list[str]]:
     return rows
 
 
+def written() -> list[tuple[list[str], list[int]]]:
+    """The sentences of ``pii_table.txt``: words, each with the number of its label; [kind words] marks what is personal."""
+    out = []
+    for line in Path(__file__).with_name("pii_table.txt").read_text().splitlines():
+        words, labels, now = [], [], 0
+        for w in line.split(" "):
+            if w[1:] in KINDS and w[0] == "[":
+                now = LABELS.index(w[1:])
+                continue
+            ends = now and w.endswith("]")
+            words.append(w[:-1] if ends else w)
+            labels.append(now)
+            now = 0 if ends else now
+        out.append((words, labels))
+    return out
+
+
+def examples(table: list[tuple[list[str], list[int]]]) -> list[tuple[list[str], list[int], str, str]]:
+    """The segments of labelled sentences, with the words around them: what decoding sees."""
+    out = []
+    for words, labels in table:
+        at, number = 0, {}
+        for i, w in enumerate(words):
+            number[at] = i
+            at += len(w) + 1
+        for places, before, after in segments(" ".join(words)):
+            own = [number[a] for a, _ in places]
+            out.append(([words[i] for i in own], [labels[i] for i in own], before, after))
+    return out
+
+
 def labelled(seed: int = 5, rows: int = 900) -> list[tuple[list[str], list[int]]]:
     """The labelled table: sentences of words, each with the number of its label. Invented, from forms and a seed: what is personal, and
     what looks like it (dates, amounts, versions, digests, card numbers with a wrong check digit, addresses with parts over 255)."""
@@ -213,19 +256,20 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (np.log(np.exp(x - top).sum(axis, keepdims=True)) + top).squeeze(axis)
 
 
-def fit_field(table: list[tuple[list[str], list[int]]], epochs: int = 100, rate: float = 0.1, l2: float = 0.02) -> Field:
-    """Gradient of the log-likelihood by forward and backward sums over the padded table, steps by Adam."""
-    number: dict[str, int] = {}
-    for words, _ in table:
-        for row in features(words, "", ""):
+def fit_field(sentences: list[tuple[list[str], list[int]]], epochs: int = 100, rate: float = 0.1, l2: float = 0.02) -> Field:
+    """Gradient of the log-likelihood by forward and backward sums over the padded segments of the table, steps by Adam."""
+    table, number = examples(sentences), {}
+    for words, _, before, after in table:
+        for row in features(words, before, after):
             for f in row:
                 number.setdefault(f, len(number))
-    n, k, longest = len(table), len(LABELS), max(len(w) for w, _ in table)
+    n, k, longest = len(table), len(LABELS), max(len(w) for w, *_ in table)
     field = Field(number, np.zeros((len(number) + 1, k)), np.zeros((k, k)))
     width = len(features(["a"], "", "")[0])
     ids, truth, on = np.full((n, longest, width), len(number)), np.zeros((n, longest), int), np.zeros((n, longest), bool)
-    for i, (words, labels) in enumerate(table):
-        ids[i, : len(words)], truth[i, : len(words)], on[i, : len(words)] = field.ids(words, "", ""), labels, True
+    for i, (words, labels, before, after) in enumerate(table):
+        ids[i, : len(words)], truth[i, : len(words)], on[i, : len(words)] = field.ids(words, before, after), labels, True
+    flat = ids.reshape(-1)
     moments = [[np.zeros_like(w), np.zeros_like(w)] for w in (field.emit, field.step)]
     for epoch in range(1, epochs + 1):
         score = field.emit[ids].sum(2)
@@ -237,11 +281,10 @@ def fit_field(table: list[tuple[list[str], list[int]]], epochs: int = 100, rate:
         backward = backward[::-1]
         total = _logsum(forward[-1] + field.step[:, 0], 1)
         grad_emit, grad_step = -l2 * field.emit, -l2 * field.step
+        p = np.exp(np.stack(forward, 1) + np.stack(backward, 1) - total[:, None, None])
+        gap = np.repeat(((np.eye(k)[truth] - p) * on[:, :, None] / n).reshape(-1, k), width, axis=0)
+        grad_emit += np.stack([np.bincount(flat, gap[:, c], len(grad_emit)) for c in range(k)], 1)
         for t in range(longest):
-            p = np.exp(forward[t] + backward[t] - total[:, None])
-            gap = (np.eye(k)[truth[:, t]] - p) * on[:, t, None] / n
-            for j in range(width):
-                np.add.at(grad_emit, ids[:, t, j], gap)
             if t:
                 pair = np.exp(forward[t - 1][:, :, None] + field.step + (score[:, t] + backward[t])[:, None, :] - total[:, None, None])
                 pair[np.arange(n), truth[:, t - 1], truth[:, t]] -= 1
@@ -256,7 +299,7 @@ def fit_field(table: list[tuple[list[str], list[int]]], epochs: int = 100, rate:
 
 @cache
 def trained() -> Field:
-    return fit_field(labelled())
+    return fit_field(labelled() + TIMES * written())
 
 
 def segments(text: str) -> list[tuple[list[tuple[int, int]], str, str]]:
