@@ -292,7 +292,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, ident: str = "vec_
     left = blocks.select(F.col("block").alias("block_x"), F.struct(*_HELD).alias("x"))
     right = blocks.select(F.col("block").alias("block_y"), F.struct(*_HELD).alias("y"))
     wide = 2 * block_bytes
-    met = pairs.repartition(max(1, min(many, 20_000))).join(sized(left, wide), "block_x").join(sized(right, wide), "block_y")
+    met = pairs.repartition(1 + many // 32).join(sized(left, wide), "block_x").join(sized(right, wide), "block_y")
 
     def test_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
