@@ -121,7 +121,7 @@ def text_key() -> Column:
 
 def _per_text(batches: Iterator[pa.RecordBatch], make) -> Iterator[tuple[pa.RecordBatch, list]]:
     with np.errstate(over="ignore"):
-        for part in (s for b in batches for s in slices(b, "text", 600_000)):
+        for part in (s for b in batches for s in slices(b, "text", 300_000)):
             yield part, make(part.column("text"))
     release()
 
@@ -148,7 +148,7 @@ def bucket_counts(base: DataFrame, width: int) -> np.ndarray:
     out = np.zeros(1 << COUNT_BITS, np.int64)
     for r in blocks.groupBy("block").applyInArrow(add, "block long, counts binary").collect():
         out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.int64)
-    return np.minimum(out, (1 << 32) - 1).astype(np.uint64)
+    return np.minimum(out, (1 << 32) - 1).astype(np.uint32)
 
 
 def described(base: DataFrame, width: int, percent: int) -> DataFrame:
@@ -162,7 +162,7 @@ def described(base: DataFrame, width: int, percent: int) -> DataFrame:
             rows = []
             for s in sets:
                 n = len(s)
-                rank = table[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)] << np.uint64(32) | s >> np.uint64(32)
+                rank = table[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(32) | s >> np.uint64(32)
                 prefix = s[np.argsort(rank, kind="stable")[: n + (-n * percent // 100) + 1 if n else 0]].view(np.int64)
                 stars = [int(_mix(s ^ x).min().view(np.int64)) for x in _SALTS] if n else []
                 rows.append((n, digest(s), digest(prefix), prefix, stars, parity(s)))
