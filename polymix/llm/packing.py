@@ -13,7 +13,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -202,11 +201,14 @@ def pack(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, capacity: i
     ranked = dealt.withColumn("rank", F.row_number().over(order) - 1).join(counts, ["length", "bucket"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            sequence, offset = np.zeros(len(f), np.int64), np.zeros(len(f), np.int64)
-            for length, at in f.groupby("length").indices.items():
-                sequence[at], offset[at] = places.value.find(int(length), f["rank"].to_numpy()[at])
-            yield f.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
-
-    return ranked.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
+            sequence, offset, order = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64), np.argsort(length, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
+                if len(at):
+                    sequence[at], offset[at] = places.value.find(int(length[at[0]]), rank[at])
+            kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
+
+    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
