@@ -1,11 +1,15 @@
-"""Gibbs chains over lists of individuals per marker.
-
-The genotype is written once as a row per marker: the individuals with one copy, with two, and with a missing cell. A window of a
-sweep is one job without a shuffle of genotypes: a task gets its markers and, by broadcast, the residual (a double per individual,
-of a counted number of them) and the effects that aren't zero; it computes the products of its markers' columns with the residual, draws their
-effects from counters, and gives back its markers' samples and a partial vector of the residual's change. Partial vectors are added
-up by parts in parallel. A sweep's samples, the residual and the hyper-parameters are written below ``home``; a chain started again on
-the same ``home``, also by another process, goes on from the last complete sweep and draws what an unbroken one would have drawn.
+"""Gibbs chains over blocks of markers.
+
+The genotype is written once, a row per marker: either the individuals with one copy, with two and with a missing cell, or, where many cells are
+not zero, the packed bytes. Rows lie by window and block: a block is a range of markers, a window some of each block's markers. A window of a
+sweep is one job that reads the files of that window alone, without a shuffle of genotypes; so a sweep reads the genotype once. A task gets a
+block's markers of the window and, by broadcast, the residual (a double per individual, of a counted number of them) and the effects that
+aren't zero. It takes the markers in an order drawn for the sweep, each with the residual that the changes before it in the block left, and
+gives back its markers' samples and the residual's change. Changes of all blocks are added up by parts in parallel before the next
+window: ``sync`` is how many markers of a block lie between two such sums.
+
+A sweep's samples, the residual and the hyper-parameters are written below ``home``; a chain started again on the same ``home``, also by another
+process, goes on from the last complete sweep and draws what an unbroken one would have drawn. Hyper-parameters of all sweeps stay.
 """
 
 from __future__ import annotations
@@ -16,20 +20,24 @@ from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sampling
 from ..sources.scratch import Store
-from . import stats
+from . import packed, stats
 
 PART = 1 << 16
 #: Residuals of this many individuals (128 MB) are broadcast; ``gibbs.run`` joins instead.
 MOST_INDIVIDUALS = 1 << 24
 #: Effects that aren't zero: as many are sent to each task.
 MOST_EFFECTS = 1 << 22
+#: Markers drawn at once as long as none of them moves; bytes of a block's markers in a window.
+AT_ONCE, WINDOW_BYTES = 256, 64 << 20
 FAR = 700.0
 ROWS = "marker_id long, grp int, beta double, component int, acum double, old double, part int, vec binary"
+LISTS = ("one", "two", "miss")
 
 
 def indexed(geno: DataFrame, individuals: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -38,32 +46,119 @@ def indexed(geno: DataFrame, individuals: DataFrame) -> tuple[DataFrame, DataFra
     return geno.join(index, "ind_id").select("marker_id", "ind", "d"), index, individuals.count()
 
 
-def marker_lists(geno: DataFrame, n: int) -> DataFrame:
-    """marker_id, one, two, miss (sorted individuals), mave, mstd; markers that don't vary are left out. One shuffle, by marker."""
+def every_list(geno: DataFrame) -> DataFrame:
+    """marker_id, one, two, miss (sorted individuals) of all markers with a cell. One shuffle, by marker."""
     of = lambda d: F.sort_array(F.collect_list(F.when(stats._is(d), F.col("ind"))))
-    lists = geno.groupBy(F.col("marker_id").cast("long").alias("marker_id")).agg(of(1).alias("one"), of(2).alias("two"), of(None).alias("miss"))
-    lists = lists.withColumns({"n1": F.size("one"), "n2": F.size("two"), "nm": F.size("miss")})
+    return geno.groupBy(F.col("marker_id").cast("long").alias("marker_id")).agg(of(1).alias("one"), of(2).alias("two"), of(None).alias("miss"))
+
+
+def _scaled(table: DataFrame, n: int) -> DataFrame:
+    """With mave and mstd from n1, n2 and nm; markers that don't vary are left out."""
     mave, ss = stats.moments(n)
-    lists = lists.withColumns({"mave": mave, "ss": ss}).filter("ss > 0").withColumn("mstd", F.sqrt(F.lit(n - 1.0) / F.col("ss")))
-    return lists.select("marker_id", "one", "two", "miss", "mave", "mstd")
+    return table.withColumns({"mave": mave, "ss": ss}).filter("ss > 0").withColumn("mstd", F.sqrt(F.lit(n - 1.0) / F.col("ss"))).drop("n1", "n2", "nm", "ss")
+
+
+def marker_lists(geno: DataFrame, n: int) -> DataFrame:
+    """marker_id, one, two, miss, mave, mstd; markers that don't vary are left out."""
+    lists = every_list(geno)
+    return _scaled(lists.withColumns({"n1": F.size("one"), "n2": F.size("two"), "nm": F.size("miss")}), n)
+
+
+def represented(markers: DataFrame, individuals: int, threshold: float, keep: np.ndarray | None = None) -> DataFrame:
+    """marker_id, one, two, miss, packed, n1, n2, nm: lists, or packed rows where a larger share than ``threshold`` of the cells isn't zero.
+
+    ``markers`` has lists, packed rows or both (null where the other is). ``keep`` are the individuals that stay, sorted: cells of others are
+    dropped while the rows are read, and the rest is numbered anew. No shuffle.
+    """
+    n = individuals if keep is None else len(keep)
+    place = None
+    if keep is not None:
+        place = np.full(individuals, -1, np.int32)
+        place[keep] = np.arange(n, dtype=np.int32)
+    sent = markers.sparkSession.sparkContext.broadcast((keep, place))
+    given = [c for c in (*LISTS, "packed") if c in markers.columns]
+
+    def one(row: dict) -> dict:
+        kept, at = sent.value
+        if row.get("packed") is not None:
+            rows = packed.rows_of(pa.array([row["packed"]], pa.binary()), individuals)
+            rows = rows if kept is None else packed.chosen(rows, kept)
+            size = packed.counts(rows)[0]
+            if size.sum() > threshold * n:
+                return {"packed": rows[0].tobytes(), **dict(zip(("n1", "n2", "nm"), size.tolist(), strict=True))}
+            found = {k: v[0] for k, v in packed.lists_of(rows, n).items()}
+        else:
+            found = {k: np.asarray(row[k], np.int64) for k in LISTS}
+            if at is not None:
+                found = {k: at[v][at[v] >= 0] for k, v in found.items()}
+        size = {c: len(found[k]) for c, k in zip(("n1", "n2", "nm"), LISTS, strict=True)}
+        if sum(size.values()) <= threshold * n:
+            return {k: v.astype(np.int32) for k, v in found.items()} | size
+        codes = np.full((1, n), packed.BITS[0], np.uint8)
+        for k, d in zip(LISTS, (1, 2, None), strict=True):
+            codes[0, found[k]] = packed.BITS[d]
+        return {"packed": packed.packed_codes(codes)[0].tobytes()} | size
+
+    types = {**{k: pa.list_(pa.int32()) for k in LISTS}, "packed": pa.binary(), "n1": pa.int64(), "n2": pa.int64(), "nm": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):  # a row is a whole marker
+                row = {c: (b.column(c)[i].values.to_numpy() if c in LISTS else b.column(c)[i].as_py()) if b.column(c)[i].is_valid else None for c in given}
+                made = one(row)
+                yield pa.RecordBatch.from_arrays([b.column("marker_id").slice(i, 1), *(pa.array([made.get(c)], t) for c, t in types.items())], names=["marker_id", *types])
+
+    ddl = "marker_id long, one array<int>, two array<int>, miss array<int>, packed binary, n1 long, n2 long, nm long"
+    return markers.select(F.col("marker_id").cast("long").alias("marker_id"), *given).mapInArrow(run, ddl)
+
+
+def with_failures(table: DataFrame, fail: np.ndarray) -> DataFrame:
+    """With ``fails``, the failures' product with each marker's column; missing cells count as no copy."""
+    sent = table.sparkSession.sparkContext.broadcast(fail)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c, v = Columns(b, len(sent.value)), sent.value
+            yield b.append_column("fails", pa.array(c.mstd * (c.sums("one", v) + 2 * c.sums("two", v) - c.mave * v.sum())))
+
+    return table.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in table.dtypes) + ", fails double")
 
 
 class Columns:
-    """The markers of a batch as arrays."""
+    """The markers of a batch as arrays; ``part`` gives some of them in a row."""
 
-    def __init__(self, batch: pa.RecordBatch):
+    def __init__(self, batch: pa.RecordBatch, individuals: int = 0):
+        names = batch.schema.names
         self.key, self.mave, self.mstd = (batch.column(c).to_numpy() for c in ("marker_id", "mave", "mstd"))
-        self.grp = batch.column("grp").to_numpy() if "grp" in batch.schema.names else np.zeros(len(self.key), np.int32)
-        self.fails = batch.column("fails").to_numpy() if "fails" in batch.schema.names else None
-        self.lists = {}
-        for c in ("one", "two", "miss"):
-            x = batch.column(c)
-            size = np.diff(x.offsets.to_numpy())
-            self.lists[c] = (x.flatten().to_numpy(), size, np.repeat(np.arange(len(size)), size))
+        self.grp = batch.column("grp").to_numpy() if "grp" in names else np.zeros(len(self.key), np.int32)
+        self.fails = batch.column("fails").to_numpy() if "fails" in names else None
+        self.flat, self.ends = {}, {}
+        for c in LISTS:
+            size = pa.compute.fill_null(pa.compute.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False)
+            self.flat[c], self.ends[c] = batch.column(c).flatten().to_numpy(), np.concatenate([[0], np.cumsum(size)])
+        held = batch.column("packed").is_valid().to_numpy(zero_copy_only=False) if "packed" in names else np.zeros(len(self.key), bool)
+        self.at = np.flatnonzero(held)
+        self.rows = packed.rows_of(batch.column("packed").drop_null(), individuals) if len(self.at) else np.zeros((0, 0), np.uint8)
+
+    def part(self, a: int, b: int) -> Columns:
+        out = object.__new__(Columns)
+        for c in ("key", "mave", "mstd", "grp"):
+            setattr(out, c, getattr(self, c)[a:b])
+        out.fails = None if self.fails is None else self.fails[a:b]
+        out.flat = {c: self.flat[c][self.ends[c][a] : self.ends[c][b]] for c in LISTS}
+        out.ends = {c: self.ends[c][a : b + 1] - self.ends[c][a] for c in LISTS}
+        x, y = np.searchsorted(self.at, (a, b))
+        out.at, out.rows = self.at[x:y] - a, self.rows[x:y]
+        return out
+
+    def _owners(self, name: str) -> np.ndarray:
+        return np.repeat(np.arange(len(self.key)), np.diff(self.ends[name]))
 
     def sums(self, name: str, vector: np.ndarray) -> np.ndarray:
-        flat, size, owner = self.lists[name]
-        return np.bincount(owner, weights=vector[flat], minlength=len(size))
+        out = np.bincount(self._owners(name), weights=vector[self.flat[name]], minlength=len(self.key)).astype(np.float64)
+        if len(self.at):
+            out[self.at] += packed.sums(self.rows, vector, name)
+        return out
 
     def products(self, e: np.ndarray, total: float) -> np.ndarray:
         """Of the standardised columns with a vector; missing cells count as zero."""
@@ -74,8 +169,13 @@ class Columns:
         a = self.mstd * delta
         out -= (a * self.mave).sum()
         for name, weight in (("one", a), ("two", 2 * a), ("miss", a * self.mave)):
-            flat, _, owner = self.lists[name]
-            out += np.bincount(flat, weights=weight[owner], minlength=len(out))
+            flat = self.flat[name]
+            if len(self.key) == 1:  # individuals of a marker are distinct
+                out[flat] += weight[0]
+            elif len(flat):
+                out += np.bincount(flat, weights=weight[self._owners(name)], minlength=len(out))
+        if len(self.at):
+            packed.change(self.rows, a[self.at], (a * self.mave)[self.at], out)
 
 
 def _parts(vector: np.ndarray) -> pa.RecordBatch:
@@ -99,16 +199,16 @@ def added(rows: DataFrame) -> DataFrame:
     return rows.filter("part is not null").select("part", "vec").groupBy("part").applyInArrow(add, "part int, vec binary")
 
 
-def residual_change(lists: DataFrame, moved: DataFrame, n: int) -> DataFrame:
-    """ind, delta_eps: the sum over markers of delta_beta times the standardised column."""
+def residual_change(table: DataFrame, moved: DataFrame, n: int) -> DataFrame:
+    """ind, delta_eps: the sum over markers of delta_beta times the standardised column. ``table`` has lists, packed rows or both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(n)
         for b in batches:
-            Columns(b).change(b.column("delta_beta").to_numpy(), out)
+            Columns(b, n).change(b.column("delta_beta").to_numpy(), out)
         yield _parts(out)
 
-    parts = added(lists.join(moved, "marker_id").mapInArrow(run, ROWS))
+    parts = added(table.join(moved, "marker_id").mapInArrow(run, ROWS))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -122,7 +222,9 @@ def residual_change(lists: DataFrame, moved: DataFrame, n: int) -> DataFrame:
 @dataclass(frozen=True)
 class Settings:
     """``mixture``, ``priors`` (v0, s0) and ``dirichlet`` hold a row per group; a single row of ``mixture`` serves all groups. A sweep's
-    samples are kept every ``thin`` sweeps."""
+    samples are kept every ``thin`` sweeps. ``sync``: markers of a block between two sums of the residual's changes; where it isn't given, a
+    sweep has ``windows`` of them. ``threshold``: markers with a larger share of cells that aren't zero are kept packed.
+    ``shuffle``: markers and windows come in a new order each sweep."""
 
     seed: int = 1
     windows: int = 4
@@ -132,6 +234,10 @@ class Settings:
     v0: float = 1e-4
     s0: float = 1e-4
     thin: int = 1
+    blocks: int = 8
+    sync: int | None = None
+    threshold: float = 0.06
+    shuffle: bool = True
 
 
 @dataclass(frozen=True)
@@ -181,6 +287,8 @@ def choose(logs: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Gaussian:
     """Mixture of normals per group, normal residual."""
 
+    name = "gaussian"
+
     def __init__(self, s: Settings, groups: int):
         self.s, self.groups = s, groups
 
@@ -203,8 +311,8 @@ class Gaussian:
             gamma[f] = new
         st.hyper = replace(h, mu=mu, gamma=tuple(gamma))
 
-    def vector(self, st: State) -> np.ndarray:
-        return st.eps
+    def vector(self, eps: np.ndarray, h: Hyper) -> np.ndarray:
+        return eps
 
     def draw(self, c: Columns, e: np.ndarray, total: float, old: np.ndarray, h: Hyper, it: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n, grp = len(e), c.grp
@@ -247,50 +355,89 @@ def _state_rows(st: State) -> list[tuple[str, int, bytes]]:
     return rows
 
 
+def _hyper_of(text: bytes | str) -> Hyper:
+    deep = lambda x: tuple(map(deep, x)) if isinstance(x, list) else x
+    return Hyper(**{k: deep(v) for k, v in json.loads(text).items()})
+
+
 def _state_of(rows) -> State:
     found: dict[str, list[tuple[int, bytes]]] = {}
     for r in rows:
         found.setdefault(r["name"], []).append((r["part"], bytes(r["vec"])))
     a = {k: np.frombuffer(b"".join(x for _, x in sorted(found.get(k, []))), t).copy() for k, t in (("eps", np.float64), ("key", np.int64), ("beta", np.float64), ("component", np.int32))}
-    deep = lambda x: tuple(map(deep, x)) if isinstance(x, list) else x
-    return State(**a, hyper=Hyper(**{k: deep(v) for k, v in json.loads(found["hyper"][0][1]).items()}))
+    return State(**a, hyper=_hyper_of(found["hyper"][0][1]))
+
+
+def swept(c: Columns, eps: np.ndarray, model, h: Hyper, it: int, old: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One update of each marker in its order, with the residual (changed in place) that the changes before it left: effect, component and
+    the first component's probability. Markers are drawn some at a time; up to the first that moves, nothing that they saw has changed."""
+    n = len(old)
+    new, k, acum = np.zeros(n), np.zeros(n, np.int64), np.zeros(n)
+    e = model.vector(eps, h)
+    total, a, many = float(e.sum()), 0, 16
+    while a < n:
+        b = min(n, a + many)
+        drawn = model.draw(c.part(a, b), e, total, old[a:b], h, it)
+        moves = np.flatnonzero(drawn[0] != old[a:b])
+        stop = a + int(moves[0]) + 1 if len(moves) else b
+        for out, x in zip((new, k, acum), drawn, strict=True):
+            out[a:stop] = x[: stop - a]
+        if len(moves):
+            c.part(stop - 1, stop).change(old[stop - 1 : stop] - new[stop - 1 : stop], eps)
+            e = model.vector(eps, h)
+            total = float(e.sum())
+        many = max(1, many // 2) if len(moves) else min(AT_ONCE, 2 * many)
+        a = stop
+    return new, k, acum
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each block as one batch. Blocks of a window lie in files of their own, bounded by ``WINDOW_BYTES``."""
+    held, now = [], None
+    for b in batches:
+        blocks = b.column("block").to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if y == x:
+                continue
+            if held and blocks[x] != now:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            now = blocks[x]
+            held.append(b.slice(x, y - x))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def window(lists: DataFrame, model, st: State, it: int, w: int, windows: int, seed: int) -> DataFrame:
-    """The samples of the window's markers, and partial vectors of the residual's change."""
-    e = model.vector(st)
-    sent = lists.sparkSession.sparkContext.broadcast((e, float(e.sum()), st.key, st.beta, st.hyper))
+def window(table: DataFrame, model, st: State, it: int, w: int, s: Settings) -> DataFrame:
+    """The samples of the window's markers, and each block's change of the residual."""
+    sent = table.sparkSession.sparkContext.broadcast((st.eps, st.key, st.beta, st.hyper))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, total, key, beta, h = sent.value
-        out, moved = np.zeros(len(e)), False
-        for b in batches:
-            if not b.num_rows:
-                continue
-            c = Columns(b)
+        eps, key, beta, h = sent.value
+        for b in _by_block(batches):
+            draw = sampling.uniform(s.seed, it, b.column("marker_id").to_numpy(), 5) if s.shuffle else b.column("marker_id").to_numpy()
+            c = Columns(b.take(pa.array(np.argsort(draw, kind="stable"))), len(eps))
             at = np.minimum(np.searchsorted(key, c.key), max(len(key) - 1, 0))
             old = np.where(key[at] == c.key, beta[at], 0.0) if len(key) else np.zeros(len(c.key))
-            new, k, acum = model.draw(c, e, total, old, h, it)
-            if (old != new).any():
-                c.change(old - new, out)
-                moved = True
+            own = eps.copy()
+            new, k, acum = swept(c, own, model, h, it, old)
             cols = [pa.array(c.key), pa.array(c.grp.astype(np.int32)), pa.array(new), pa.array(k.astype(np.int32)), pa.array(acum), pa.array(old), pa.nulls(len(k), pa.int32()), pa.nulls(len(k), pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["marker_id", "grp", "beta", "component", "acum", "old", "part", "vec"])
-        if moved:
-            yield _parts(out)
+            if (old != new).any():
+                yield _parts(own - eps)
 
-    mine = lists.filter(F.pmod(F.xxhash64(F.lit(seed), F.lit(it), "marker_id"), F.lit(windows)) == w)
-    return mine.mapInArrow(run, ROWS)
+    return table.filter(F.col("window") == w).mapInArrow(run, ROWS)
 
 
-def sweep(lists: DataFrame, store: Store, model, st: State, x: np.ndarray, s: Settings) -> State:
+def sweep(table: DataFrame, store: Store, model, st: State, x: np.ndarray, s: Settings, windows: int, kept: Callable[[Hyper], None] | None = None) -> State:
     it = st.hyper.iteration + 1
     rng = sampling.generator(s.seed, it)
     model.before(st, x, rng)
     groups, k = model.groups, len(s.mixture[0]) + 1
     counts, squares = np.zeros((groups, k)), np.zeros(groups)
-    for w in range(s.windows):
-        rows = store.write(window(lists, model, st, it, w, s.windows, s.seed), f"sweeps/iter={it}/window={w}")
+    for w in rng.permutation(windows).tolist() if s.shuffle else range(windows):
+        rows = store.write(window(table, model, st, it, w, s), f"sweeps/iter={it}/window={w}")
         own = rows.filter("part is null")
         for r in own.groupBy("grp", "component").agg(F.count("*").alias("n"), F.sum(F.col("beta") * F.col("beta")).alias("b")).collect():
             counts[r.grp, r.component] += r.n
@@ -301,12 +448,16 @@ def sweep(lists: DataFrame, store: Store, model, st: State, x: np.ndarray, s: Se
             raise ValueError("too many effects to send to each task: use gibbs.run, which joins")
         # effects of other windows stay as they are
         seen = own.filter("component > 0 or old <> 0").select("marker_id", "beta", "component").toPandas()
-        new, kept = seen[seen["component"] > 0], ~np.isin(st.key, seen["marker_id"].to_numpy())
-        key = np.concatenate([st.key[kept], new["marker_id"].to_numpy(np.int64)])
+        new, stay = seen[seen["component"] > 0], ~np.isin(st.key, seen["marker_id"].to_numpy())
+        key = np.concatenate([st.key[stay], new["marker_id"].to_numpy(np.int64)])
         order = np.argsort(key)
-        st.key, st.beta, st.component = key[order], np.concatenate([st.beta[kept], new["beta"].to_numpy(float)])[order], np.concatenate([st.component[kept], new["component"].to_numpy(np.int32)])[order]
+        st.key, st.beta, st.component = key[order], np.concatenate([st.beta[stay], new["beta"].to_numpy(float)])[order], np.concatenate([st.component[stay], new["component"].to_numpy(np.int32)])[order]
     model.after(st, counts, squares, rng)
     st.hyper = replace(st.hyper, iteration=it)
+    # before the state: a sweep that is stopped between them runs again and replaces what it wrote here
+    store.write(store.spark.createDataFrame([(json.dumps(asdict(st.hyper)),)], "hyper string").coalesce(1), f"hypers/iter={it}")
+    if kept is not None and it % s.thin == 0:
+        kept(st.hyper)
     store.write(store.spark.createDataFrame(_state_rows(st), "name string, part int, vec binary").coalesce(1), f"states/iter={it}")
     store.drop(f"states/iter={it - 2}")
     if (it - 1) % s.thin:
@@ -314,26 +465,72 @@ def sweep(lists: DataFrame, store: Store, model, st: State, x: np.ndarray, s: Se
     return st
 
 
+def laid_out(table: DataFrame, s: Settings, blocks: DataFrame | None) -> DataFrame:
+    """With block and window: blocks are ranges of markers, as even as can be or as given (block, start, end: places from 1, inclusive); a
+    marker's window in its block is drawn once."""
+    table = stats.dense_index(table, "marker_id", "place")
+    many = table.count()
+    if blocks is None:
+        table = table.withColumn("block", stats.block_of(F.col("place"), many, max(1, min(s.blocks, many))))
+        largest = -(-many // max(1, min(s.blocks, many)))
+    else:
+        bounds = blocks.select("block", F.col("start").alias("_s"), F.col("end").alias("_e"))  # a row per block of work
+        table = table.join(F.broadcast(bounds), (F.col("place") + 1 >= F.col("_s")) & (F.col("place") + 1 <= F.col("_e"))).drop("_s", "_e")
+        largest = blocks.agg(F.max(F.col("end") - F.col("start") + 1)).first()[0]
+    size = F.coalesce(F.length("packed"), 4 * (F.size("one") + F.size("two") + F.size("miss")))
+    most = table.groupBy("block").agg(F.sum(size).alias("b")).agg(F.max("b")).first()[0] or 0
+    windows = max(-(-largest // s.sync) if s.sync else s.windows, -(-most // WINDOW_BYTES), 1)
+    return table.withColumn("window", F.pmod(F.xxhash64(F.lit(s.seed), "marker_id"), F.lit(windows)).cast("int")).withColumn("windows", F.lit(windows)).drop("place")
+
+
+def prepared(store: Store, table: DataFrame, s: Settings, groups: DataFrame | None, blocks: DataFrame | None) -> DataFrame:
+    """The genotype of the chain, written once: a folder per window, a file per block in it, so that a window reads its files alone and a task
+    whole blocks."""
+    if not store.has("lists"):
+        if groups is not None:
+            table = table.join(groups.select(F.col("marker_id").cast("long").alias("marker_id"), F.col("grp").cast("int").alias("grp")), "marker_id", "left")
+        else:
+            table = table.withColumn("grp", F.lit(0))
+        table = laid_out(store.write(table.withColumn("grp", F.coalesce("grp", F.lit(0))), "table"), s, blocks)
+        rows = table.repartition("window", "block").sortWithinPartitions("window", "block", "marker_id")
+        rows.write.mode("overwrite").option("parquet.block.size", 4 * WINDOW_BYTES).partitionBy("window", "block").parquet(f"{store.home}/lists")
+        store.drop("table")
+    return store.read("lists")
+
+
 def run(
-    spark: SparkSession, geno: DataFrame, y: DataFrame, iterations: int, s: Settings, home: str | None = None, groups: DataFrame | None = None,
-    covariates: DataFrame | None = None, fail: DataFrame | None = None, model: Callable = Gaussian,
+    spark: SparkSession, geno: DataFrame | None, y: DataFrame, iterations: int, s: Settings, home: str | None = None, groups: DataFrame | None = None,
+    covariates: DataFrame | None = None, fail: DataFrame | None = None, model: Callable = Gaussian, markers: DataFrame | None = None,
+    individuals: int = 0, blocks: DataFrame | None = None, resume: bool | None = None, kept: Callable[[Hyper], None] | None = None,
 ) -> tuple[State, list[Hyper], Store]:
-    """Sweeps up to number ``iterations``, from the last complete one below ``home`` if there is any.
+    """Sweeps up to number ``iterations``, from the last complete one below ``home`` if there is any (``resume``: there must be one, or there must
+    be none). A chain is only taken up with the settings that it began with.
 
     ``geno``: ind_id, marker_id, d; ``y``: ind_id, y; ``groups``: marker_id, grp (from 0; markers without a row are in group 0);
-    ``covariates``: ind_id, x (array of doubles); ``fail``: ind_id, fail, for the survival model. Returns the last state, the hyper-parameters of
-    the sweeps made now, and the store (``samples`` reads the kept sweeps).
+    ``covariates``: ind_id, x (array of doubles); ``fail``: ind_id, fail, for the survival model; ``blocks``: block, start, end. Instead of ``geno``,
+    ``markers`` may give marker_id with lists or packed rows over ``individuals`` places, which are the ``ind_id`` of ``y``; places without a row
+    there are dropped as the rows are read. ``kept`` is called with the hyper-parameters of each sweep whose samples are kept, before the sweep counts
+    as complete (so perhaps twice, for a sweep that was stopped). Returns the last state,
+    the hyper-parameters of the sweeps made now, and the store (``samples`` reads the kept sweeps).
     """
     store = Store(spark, home)
-    cells, index, n = indexed(geno, y)
+    last = store.last("states", "iter")
+    if resume is not None and resume != bool(last):
+        raise ValueError("there is no complete sweep to go on from" if resume else "the folder already holds a chain")
+    known = y.select("ind_id")
+    n = known.count()
     if n > MOST_INDIVIDUALS:
         raise ValueError("too many individuals to broadcast a residual: use gibbs.run, which joins")
+    given = json.dumps(asdict(s) | {"model": getattr(model, "func", model).name, "individuals": n}, sort_keys=True)
+    if store.has("settings"):
+        if (began := store.read("settings").first()["settings"]) != given:
+            raise ValueError(f"the chain began with other settings: {began}")
+    else:
+        store.write(spark.createDataFrame([(given,)], "settings string").coalesce(1), "settings")
     if not store.has("index"):
+        index = stats.dense_index(known, "ind_id", "ind").select("ind_id", F.col("ind").cast("int").alias("ind"))
         store.write(index, "index")
-        lists = marker_lists(cells, n)
-        lists = lists.join(groups.select(F.col("marker_id").cast("long").alias("marker_id"), F.col("grp").cast("int").alias("grp")), "marker_id", "left") if groups is not None else lists.withColumn("grp", F.lit(0))
-        store.write(lists.withColumn("grp", F.coalesce("grp", F.lit(0))).repartitionByRange("marker_id").sortWithinPartitions("marker_id"), "lists")
-    lists, index = store.read("lists"), store.read("index")
+    index = store.read("index")
     wide = y.join(index, "ind_id").select("ind", "y", "ind_id")
     if covariates is not None:
         wide = wide.join(covariates, "ind_id")
@@ -343,19 +540,29 @@ def run(
     if len(frame) != n:
         raise ValueError("covariates or failures are missing for some individuals")
     x = np.stack(frame["x"].to_numpy()) if covariates is not None else np.zeros((n, 0))
-    sizes = {r.grp: r.n for r in lists.groupBy("grp").agg(F.count("*").alias("n")).collect()}
+    if not store.has("lists"):
+        if markers is None:
+            table = represented(every_list(geno.join(index, "ind_id").select("marker_id", "ind", "d")), n, s.threshold)
+        else:
+            keep = np.sort(index.select("ind_id").toPandas()["ind_id"].to_numpy(np.int64))  # counted above
+            table = represented(markers, individuals, s.threshold, None if n == individuals else keep)
+        table = _scaled(table, n)
+        if fail is not None:
+            table = with_failures(table, frame["fail"].to_numpy(float))
+        prepared(store, table, s, groups, blocks)
+    table = store.read("lists")
+    facts = table.groupBy("grp").agg(F.count("*").alias("n"), F.max("windows").alias("w")).collect()
+    sizes, windows = {r.grp: r.n for r in facts}, max((r.w for r in facts), default=1)
     count = max([*sizes, len(s.mixture) - 1]) + 1
     if len(s.mixture) == 1 and count > 1:
         s = replace(s, mixture=s.mixture * count)
     if any(v is not None and len(v) != count for v in (s.mixture, s.priors, s.dirichlet)):
         raise ValueError("mixtures and priors need a row per group")
     m = model(s, count) if fail is None else model(s, count, frame["fail"].to_numpy(float))
-    lists = m.prepared(lists, store) if hasattr(m, "prepared") else lists
-    last = store.last("states", "iter")
     st = _state_of(store.read(f"states/iter={last}").collect()) if last else m.start(frame["y"].to_numpy(float), np.array([sizes.get(g, 0) for g in range(count)]), x.shape[1])
     trace = []
     while st.hyper.iteration < iterations:
-        st = sweep(lists, store, m, st, x, s)
+        st = sweep(table, store, m, st, x, s, windows, kept)
         trace.append(st.hyper)
     return st, trace, store
 
@@ -368,7 +575,9 @@ def samples(store: Store, thin: int = 1) -> DataFrame:
 
 
 def hypers(store: Store) -> DataFrame:
-    """The hyper-parameters of the states that are still there, in the columns of the text file (see ``chain_files``)."""
-    rows = [_state_of(store.read(f"states/iter={i}").collect()).hyper for i in store.numbers("states", "iter")]
-    made = [(h.iteration, list(h.sigma_g), h.sigma_e, h.h2, h.m0, [list(p) for p in h.pi]) for h in rows]
-    return store.spark.createDataFrame(made, "iter int, sigma_g array<double>, sigma_e double, h2 double, m0 int, pi array<array<double>>")
+    """The hyper-parameters of all complete sweeps: iter, mu, sigma_g, sigma_e, alpha, h2, m0, pi, gamma (columns of the text files, see
+    ``chain_files``). A row per sweep."""
+    last = store.last("states", "iter") or 0
+    rows = store.read("hypers").filter(F.col("iter") <= last).select("iter", "hyper")
+    shape = "mu double, sigma_g array<double>, sigma_e double, alpha double, h2 double, m0 int, pi array<array<double>>, gamma array<double>"
+    return rows.select(F.col("iter").cast("int").alias("iter"), F.from_json("hyper", shape).alias("h")).select("iter", "h.*")

@@ -61,14 +61,28 @@ def residual_update(geno: DataFrame, stats: DataFrame, delta: DataFrame, individ
 
 
 def prefix(df: DataFrame, key: str, value: Column, out: str, width: int = 65536) -> DataFrame:
-    """Running sum of ``value`` before each row in the order of an integer ``key``: totals per range of keys first, so no task holds
-    the whole order."""
-    df = df.withColumn("_b", F.floor(F.col(key) / width))
-    totals = df.groupBy("_b").agg(F.sum(value).alias("_t"))
-    before = F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.select("_b", F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.sum(value).over(Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("_own", F.coalesce(own, F.lit(0))).join(F.broadcast(totals), "_b").withColumn(out, F.col("_own") + F.col("_before")).drop("_b", "_own", "_before")
+    """Running sum of ``value`` before each row in the order of distinct integers ``key`` (any of 64 bits), level by level: within ranges of
+    ``width`` keys, of ``width`` such ranges, and so on. A window holds ``width`` rows at most, and ranges meet by equality of their numbers: no
+    task sees the whole order and nothing is broadcast."""
+    ends = df.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+    low, reach = ends.low or 0, (ends.high or 0) - (ends.low or 0)
+    # the distance from the least key may take more than 63 bits
+    kind = "bigint" if reach < 1 << 63 else "decimal(20,0)"
+    place = F.call_function("div", F.col(key).cast(kind) - F.lit(low).cast(kind), F.lit(width).cast(kind)).cast("long")
+    levels = 1
+    while reach >= width**levels:
+        levels += 1
+    return _running(df.withColumn("_p", place), key, value, out, width, levels - 1)
+
+
+def _running(df: DataFrame, order: str, value: Column, out: str, width: int, levels: int) -> DataFrame:
+    """``_p``: the range of each row. ``levels``: how many more there are above it."""
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if not levels:
+        return df.withColumn(out, own).drop("_p")
+    totals = df.groupBy("_p").agg(F.sum(value).alias("_t")).withColumnRenamed("_p", "_range").withColumn("_p", F.expr(f"_range div {width}"))
+    above = _running(totals, "_range", F.col("_t"), "_before", width, levels - 1).select(F.col("_range").alias("_p"), F.col("_before").alias("_above"))
+    return df.withColumn("_own", own).join(above, "_p").withColumn(out, F.col("_own") + F.col("_above")).drop("_p", "_own", "_above")
 
 
 def dense_index(df: DataFrame, key: str, out: str) -> DataFrame:

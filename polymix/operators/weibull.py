@@ -6,15 +6,11 @@ marginal likelihoods by adaptive Gauss-Hermite quadrature, and its effect by ada
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import replace
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
 
 from ..functions import sampling
-from ..sources.scratch import Store
 from . import chain
 
 EULER = 0.57721566490153286
@@ -52,24 +48,11 @@ def log_marginals(v: tuple[np.ndarray, np.ndarray, np.ndarray], m: np.ndarray, s
 
 
 class Weibull:
+    name = "weibull"
+
     def __init__(self, s: chain.Settings, groups: int, fail: np.ndarray, nodes: int = 15):
         self.s, self.groups, self.fail, self.nodes = s, groups, fail, nodes
 
-    def prepared(self, lists: DataFrame, store: Store) -> DataFrame:
-        """The failures' product with each marker's column, once; missing cells count as no copy, as in the sums below."""
-        if not store.has("failures"):
-            sent = store.spark.sparkContext.broadcast(self.fail)
-
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    c = chain.Columns(b)
-                    sums = c.sums("one", sent.value) + 2 * c.sums("two", sent.value) - c.mave * sent.value.sum()
-                    yield b.append_column("fails", pa.array(c.mstd * sums))
-
-            ddl = ", ".join(f"{n} {t}" for n, t in lists.dtypes)
-            store.write(lists.mapInArrow(run, f"{ddl}, fails double"), "failures")
-        return store.read("failures")
-
     def start(self, y: np.ndarray, sizes: np.ndarray, features: int) -> chain.State:
         mu, alpha = float(y.mean()), float(np.pi / np.sqrt(6 * y.var(ddof=1)))
         sigma = float(np.pi**2 / (6 * alpha**2)) / self.groups
@@ -106,8 +89,8 @@ class Weibull:
         alpha = sampling.adaptive_rejection(rng, log_alpha, 1e-9 * a, 1.3 * a, (0.8 * a, a, 1.2 * a))
         st.hyper = replace(h, mu=mu, gamma=tuple(gamma), alpha=alpha, sigma_e=float(np.pi**2 / (6 * alpha**2)))
 
-    def vector(self, st: chain.State) -> np.ndarray:
-        return np.exp(st.hyper.alpha * st.eps - EULER)
+    def vector(self, eps: np.ndarray, h: chain.Hyper) -> np.ndarray:
+        return np.exp(h.alpha * eps - EULER)
 
     def draw(self, c: chain.Columns, v: np.ndarray, total: float, old: np.ndarray, h: chain.Hyper, it: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, m, s, grp = h.alpha, c.mave, 1 / c.mstd, c.grp

@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import places
+
+#: Markers without a row that are written as zeros between others.
+GAP = 1 << 16
 TYPES = {"double": ("<f8", pa.float64(), "double"), "int": ("<i4", pa.int32(), "int")}
 
 
@@ -41,46 +45,50 @@ def parse_hyper(lines: DataFrame) -> DataFrame:
     return df.select(F.col("f")[0].cast("long").alias("iter"), F.col("g").alias("num_groups"), real(F.lit(3), F.col("g")).alias("sigma_g"), at(3).cast("double").alias("sigma_e"), at(4).cast("double").alias("h2"), at(5).cast("int").alias("m0"), k.alias("num_mixtures"), pi.alias("pi"))
 
 
-def write_records(samples: DataFrame, uri: str, markers: int, value: str, kind: str) -> None:
+def write_records(samples: DataFrame, uri: str, markers: int, value: str, kind: str, thin: int | None = None) -> None:
     """Write column ``value`` of ``samples`` (iter, marker_id from 0, value) as a binary file of ``markers`` values a record; markers without
-    a row get 0. Records are made in parallel, a task a range of iterations, and put one after the other as bytes."""
+    a row get 0. Tasks write ranges of iterations and markers at their places. With ``thin`` the record of an iteration is number
+    iter / thin - 1 of a file that may hold others, which stay; without it the file is made anew, a record per iteration."""
     code, _, name = TYPES[kind]
-    fs, path = open_fs(uri)
+    width = np.dtype(code).itemsize
+    size = 4 + markers * width
     rows = samples.select(F.col("iter").cast("long").alias("iter"), F.col("marker_id").cast("long").alias("marker_id"), F.col(value).cast(name).alias("v"))
-    rows = rows.repartitionByRange("iter").sortWithinPartitions("iter", "marker_id")
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, None
-        fs_, _ = open_fs(uri)
-
-        def put() -> pa.RecordBatch:
-            with fs_.open_output_stream(f"{path}.{now}.part") as f:
-                f.write(struct.pack("<I", now) + held.tobytes())
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64())], names=["iter"])
-
+    iters = sorted(r.iter for r in rows.select("iter").distinct().collect())  # a number per record
+    place = {it: it // thin - 1 if thin else k for k, it in enumerate(iters)}
+    if thin and any(it % thin or it < 1 for it in iters):
+        raise ValueError("an iteration is not one of those that are kept")
+    end = 4 + size * (max(place.values(), default=-1) + 1)
+    if thin:
+        places.extend(uri, end)
+    else:
+        places.begin(uri, end)
+    head = places.Writer(uri, not thin)
+    head.put(0, struct.pack("<I", markers))
+    for it, k in place.items():
+        head.put(4 + k * size, struct.pack("<I", it))
+    head.close()
+    rows = rows.repartitionByRange("iter", "marker_id").sortWithinPartitions("iter", "marker_id")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, done = places.Writer(uri, not thin), 0
         for b in batches:
             it, m, v = (b.column(c).to_numpy() for c in ("iter", "marker_id", "v"))
-            for cut in np.split(np.arange(len(it)), np.flatnonzero(np.diff(it)) + 1):
-                if not len(cut):
-                    continue
-                if now != it[cut[0]]:
-                    if now is not None:
-                        yield put()
-                    now, held = int(it[cut[0]]), np.zeros(markers, code)
-                held[m[cut]] = v[cut]
-        if now is not None:
-            yield put()
-
-    made = sorted(r.iter for r in rows.mapInArrow(make, "iter long").collect())
-    with fs.open_output_stream(f"{path}.draft") as out:
-        out.write(struct.pack("<I", markers))
-        for i in made:
-            with fs.open_input_stream(f"{path}.{i}.part") as f:
-                while piece := f.read(1 << 24):
-                    out.write(piece)
-    fs.move(f"{path}.draft", path)
-    for i in made:
-        fs.delete_file(f"{path}.{i}.part")
+            if len(m) and (m.min() < 0 or m.max() >= markers):
+                raise ValueError("a marker is beyond the file's")
+            for own in np.split(np.arange(len(it)), np.flatnonzero(np.diff(it)) + 1):
+                # markers between those of a range have no row: they are 0
+                for cut in np.split(own, np.flatnonzero(np.diff(m[own]) > GAP) + 1):
+                    if len(cut):
+                        held = np.zeros(m[cut[-1]] - m[cut[0]] + 1, code)
+                        held[m[cut] - m[cut[0]]] = v[cut]
+                        file.put(8 + place[int(it[cut[0]])] * size + int(m[cut[0]]) * width, held.tobytes())
+            done += len(it)
+        file.close()
+        yield pa.RecordBatch.from_arrays([pa.array([done])], names=["done"])
+
+    rows.mapInArrow(put, "done long").agg(F.sum("done")).collect()
+    if not thin:
+        places.end(uri, end)
 
 
 class Record(InputPartition):

@@ -1,7 +1,6 @@
 """Readers of the positional text files: no headers, columns parted by blanks, ``NA`` or ``-9`` where a value is missing.
 
-Line numbers stand for individuals or markers where files are aligned by position; ``zipWithIndex`` gives them without a
-sort. Rows with a missing value stay as nulls; ``complete`` drops them and numbers the rest anew.
+Line numbers stand for individuals or markers where files are aligned by position; counts per piece of a file give them, without a sort. Rows with a missing value stay as nulls; ``complete`` drops them and numbers the rest anew.
 """
 
 from __future__ import annotations
@@ -9,16 +8,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.stats import dense_index
+from ..operators.stats import dense_index, prefix
 
 FAM = ("fid", "iid", "dad", "mom", "sex")
 BIM = ("chrom", "snp", "gen_pos", "phys_pos", "a1", "a2")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """line, f (fields): blank lines don't count."""
-    rows = spark.read.text(path).filter(F.trim("value") != "").rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return spark.createDataFrame(rows, "line long, value string").select("line", F.split(F.trim("value"), r"\s+").alias("f"))
+    """line, f (fields): blank lines don't count. A piece is what one task reads of a file; lines of a piece come in their order."""
+    rows = spark.read.text(path).filter(F.trim("value") != "")
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("piece"), F.monotonically_increasing_id().alias("at"), "value")
+    sizes = rows.groupBy("file", "piece").agg(F.count("*").alias("n"), F.min("at").alias("first")).collect()  # a row per piece, of 128 MB as a rule
+    before, total = [], 0
+    for r in sorted(sizes):
+        before.append((r.file, r.piece, total - r.first))
+        total += r.n
+    shift = spark.createDataFrame(before, "file string, piece long, shift long")
+    # blank lines take no number: ids are given after they are gone, and rise by one within a piece
+    found = rows.join(F.broadcast(shift), ["file", "piece"])
+    return found.select((F.col("at") + F.col("shift")).alias("line"), F.split(F.trim("value"), r"\s+").alias("f"))
 
 
 def _checked(df: DataFrame, key: str, width: int) -> DataFrame:
@@ -76,9 +84,8 @@ def complete(phen: DataFrame, *others: DataFrame) -> DataFrame:
 
 def read_groups(spark: SparkSession, path: str) -> DataFrame:
     """One number per marker, whatever blanks or line ends part them."""
-    values = lines(spark, path).select("line", F.posexplode("f").alias("i", "grp"))
-    rows = values.orderBy("line", "i").rdd.zipWithIndex().map(lambda x: (x[1], int(x[0].grp)))
-    return spark.createDataFrame(rows, "marker_id long, grp int")
+    rows = prefix(lines(spark, path), "line", F.size("f"), "start").select("start", F.posexplode("f").alias("i", "grp"))
+    return rows.select((F.col("start") + F.col("i")).cast("long").alias("marker_id"), F.col("grp").cast("int").alias("grp"))
 
 
 def _table(text: str) -> list[list[float]]:
@@ -126,21 +133,17 @@ def read_dirichlet(spark: SparkSession, path: str) -> tuple[tuple[float, ...], .
     return tuple(tuple(r) for r in read_small(spark, path))
 
 
-#: Lines of a block file: a block is a partition of work, so there are few.
-MOST_BLOCKS = 1_000_000
-
-
 def read_blocks(spark: SparkSession, path: str, markers: int) -> DataFrame:
-    """block, start, end: 1-based, inclusive, contiguous, from 1 to ``markers``."""
-    rows = [r.value for r in spark.read.text(path).limit(MOST_BLOCKS + 1).collect()]
-    if len(rows) > MOST_BLOCKS:
-        raise ValueError(f"more than {MOST_BLOCKS} blocks")
-    parts = [r.split(" ") for r in rows if r.strip()]
-    if any(len(p) != 2 or not all(x.isdigit() for x in p) for p in parts):
+    """block, start, end: 1-based, inclusive, contiguous, from 1 to ``markers``. A block meets the next one by its number."""
+    if spark.read.text(path).filter(F.trim("value") != "").filter(~F.col("value").rlike("^[0-9]+ [0-9]+$")).limit(1).count():
         raise ValueError("a block is two numbers and one space")
-    spans = [(int(a), int(b)) for a, b in parts]
-    if any(a > b for a, b in spans) or any(b + 1 != c for (_, b), (c, _) in zip(spans, spans[1:], strict=False)):
+    rows = lines(spark, path).select(F.col("line").cast("int").alias("block"), F.col("f")[0].cast("int").alias("start"), F.col("f")[1].cast("int").alias("end"))
+    after = rows.select((F.col("block") - 1).alias("block"), F.col("start").alias("next"))
+    last = rows.join(after, "block", "left").agg(
+        F.min(F.when(F.col("block") == 0, F.col("start"))).alias("first"), F.max(F.when(F.col("next").isNull(), F.col("end"))).alias("last"),
+        F.count_if((F.col("start") > F.col("end")) | (F.col("next") != F.col("end") + 1)).alias("bad")).first()
+    if last.bad:
         raise ValueError("blocks overlap, leave gaps or end before they start")
-    if not spans or spans[0][0] != 1 or spans[-1][1] != markers:
+    if last.first != 1 or last.last != markers:
         raise ValueError("blocks don't cover the markers")
-    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(spans)], "block int, start int, end int")
+    return rows

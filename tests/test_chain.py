@@ -182,13 +182,13 @@ def test_sparse_set_and_mixed_representation(spark, tmp_path):
     spark.dataSource.register(sparse.SparseSource)
     back = spark.read.format("sparsegeno").option("block", 4).load(f"{tmp_path}/g")
     assert sorted(map(tuple, sparse.cells(back).collect()), key=str) == sorted(cells, key=str)
-    mixed = sparse.represented(back, n, 0.4)
-    dense_ones = {r.marker_id for r in mixed.filter("use_bed").collect()}
+    mixed = chain.represented(back, n, 0.4)
+    dense_ones = {r.marker_id for r in mixed.filter("packed is not null").collect()}
     assert dense_ones == {j for j in range(m) if (d[:, j] != 0).mean() > 0.4}
-    unpacked = stats.unpack(mixed.filter("use_bed").select("marker_id", "packed"), n)
+    unpacked = stats.unpack(mixed.filter("packed is not null").select("marker_id", "packed"), n)
     assert sorted(map(tuple, unpacked.collect()), key=str) == sorted((c for c in cells if c[0] in dense_ones), key=str)
     with pytest.raises(Exception, match="each marker once"):
-        sparse.write_sparse(lists, f"file://{tmp_path}/h", n, m + 1)
+        sparse.write_sparse(lists, f"file://{tmp_path}/h", n, m - 1)
 
 
 def test_bed_header_and_size_are_checked(spark, tmp_path):
@@ -205,9 +205,9 @@ def test_bed_header_and_size_are_checked(spark, tmp_path):
 def test_options(spark, tmp_path):
     from polymix import config
 
-    (tmp_path / "o").write_text("# a run\n--chain-length 50\nthin 3 // every third\nsave\t10\nout x y\n\n")
+    (tmp_path / "o").write_text("# a run\n--chain-length 50\nthin 3 // every third\nsave\t10\nout file:///x y\n\n")
     c = config.read_config(spark, f"file://{tmp_path}/o")
-    assert (c.chain_length, c.thin, c.save, c.out, c.seed) == (50, 3, 9, "x y", 1)
+    assert (c.chain_length, c.thin, c.save, c.out, c.seed) == (50, 3, 9, "file:///x y", 1)
     assert config.RunConfig(thin=7, save=2).normalised().save == 7
     (tmp_path / "o").write_text("colour red\n")
     with pytest.raises(ValueError):
