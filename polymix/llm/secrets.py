@@ -50,8 +50,8 @@ MORE = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 
-# A query: True (any text), a trigram, ("and", ...) or ("or", ...)
-Query = bool | str | tuple
+# A query: True (any text), a trigram of bytes, ("and", ...) or ("or", ...)
+Query = bool | bytes | tuple
 
 
 def _both(parts: list[Query], word: str) -> Query:
@@ -64,10 +64,11 @@ def _any(parts: list[Query]) -> Query:
 
 
 def trigram_query(pattern: str) -> Query:
-    """What trigrams (folded to lower case) every match of ``pattern`` must hold."""
+    """What trigrams of UTF-8 bytes (ASCII letters folded to lower case) every match of ``pattern`` must hold."""
+    fold = lambda c: chr(c).lower() if c < 128 else chr(c)  # noqa: E731  (patterns fold ASCII alone)
 
     def grams(strings: set[str]) -> Query:
-        return _any([_both([s[i : i + 3] for i in range(len(s) - 2)], "and") for s in strings])
+        return _any([_both([b[i : i + 3] for i in range(len(b) - 2)], "and") for b in (s.encode() for s in sorted(strings))])
 
     def walk(items) -> tuple[set[str] | None, Query]:
         """The exact strings if they are few, and the query."""
@@ -75,7 +76,7 @@ def trigram_query(pattern: str) -> Query:
         for op, arg in items:
             exact, inner = None, True
             if op is C.LITERAL:
-                exact = {chr(arg).lower()}
+                exact = {fold(arg)}
             elif op is C.SUBPATTERN:
                 exact, inner = walk(arg[-1])
             elif op is C.BRANCH:
@@ -89,7 +90,7 @@ def trigram_query(pattern: str) -> Query:
                 if (low, high) == (0, 1) and one is not None:
                     exact = one | {""}
             elif op is C.IN and len(arg) <= 8 and all(o is C.LITERAL for o, _ in arg):
-                exact = {chr(c).lower() for _, c in arg}
+                exact = {fold(c) for _, c in arg}
             if exact is not None and len(exact) * len(runs) <= 64:
                 runs = {a + b for a in runs for b in exact}
             else:
@@ -104,18 +105,18 @@ def trigram_query(pattern: str) -> Query:
     return grams(exact) if exact is not None else query
 
 
-def _grams(query: Query) -> set[str]:
-    return {query} if isinstance(query, str) else set().union(*map(_grams, query[1:])) if isinstance(query, tuple) else set()
+def _grams(query: Query) -> set[bytes]:
+    return {query} if isinstance(query, bytes) else set().union(*map(_grams, query[1:])) if isinstance(query, tuple) else set()
 
 
 class Index:
     """Postings of a block of texts, for the given trigrams."""
 
-    def __init__(self, grams: list[str]):
+    def __init__(self, grams: list[bytes]):
         self.number = {g: i for i, g in enumerate(grams)}
         self.lut = np.zeros(1 << 24, np.uint8)
         for g, i in self.number.items():
-            a, b, c = g.encode()
+            a, b, c = g
             self.lut[a << 16 | b << 8 | c] = i + 1
         self.fold = np.arange(256, dtype=np.uint8)
         self.fold[65:91] += 32
@@ -138,7 +139,7 @@ class Index:
     def candidates(self, query: Query, postings: np.ndarray) -> np.ndarray:
         if query is True:
             return np.ones(postings.shape[1], bool)
-        if isinstance(query, str):
+        if isinstance(query, bytes):
             return postings[self.number[query]]
         parts = [self.candidates(q, postings) for q in query[1:]]
         return np.logical_and.reduce(parts) if query[0] == "and" else np.logical_or.reduce(parts)
