@@ -7,7 +7,7 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-ANALYSES = ("gaussian", "weibull", "convert")
+ANALYSES = ("gaussian", "weibull", "horseshoe", "convert")
 
 
 @dataclass(frozen=True)
@@ -41,6 +41,11 @@ class RunConfig:
     threshold: float = 0.06
     shuffle: int = 1
     quad_points: int = 25
+    tau0: float = 1.0
+    v0_local: int = 3
+    v0_tau: float = 3.0
+    v0_slab: float = 3.0
+    s0_slab: float = 1.0
     restart: int = 0
 
     def normalised(self) -> RunConfig:

@@ -36,7 +36,8 @@ MOST_EFFECTS = 1 << 22
 #: Markers drawn at once as long as none of them moves; bytes of a block's markers in a window.
 AT_ONCE, WINDOW_BYTES = 256, 64 << 20
 FAR = 700.0
-ROWS = "marker_id long, grp int, beta double, component int, acum double, old double, part int, vec binary"
+ROWS = "marker_id long, grp int, beta double, component int, acum double, old double, local double, part int, vec binary"
+NAMES = [x.split()[0] for x in ROWS.split(", ")]
 LISTS = ("one", "two", "miss")
 
 
@@ -132,6 +133,7 @@ class Columns:
         self.key, self.mave, self.mstd = (batch.column(c).to_numpy() for c in ("marker_id", "mave", "mstd"))
         self.grp = batch.column("grp").to_numpy() if "grp" in names else np.zeros(len(self.key), np.int32)
         self.fails = batch.column("fails").to_numpy() if "fails" in names else None
+        self.local: np.ndarray | None = None  # scales of the markers' own, of a model that has them
         self.flat, self.ends = {}, {}
         for c in LISTS:
             size = pa.compute.fill_null(pa.compute.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False)
@@ -144,7 +146,8 @@ class Columns:
         out = object.__new__(Columns)
         for c in ("key", "mave", "mstd", "grp"):
             setattr(out, c, getattr(self, c)[a:b])
-        out.fails = None if self.fails is None else self.fails[a:b]
+        for c in ("fails", "local"):
+            setattr(out, c, None if getattr(self, c) is None else getattr(self, c)[a:b])
         out.flat = {c: self.flat[c][self.ends[c][a] : self.ends[c][b]] for c in LISTS}
         out.ends = {c: self.ends[c][a : b + 1] - self.ends[c][a] for c in LISTS}
         x, y = np.searchsorted(self.at, (a, b))
@@ -181,8 +184,9 @@ class Columns:
 def _parts(vector: np.ndarray) -> pa.RecordBatch:
     cuts = range(0, len(vector), PART)
     vecs = [vector[a : a + PART].tobytes() for a in cuts]
-    schema = pa.schema([("marker_id", pa.int64()), ("grp", pa.int32()), ("beta", pa.float64()), ("component", pa.int32()), ("acum", pa.float64()), ("old", pa.float64()), ("part", pa.int32()), ("vec", pa.binary())])
-    empty = [pa.nulls(len(vecs), t) for t in schema.types[:6]]
+    types = [pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.binary()]
+    schema = pa.schema(list(zip(NAMES, types, strict=True)))
+    empty = [pa.nulls(len(vecs), t) for t in types[:7]]
     return pa.RecordBatch.from_arrays([*empty, pa.array(range(len(vecs)), pa.int32()), pa.array(vecs, pa.binary())], schema=schema)
 
 
@@ -252,6 +256,11 @@ class Hyper:
     alpha: float = 0.0
     gamma: tuple[float, ...] = ()
     disabled: tuple[bool, ...] = field(default=())
+    # of the horseshoe: global scale, its mixing parameter, the groups' slabs and the scales that markers begin with
+    tau: float = 0.0
+    mixing: float = 0.0
+    slab: tuple[float, ...] = ()
+    first_local: float = 0.0
 
 
 @dataclass
@@ -288,6 +297,9 @@ class Gaussian:
     """Mixture of normals per group, normal residual."""
 
     name = "gaussian"
+    #: Individuals whose trait is known, if not all; whether markers have scales of their own.
+    n: int | None = None
+    scales = False
 
     def __init__(self, s: Settings, groups: int):
         self.s, self.groups = s, groups
@@ -315,7 +327,7 @@ class Gaussian:
         return eps
 
     def draw(self, c: Columns, e: np.ndarray, total: float, old: np.ndarray, h: Hyper, it: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n, grp = len(e), c.grp
+        n, grp = self.n or len(e), c.grp
         num = c.products(e, total) + old * (n - 1.0)
         on = ~np.array(h.disabled)[grp]
         sigma = np.where(on, np.array(h.sigma_g)[grp], 1.0)
@@ -356,7 +368,7 @@ def _state_rows(st: State) -> list[tuple[str, int, bytes]]:
 
 
 def _hyper_of(text: bytes | str) -> Hyper:
-    deep = lambda x: tuple(map(deep, x)) if isinstance(x, list) else x
+    deep = lambda x: tuple(map(deep, x)) if isinstance(x, list) else x  # noqa: E731  (JSON has no tuples)
     return Hyper(**{k: deep(v) for k, v in json.loads(text).items()})
 
 
@@ -368,11 +380,12 @@ def _state_of(rows) -> State:
     return State(**a, hyper=_hyper_of(found["hyper"][0][1]))
 
 
-def swept(c: Columns, eps: np.ndarray, model, h: Hyper, it: int, old: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One update of each marker in its order, with the residual (changed in place) that the changes before it left: effect, component and
-    the first component's probability. Markers are drawn some at a time; up to the first that moves, nothing that they saw has changed."""
+def swept(c: Columns, eps: np.ndarray, model, h: Hyper, it: int, old: np.ndarray) -> list[np.ndarray]:
+    """One update of each marker in its order, with the residual (changed in place) that the changes before it left: effect, component,
+    the first component's probability, and the marker's own scale if the model has one. Markers are drawn some at a time; up to the first that moves, nothing that they saw has changed."""
     n = len(old)
-    new, k, acum = np.zeros(n), np.zeros(n, np.int64), np.zeros(n)
+    outs = [np.zeros(n), np.zeros(n, np.int64), np.zeros(n), *([np.zeros(n)] if c.local is not None else [])]
+    new = outs[0]
     e = model.vector(eps, h)
     total, a, many = float(e.sum()), 0, 16
     while a < n:
@@ -380,7 +393,7 @@ def swept(c: Columns, eps: np.ndarray, model, h: Hyper, it: int, old: np.ndarray
         drawn = model.draw(c.part(a, b), e, total, old[a:b], h, it)
         moves = np.flatnonzero(drawn[0] != old[a:b])
         stop = a + int(moves[0]) + 1 if len(moves) else b
-        for out, x in zip((new, k, acum), drawn, strict=True):
+        for out, x in zip(outs, drawn, strict=True):
             out[a:stop] = x[: stop - a]
         if len(moves):
             c.part(stop - 1, stop).change(old[stop - 1 : stop] - new[stop - 1 : stop], eps)
@@ -388,7 +401,7 @@ def swept(c: Columns, eps: np.ndarray, model, h: Hyper, it: int, old: np.ndarray
             total = float(e.sum())
         many = max(1, many // 2) if len(moves) else min(AT_ONCE, 2 * many)
         a = stop
-    return new, k, acum
+    return outs
 
 
 def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,39 +422,62 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def window(table: DataFrame, model, st: State, it: int, w: int, s: Settings) -> DataFrame:
-    """The samples of the window's markers, and each block's change of the residual."""
-    sent = table.sparkSession.sparkContext.broadcast((st.eps, st.key, st.beta, st.hyper))
+def found(keys: np.ndarray, known: np.ndarray, values: np.ndarray, otherwise: float) -> np.ndarray:
+    """Of each key its value, by the sorted ``known`` ones."""
+    at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+    return np.where(known[at] == keys, values[at], otherwise) if len(known) else np.full(len(keys), otherwise)
+
+
+def window(table: DataFrame, model, st: State, it: int, w: int, s: Settings, local: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """The samples of the window's markers, and each block's change of the residual. ``local``: markers and their own scales."""
+    sent = table.sparkSession.sparkContext.broadcast((st.eps, st.key, st.beta, st.hyper, local))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        eps, key, beta, h = sent.value
+        eps, key, beta, h, own_scales = sent.value
         for b in _by_block(batches):
             draw = sampling.uniform(s.seed, it, b.column("marker_id").to_numpy(), 5) if s.shuffle else b.column("marker_id").to_numpy()
             c = Columns(b.take(pa.array(np.argsort(draw, kind="stable"))), len(eps))
-            at = np.minimum(np.searchsorted(key, c.key), max(len(key) - 1, 0))
-            old = np.where(key[at] == c.key, beta[at], 0.0) if len(key) else np.zeros(len(c.key))
-            own = eps.copy()
-            new, k, acum = swept(c, own, model, h, it, old)
-            cols = [pa.array(c.key), pa.array(c.grp.astype(np.int32)), pa.array(new), pa.array(k.astype(np.int32)), pa.array(acum), pa.array(old), pa.nulls(len(k), pa.int32()), pa.nulls(len(k), pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["marker_id", "grp", "beta", "component", "acum", "old", "part", "vec"])
+            old, own = found(c.key, key, beta, 0.0), eps.copy()
+            if own_scales is not None:
+                c.local = found(c.key, *own_scales, h.first_local)
+            new, k, acum, *scale = swept(c, own, model, h, it, old)
+            yield sample_rows(c, new, k, acum, old, *scale)
             if (old != new).any():
                 yield _parts(own - eps)
 
     return table.filter(F.col("window") == w).mapInArrow(run, ROWS)
 
 
+def sample_rows(c: Columns, new: np.ndarray, k: np.ndarray, acum: np.ndarray, old: np.ndarray, scale: np.ndarray | None = None) -> pa.RecordBatch:
+    n = len(c.key)
+    cols = [pa.array(c.key), pa.array(c.grp.astype(np.int32)), pa.array(new), pa.array(k.astype(np.int32)), pa.array(acum), pa.array(old), pa.nulls(n, pa.float64()) if scale is None else pa.array(scale), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, names=NAMES)
+
+
+def _own_scales(store: Store, it: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the window's markers, from the sweep before: as many as a window holds, which are sent to its tasks."""
+    if it == 1:
+        return np.zeros(0, np.int64), np.zeros(0)
+    rows = store.read(f"sweeps/iter={it - 1}/window={w}").filter("part is null").select("marker_id", "local")
+    if rows.count() > MOST_EFFECTS:
+        raise ValueError("too many markers in a window to send their scales: take more windows")
+    rows = rows.toPandas().sort_values("marker_id")
+    return rows["marker_id"].to_numpy(np.int64), rows["local"].to_numpy(float)
+
+
 def sweep(table: DataFrame, store: Store, model, st: State, x: np.ndarray, s: Settings, windows: int, kept: Callable[[Hyper], None] | None = None) -> State:
     it = st.hyper.iteration + 1
     rng = sampling.generator(s.seed, it)
     model.before(st, x, rng)
     groups, k = model.groups, len(s.mixture[0]) + 1
-    counts, squares = np.zeros((groups, k)), np.zeros(groups)
+    counts, squares, scaled = np.zeros((groups, k)), np.zeros(groups), 0.0
     for w in rng.permutation(windows).tolist() if s.shuffle else range(windows):
-        rows = store.write(window(table, model, st, it, w, s), f"sweeps/iter={it}/window={w}")
+        rows = store.write(window(table, model, st, it, w, s, _own_scales(store, it, w) if model.scales else None), f"sweeps/iter={it}/window={w}")
         own = rows.filter("part is null")
-        for r in own.groupBy("grp", "component").agg(F.count("*").alias("n"), F.sum(F.col("beta") * F.col("beta")).alias("b")).collect():
+        for r in own.groupBy("grp", "component").agg(F.count("*").alias("n"), F.sum(F.col("beta") * F.col("beta")).alias("b"), F.sum(F.col("beta") * F.col("beta") / F.col("local")).alias("q")).collect():
             counts[r.grp, r.component] += r.n
             squares[r.grp] += r.b
+            scaled += r.q or 0.0
         for r in added(rows).collect():
             st.eps[r.part * PART : (r.part + 1) * PART] += np.frombuffer(r.vec, np.float64)
         if counts[:, 1:].sum() > MOST_EFFECTS:
@@ -452,7 +488,7 @@ def sweep(table: DataFrame, store: Store, model, st: State, x: np.ndarray, s: Se
         key = np.concatenate([st.key[stay], new["marker_id"].to_numpy(np.int64)])
         order = np.argsort(key)
         st.key, st.beta, st.component = key[order], np.concatenate([st.beta[stay], new["beta"].to_numpy(float)])[order], np.concatenate([st.component[stay], new["component"].to_numpy(np.int32)])[order]
-    model.after(st, counts, squares, rng)
+    model.after(st, counts, squares, rng, *([scaled] if model.scales else []))
     st.hyper = replace(st.hyper, iteration=it)
     # before the state: a sweep that is stopped between them runs again and replaces what it wrote here
     store.write(store.spark.createDataFrame([(json.dumps(asdict(st.hyper)),)], "hyper string").coalesce(1), f"hypers/iter={it}")

@@ -3,6 +3,8 @@
 As the Gaussian mixture chain, with one component besides zero whose variance is a marker's own: local scales are drawn per marker
 from counters inside the window, the global scale, its mixing parameter and the slab on the driver. The state holds all of
 them, so a chain resumes from its last sweep.
+
+``Horseshoe`` is the model for ``chain.run``: windows and blocks, groups with a slab each, covariates, restart. ``run`` makes the chain by joins alone.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import mixture
-from . import gibbs, stats
+from ..functions import sampling
+from . import chain, gibbs, stats
 
 
 @dataclass(frozen=True)
@@ -51,6 +54,67 @@ def inverse_gamma(rng: np.random.Generator, shape: float, rate: float) -> float:
     return float(rate / rng.gamma(shape))
 
 
+class Horseshoe(chain.Gaussian):
+    """The model of ``chain.run``; the mixture of its settings has one component, whose value is not used. A window's markers get their scales of
+    the sweep before; each draws its own anew after its effect."""
+
+    name, scales = "horseshoe", True
+
+    def __init__(self, s: chain.Settings, groups: int, prior: Settings = Settings()):  # noqa: B008
+        super().__init__(s, groups)
+        if any(len(row) != 1 for row in s.mixture):
+            raise ValueError("the horseshoe has one component besides zero")
+        self.prior = prior
+
+    def start(self, y: np.ndarray, sizes: np.ndarray, features: int) -> chain.State:
+        st, p, rng = super().start(y, sizes, features), self.prior, sampling.generator(self.s.seed, 1 << 40)
+        mixing = inverse_gamma(rng, 0.5, 1 / p.tau0**2)
+        tau = inverse_gamma(rng, p.v0_tau / 2, p.v0_tau / mixing)
+        slab = tuple(inverse_gamma(rng, p.v0_slab / 2, p.v0_slab * p.s0_slab / 2) for _ in sizes)
+        st.hyper = replace(st.hyper, tau=tau, mixing=mixing, slab=slab, first_local=slab[0] / max(1, int(sizes.sum())), pi=((0.5, 0.5),) * len(sizes))
+        return st
+
+    def _local(self, it: int, key: np.ndarray, slot: int, rate: np.ndarray) -> np.ndarray:
+        """An inverse gamma draw per marker, of shape (1 + v0_local) / 2: a sum of exponentials where that is whole."""
+        if self.prior.v0_local % 2 == 0:
+            raise ValueError("v0_local must be odd")
+        u = [sampling.uniform(self.s.seed, it, key, slot + i) for i in range((1 + self.prior.v0_local) // 2)]
+        return rate / -sum(np.log1p(-x) for x in u)
+
+    def draw(self, c: chain.Columns, e: np.ndarray, total: float, old: np.ndarray, h: chain.Hyper, it: int):
+        n, p = len(e), self.prior
+        num = c.products(e, total) + old * (n - 1.0)
+        on, slab, pi = ~np.array(h.disabled)[c.grp], np.array(h.slab)[c.grp], np.array(h.pi)[c.grp]
+        wide = h.tau * slab / (h.tau + slab * c.local)
+        denom = n - 1.0 + h.sigma_e / wide
+        mean = num / denom
+        with np.errstate(divide="ignore"):
+            logs = np.log(pi)
+        logs[:, 1] += -0.5 * np.log(wide / h.sigma_e * (n - 1.0) + 1) + mean * num / (2 * h.sigma_e)
+        k, acum = chain.choose(logs, sampling.uniform(self.s.seed, it, c.key))
+        k = np.where(on, k, 0)
+        new = np.where(k > 0, mean + np.sqrt(h.sigma_e / denom) * sampling.normal(self.s.seed, it, c.key), 0.0)
+        nu = self._local(it, c.key, 20, p.v0_local / c.local + 1)
+        return new, k, np.where(on, acum, 1.0), self._local(it, c.key, 40, 0.5 * new * new / h.tau + p.v0_local / nu)
+
+    def after(self, st: chain.State, counts: np.ndarray, squares: np.ndarray, rng: np.random.Generator, scaled: float = 0.0) -> None:
+        h, s, p, n = st.hyper, self.s, self.prior, len(st.eps)
+        sigma, pi, slab, off, tau, mixing = list(h.sigma_g), list(h.pi), list(h.slab), list(h.disabled), h.tau, h.mixing
+        for g in range(self.groups):
+            m0 = int(counts[g, 1:].sum())
+            if off[g] or m0 == 0:
+                sigma[g], off[g] = 0.0, True
+                continue
+            mixing = inverse_gamma(rng, 0.5 + 0.5 * p.v0_tau, 1 / p.tau0**2 + 1 / tau)
+            tau = inverse_gamma(rng, 0.5 * (m0 + p.v0_tau), p.v0_tau / mixing + 0.5 * scaled)
+            slab[g] = sampling.inverse_scaled_chi2(rng, p.v0_slab + m0, (squares[g] * m0 + p.v0_slab * p.s0_slab) / (p.v0_slab + m0))
+            sigma[g] = float(squares[g])
+            pi[g] = tuple(rng.dirichlet(counts[g] + (np.array(s.dirichlet[g]) if s.dirichlet else 1.0)).tolist())
+        sigma_e = sampling.inverse_scaled_chi2(rng, s.v0 + n, (float(st.eps @ st.eps) + s.v0 * s.s0) / (s.v0 + n))
+        total = sum(sigma)
+        st.hyper = replace(h, sigma_g=tuple(sigma), pi=tuple(pi), slab=tuple(slab), disabled=tuple(off), tau=tau, mixing=mixing, sigma_e=sigma_e, m0=int(counts[:, 1:].sum()), h2=total / (total + sigma_e))
+
+
 def local_inverse_gamma(s: Settings, iteration: int, slot: int, rate: Column) -> Column:
     """A draw per marker, of shape (1 + v0_local) / 2."""
     if s.v0_local % 2 == 0:

@@ -51,11 +51,12 @@ def marker_dot(geno: DataFrame, vec: DataFrame, n: int, value: str) -> DataFrame
     return sums.withColumn("num", F.col("mstd") * (F.col("s1") + 2 * F.col("s2") - F.col("mave") * (F.lit(total) - F.col("sm")))).drop("ss")
 
 
-def residual_update(geno: DataFrame, stats: DataFrame, delta: DataFrame, individuals: DataFrame) -> DataFrame:
-    """ind_id, delta_eps: the sum over markers of delta_beta * x. Markers whose delta is zero drop out before the join."""
+def residual_update(geno: DataFrame, stats: DataFrame, delta: DataFrame, individuals: DataFrame, raw: bool = False) -> DataFrame:
+    """ind_id, delta_eps: the sum over markers of delta_beta * x. Markers whose delta is zero drop out before the join. A missing cell adds nothing,
+    or (``raw``) counts as no copy."""
     moved = stats.join(delta.filter("delta_beta <> 0"), "marker_id").select("marker_id", (F.col("mstd") * F.col("delta_beta")).alias("a"), "mave")
     flat = moved.agg(F.sum(F.col("a") * F.col("mave"))).first()[0] or 0.0
-    own = F.when(_is(None), F.col("a") * F.col("mave")).otherwise(F.col("a") * F.col("d"))
+    own = F.when(_is(None), F.lit(0.0) if raw else F.col("a") * F.col("mave")).otherwise(F.col("a") * F.col("d"))
     per = geno.join(moved, "marker_id").groupBy("ind_id").agg(F.sum(own).alias("s"))
     return individuals.select("ind_id").join(per, "ind_id", "left").select("ind_id", (F.coalesce("s", F.lit(0.0)) - F.lit(flat)).alias("delta_eps"))
 

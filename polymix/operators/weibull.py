@@ -48,7 +48,7 @@ def log_marginals(v: tuple[np.ndarray, np.ndarray, np.ndarray], m: np.ndarray, s
 
 
 class Weibull:
-    name = "weibull"
+    name, scales = "weibull", False
 
     def __init__(self, s: chain.Settings, groups: int, fail: np.ndarray, nodes: int = 15):
         self.s, self.groups, self.fail, self.nodes = s, groups, fail, nodes

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import RunConfig
-from .operators import chain, weibull
+from .operators import chain, horseshoe, weibull
 from .sources import bed, chain_files, history, sparse, text
 
 
@@ -89,13 +89,19 @@ def run(spark: SparkSession, c: RunConfig) -> chain.State | None:
         return None
     spark.dataSource.register(history.HistorySource)
     people, individuals = individuals_of(spark, c)
-    if c.analysis == "gaussian":
+    if c.analysis != "weibull":
         m = people.agg(F.avg("y").alias("m"), F.stddev_samp("y").alias("s")).first()
         people = people.withColumn("y", (F.col("y") - F.lit(m.m)) / F.lit(m.s))
     markers, many = markers_of(spark, c, individuals)
     s, groups = settings_of(spark, c)
     blocks = text.read_blocks(spark, c.blocks_file, many) if c.blocks_file else None
-    model = chain.Gaussian if c.analysis == "gaussian" else partial(weibull.Weibull, nodes=c.quad_points)
+    model, line = chain.Gaussian, "gaussian"
+    if c.analysis == "weibull":
+        model, line = partial(weibull.Weibull, nodes=c.quad_points), "weibull"
+    elif c.analysis == "horseshoe":
+        prior = horseshoe.Settings(tau0=c.tau0, v0_local=c.v0_local, v0_tau=c.v0_tau, v0_slab=c.v0_slab, s0_slab=c.s0_slab)
+        model = partial(horseshoe.Horseshoe, prior=prior)
+        s = replace(s, mixture=tuple(row[:1] for row in s.mixture))
     covariates = people.select("ind_id", "x") if c.covariates_file else None
     fail = people.select("ind_id", "fail") if c.analysis == "weibull" else None
 
@@ -103,7 +109,7 @@ def run(spark: SparkSession, c: RunConfig) -> chain.State | None:
         row = [(h.iteration, h.mu, list(h.sigma_g), h.sigma_e, h.alpha, h.h2, h.m0, [list(p) for p in h.pi], list(h.gamma))]
         df = spark.createDataFrame(row, history.COLUMNS).coalesce(1)
         for kind in ("csv", "mus", *(["gam"] if c.analysis == "weibull" and h.gamma else [])):
-            df.write.format("chainhistory").option("kind", kind).option("model", c.analysis).mode("append").save(f"{c.out}.{kind}")
+            df.write.format("chainhistory").option("kind", kind).option("model", line).mode("append").save(f"{c.out}.{kind}")
 
     state, done, resume = None, 0, bool(c.restart)
     home = f"{c.out}.chain"

@@ -10,8 +10,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import places
+
 
 #: Fixed values of the format.
 HEADER = b"\x6c\x1b\x01"
@@ -22,6 +26,29 @@ def _open(uri: str):
     return pa.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
+def write_bed(packed: DataFrame, uri: str, individuals: int, markers: int) -> None:
+    """``packed``: marker_id (0 to markers - 1), packed. Tasks write rows at their places; a marker without a row has no copies."""
+    width = -(-individuals // 4)
+    size = len(HEADER) + markers * width
+    places.begin(uri, size)
+    head = places.Writer(uri)
+    head.put(0, HEADER)
+    head.close()
+    every = packed.sparkSession.range(markers).withColumnRenamed("id", "marker_id").join(packed.select(F.col("marker_id").cast("long").alias("marker_id"), "packed"), "marker_id", "left")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, done = places.Writer(uri), 0
+        for b in batches:
+            for marker, row in zip(b.column("marker_id").to_pylist(), b.column("packed"), strict=True):
+                file.put(len(HEADER) + marker * width, row.as_buffer().to_pybytes() if row.is_valid else b"\xff" * width)
+            done += b.num_rows
+        file.close()
+        yield pa.RecordBatch.from_arrays([pa.array([done])], names=["done"])
+
+    every.mapInArrow(put, "done long").agg(F.sum("done")).collect()
+    places.end(uri, size)
+
+
 class Block(InputPartition):
     def __init__(self, start: int, end: int):
         self.start, self.end = start, end

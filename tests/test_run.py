@@ -42,10 +42,10 @@ def test_prefix_by_levels(spark):
     from polymix.operators import stats
 
     rng = np.random.default_rng(1)
-    for keys in (range(-7, 40), rng.choice(1 << 40, 200, replace=False).tolist(), [-(1 << 63), -(1 << 63) + 1, -5, 0, 7, (1 << 63) - 1], [3], []):
+    for keys, widths in ((range(-7, 20), (5,)), (rng.choice(1 << 40, 100, replace=False).tolist(), (65536,)), ([-(1 << 63), -(1 << 63) + 1, -5, 0, 7, (1 << 63) - 1], (65536,)), ([3], (3,)), ([], (3,))):
         rows = [(int(k), int(v)) for k, v in zip(keys, rng.integers(0, 9, len(list(keys))))]
         df = spark.createDataFrame(rows, "k long, v long")
-        for width in (3, 65536):
+        for width in widths:
             got = stats.prefix(df, "k", F.col("v"), "before", width)
             want, total = [], 0
             for k, v in sorted(rows):
@@ -321,3 +321,110 @@ def test_a_survival_run(spark, tmp_path):
     assert np.isclose(line.mu, st.hyper.mu) and np.isclose(line.alpha, st.hyper.alpha)
     gam = spark.read.format("chainhistory").option("kind", "gam").load(f"file://{tmp_path}/w.gam").orderBy("iter").collect()
     assert [r.iter for r in gam] == [2, 4] and np.isclose(gam[-1].gamma[0], st.hyper.gamma[0])
+
+
+def test_traits_under_their_own_masks(spark, tmp_path):
+    from polymix.operators import chain, multi_trait
+
+    d, cells, x, beta, rng = simulated(spark, n=150, m=30)
+    d = np.where(np.arange(30) == 5, np.where(np.arange(150)[:, None] < 40, d, 0), d)  # varies only where the second trait isn't known
+    i, j = np.nonzero(d)
+    cells = spark.createDataFrame([(int(a) * 3, int(b), None if d[a, b] < 0 else int(d[a, b])) for a, b in zip(i, j)], "ind_id long, marker_id long, d int")
+    masks = np.stack([np.arange(150) % 7 != 2, np.arange(150) >= 40])
+    ys, xs = [], []
+    for t, mask in enumerate(masks):
+        e = d[mask]
+        known = e >= 0
+        mave = np.where(known, e, 0).sum(0) / np.maximum(known.sum(0), 1)
+        ss = (np.where(known, e - mave, 0) ** 2).sum(0)
+        xs.append(np.where(known, e - mave, 0) * np.where(ss > 0, np.sqrt((mask.sum() - 1) / np.where(ss > 0, ss, 1)), 0))
+        y = xs[-1][:, 3 + t] + rng.normal(0, 0.5, mask.sum())
+        ys.append((y - y.mean()) / y.std(ddof=1))
+    rows = [(3 * int(a), t, float(v)) for t in range(2) for a, v in zip(np.flatnonzero(masks[t]), ys[t])] + [(6, 0, None), (0, 1, None)]
+    traits = spark.createDataFrame(rows, "ind_id long, trait int, y double")
+    states, trace, store = multi_trait.run(spark, cells, traits, 4, chain.Settings(windows=2, blocks=2, threshold=0.4), f"file://{tmp_path}/m")
+    for t, st in enumerate(states):
+        own = dense(st, 30)
+        assert np.abs(st.eps + st.hyper.mu + xs[t] @ own - ys[t]).max() < 1e-8
+        assert np.abs(own).argmax() == 3 + t and [h[t].iteration for h in trace] == [1, 2, 3, 4]
+    assert dense(states[1], 30)[5] == 0
+    # the change of the residuals by joins
+    delta = spark.createDataFrame([(k, (k % 7 - 3) / 100) for k in range(30)], "marker_id long, delta_beta double")
+    got = {(r.trait, r.ind_id): r.delta_eps for r in multi_trait.trait_changes(cells, traits, delta).collect()}
+    want = {(t, 3 * int(a)): v for t in range(2) for a, v in zip(np.flatnonzero(masks[t]), xs[t] @ ((np.arange(30) % 7 - 3) / 100))}
+    assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
+
+
+def test_covariates_of_the_survival_model(spark, tmp_path):
+    from polymix.operators import chain, weibull
+
+    d, cells, x, beta, rng = simulated(spark, n=300, m=20, causal=0, seed=4, missing=0.0)
+    z = rng.normal(size=300)
+    y = 4.1 + 0.3 * z + (np.log(rng.exponential(size=300)) + weibull.EULER) / 8
+    cov = spark.createDataFrame([(3 * i, [float(v)]) for i, v in enumerate(z)], "ind_id long, x array<double>")
+    fail = spark.createDataFrame([(3 * i, 1) for i in range(300)], "ind_id long, fail int")
+    st, _, _ = chain.run(spark, cells, phenotype(spark, y), 12, chain.Settings(windows=1), f"file://{tmp_path}/w", covariates=cov, fail=fail, model=weibull.Weibull)
+    assert abs(st.hyper.gamma[0] - 0.3) < 0.05 and abs(st.hyper.mu - 4.1) < 0.1
+    assert np.abs(st.eps + st.hyper.mu + x @ dense(st, 20) + st.hyper.gamma[0] * z - y).max() < 1e-8
+
+
+def test_horseshoe_over_blocks(spark, tmp_path):
+    from polymix.operators import chain, horseshoe
+
+    d, cells, x, beta, rng = simulated(spark, n=250, m=40, causal=4, seed=6)
+    z = rng.normal(size=250)
+    y = x @ beta + 0.8 * z + rng.normal(0, 0.5, 250)
+    y = (y - y.mean()) / y.std(ddof=1)
+    groups = spark.createDataFrame([(j, j % 2) for j in range(40)], "marker_id long, grp int")
+    cov = spark.createDataFrame([(3 * i, [float(v)]) for i, v in enumerate(z)], "ind_id long, x array<double>")
+    s = chain.Settings(windows=2, blocks=2, mixture=((1.0,),), thin=2)
+    go = lambda until, home: chain.run(spark, cells, phenotype(spark, y), until, s, f"file://{tmp_path}/{home}", groups, cov, model=horseshoe.Horseshoe)
+    st, trace, store = go(6, "a")
+    assert np.abs(st.eps + st.hyper.mu + x @ dense(st, 40) + st.hyper.gamma[0] * z - y).max() < 1e-8
+    assert np.corrcoef(dense(st, 40), beta)[0, 1] > 0.7 and len(trace[0].slab) == 2 and all(h.tau > 0 for h in trace)
+    last = store.read("sweeps").filter("iter = 6 and part is null").collect()
+    assert len(last) == 40 and all(r.local > 0 for r in last)
+    go(3, "b")
+    again, _, _ = go(6, "b")
+    assert np.array_equal(again.key, st.key) and np.allclose(again.beta, st.beta) and np.isclose(again.hyper.tau, st.hyper.tau)
+
+
+def test_stream_over_a_chains_own_folder(spark, tmp_path):
+    from polymix.operators import chain
+    from polymix.streaming import monitor
+
+    d, cells, x, beta, rng = simulated(spark, n=80, m=12)
+    y, home, s = phenotype(spark, x[:, 2] + rng.normal(0, 0.5, 80)), f"file://{tmp_path}/c", chain.Settings(windows=2)
+    found = {}
+
+    def put(batch, number):
+        found.update({r.marker_id: r for r in batch.collect()})
+
+    go = lambda: monitor.chain_summary(spark, home, burn_in=1, files=3).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{tmp_path}/q").trigger(availableNow=True).start().awaitTermination()
+    for until in (2, 5):  # the query is started again on the chain as it has grown
+        _, _, store = chain.run(spark, cells, y, until, s, home)
+        go()
+    rows = {}
+    for r in chain.samples(store).filter("iter > 1").collect():
+        rows.setdefault(r.marker_id, []).append(r.beta)
+    assert found.keys() == rows.keys()
+    for m, v in rows.items():
+        assert (found[m].n, found[m].last) == (4, 5) and np.isclose(found[m]["mean"], np.mean(v)) and np.isclose(found[m].sd, np.std(v, ddof=1)) and np.isclose(found[m].pip, np.mean(np.array(v) != 0))
+
+
+def test_running_sketch_and_convergence():
+    from polymix.streaming.monitor import Running
+
+    rng = np.random.default_rng(1)
+    v = rng.normal(2, 3, 5000)
+    now = Running(None)
+    for i, x in enumerate(v):
+        now.add(i, float(x), int(x > 0))
+        now.add(i, 1e9, 1)  # a sweep that ran again
+    assert np.isclose(now.mean, v.mean()) and np.isclose(now.m2 / 4999, v.var(ddof=1)) and now.effects == (v > 0).sum()
+    assert abs(now.quantile(0.025) - np.quantile(v, 0.025)) < 0.4 and abs(now.quantile(0.5) - np.median(v)) < 0.3
+    assert len(now.points) <= 64 and len(now.ns) <= 16 and sum(now.ns) == 5000 and abs(now.rhat() - 1) < 0.02
+    away = Running(now.held())
+    for i in range(5000, 10_000):
+        away.add(i, float(rng.normal(12, 3)), 1)
+    assert away.rhat() > 1.5
