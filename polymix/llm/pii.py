@@ -109,6 +109,10 @@ def checked(digits: list[str], pure: list[bool]) -> set[int]:
     return found
 
 
+#: Feature of a word that is always outside.
+OUTSIDE = "outside"
+
+
 def runs(dial: list[bool], plus: list[bool], count: list[int]) -> list[int]:
     """Digits of each word and of the words around it that could be dialled with it: a + begins a number. Each end is that of the
     neighbour or the word's own, so a text of numbers costs its length once."""
@@ -136,6 +140,9 @@ def features(words: list[str], before: str, after: str) -> list[list[str]]:
     shapes = [shape(before), *map(shape, cut), shape(after)]
     rows = []
     for t, (p, s, n) in enumerate(zip(shapes, shapes[1:], shapes[2:], strict=False)):
+        if not _TRIGGER.search(words[t]):
+            rows.append([OUTSIDE] * 10)
+            continue
         facts = f"{t in good} {octets(cut[t])} {pure[t]}"
         rows.append([f"w{s}", f"b{p} {s[:2]}", f"a{n} {s[-2:]}", f"h{s[:2]}", f"t{s[-2:]}", f"c{p[:2]} {s[:3]}", f"f{facts}", f"r{min(20, run[t])} {s}", f"n{min(20, len(digits[t]))} {facts}", f"q{cue} {s[:1]}"])
     return rows
@@ -294,6 +301,9 @@ def fit_field(sentences: list[tuple[list[str], list[int]]], epochs: int = 100, r
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             w += rate * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8)
+    # the constraint: words of letters alone, which no segment holds
+    number[OUTSIDE] = len(number)
+    field.emit = np.vstack([field.emit[:-1], [0.0, *[-100.0] * (k - 1)], np.zeros(k)])
     return field
 
 
