@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import chunk_tokenizer
-from .common import saved, slices, whole_text
+from .common import saved, slices, trim, whole_text
 
 Config = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -164,7 +164,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, capaci
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with chunk_tokenizer(tokenizer, spaced) as encoder:
-            for part in (s for b in batches for s in slices(b, "text", 2_000_000)):
+            for part in (s for b in batches for s in slices(b, "text", 4_000_000)):
                 rows = []
                 ids, at = encoder.encode(part.column("text"))
                 for doc_id, which, x, y in zip(part.column("doc_id").to_pylist(), part.column("which").to_pylist(), at, at[1:], strict=False):
@@ -174,6 +174,8 @@ def pieces_of(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, capaci
                         rows.append((doc_id, which, k, a, b - a, zlib.crc32(wide[a:b].tobytes())))
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                del ids, at, rows, columns
+                trim()
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("which", F.xxhash64("text"))
     return base.mapInArrow(run, "doc_id long, which long, piece int, start long, length long, ids_crc32 long")

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from polymix.llm import exact_dedup, packing, pii
 from polymix.llm.common import shared_dir
@@ -28,6 +29,23 @@ def test_packing_against_the_library(spark):
     assert len({r.sequence_id for r in rows}) <= least + max(2, least // 100)
 
 
+@pytest.mark.parametrize(("name", "spaced"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_words_go_to_the_library_once(name, spaced):
+    """A task over 16 MB of documents meets some 150,000 words; the table must hold them within its bound."""
+    from polymix.llm.chunks import ChunkTokenizer
+
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    words = ["".join(letters[[x // 26**k % 26 for k in range(8)]]) for x in range(10**9, 10**9 + 150_000)]
+    batches = [pa.array(["x " + " ".join(words[i : i + 15_000])]) for i in range(0, len(words), 15_000)]
+    t, asked = ChunkTokenizer(P.path(name), spaced), []
+    t._words = lambda w, f=t._words: (asked.extend(w), f(w))[1]
+    first = [t.encode(b)[0].tolist() for b in batches]
+    assert len(asked) >= len(words)
+    asked.clear()
+    assert [t.encode(b)[0].tolist() for b in batches] == first
+    assert not asked
+
+
 @pytest.mark.parametrize("copies", [1, 3, 10_000])
 def test_most_sequences_come_from_the_program(copies):
     rng = np.random.default_rng(copies)
