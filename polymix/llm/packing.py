@@ -173,9 +173,10 @@ def pieces_of(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, capaci
                     for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                         rows.append((doc_id, which, k, a, b - a, zlib.crc32(wide[a:b].tobytes())))
                 columns = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
                 del ids, at, rows, columns
                 trim()
+                yield out
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("which", F.xxhash64("text"))
     return base.mapInArrow(run, "doc_id long, which long, piece int, start long, length long, ids_crc32 long")

@@ -1,7 +1,11 @@
 """Whole results against the libraries or brute force, and what a stop between two steps leaves."""
 
+import os
+import subprocess
+import sys
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -46,6 +50,41 @@ def test_words_go_to_the_library_once(name, spaced):
     assert not asked
 
 
+def test_memory_of_a_packing_task(spark, monkeypatch):
+    """What a worker holds after each slice, over 16 MB of words that are mostly new: in the pipeline it shares the executor's limit."""
+    from pyspark import cloudpickle
+
+    held = []
+    frame = type(spark.range(0))
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *_: held.append(f))
+    packing.pieces_of(spark.createDataFrame([], "doc_id long, text string"), P.path("byte_bpe_50k.json"), True, 0, 2048)
+    own = """
+import pickle, sys
+import numpy as np, pyarrow as pa, pyarrow.compute
+run, used = pickle.load(sys.stdin.buffer), lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6
+rng, found = np.random.default_rng(5), []
+bits = np.array([a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in "nrst"])
+def batches():
+    for i in range(8):
+        n = np.minimum(rng.geometric(0.4, 250_000), 4)
+        at = np.minimum(rng.geometric(0.02, n.sum()) - 1, len(bits) - 1)
+        words = ["".join(x) for x in np.split(bits[at], np.cumsum(n)[:-1])]
+        texts = [" ".join(words[k : k + 500]) for k in range(0, len(words), 500)]
+        del words
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(range(500), pa.int64()), "text": pa.array(texts), "which": pa.array([0] * 500, pa.int64())})
+made = [*batches()]
+pa.default_memory_pool().release_unused()
+import ctypes; ctypes.CDLL(None).malloc_trim(0)
+before = used()
+for _ in run(iter(made)):
+    found.append(used() - before)
+print(max(found))
+"""
+    root = str(Path(packing.__file__).parents[2])
+    got = subprocess.run([sys.executable, "-c", own], input=cloudpickle.dumps(held[0]), capture_output=True, check=True, env=os.environ | {"PYTHONPATH": root}, timeout=120)
+    assert float(got.stdout) < 100, got.stdout  # MB
+
+
 @pytest.mark.parametrize("copies", [1, 3, 10_000])
 def test_most_sequences_come_from_the_program(copies):
     rng = np.random.default_rng(copies)
