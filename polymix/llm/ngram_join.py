@@ -7,7 +7,9 @@
    are written; a doc_id only names the component at the end, so it may be null or repeat.
 3. Stars: classes that share the smallest hash of one of some permutations are compared with one of them. All classes that
    these links join take one label, so the members of a large cluster of near copies need not be paired.
-   Groups of near copies that stay apart are compared, token by token of their prefixes, with the first and the last group that holds it.
+   Groups of near copies that stay apart are compared, token by token of their prefixes, with the most central group that holds it, then
+   with the most central ones of a few lots. A group is central if the tokens of its prefix are held by many: a copy with few changes
+   of its own links with most of the others, a random one with few.
 4. Groups that share a token of their prefixes, fit in size and don't have one label alone meet at places where their first shared
    token may lie, and are candidates if what they share there and all that is left can make a link. Tokens whose groups
    all have one label are dropped before the join. Where both groups are one class each, their parity bitmaps must not differ in more
@@ -36,6 +38,8 @@ COUNT_BITS, BLOCK = 21, 65536
 #: Bits of a set's parity bitmap.
 PARITY = 512
 STARS = 3
+#: Lots of groups that have a hub each, by round.
+LOTS = (1, 3)
 #: Partners of one class that meet in one place; more are spread, and the class's text goes to each place.
 FAN = 64
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -202,11 +206,18 @@ def least_shared(a: str, b: str, percent: int) -> Column:
     return least_common(a, b, percent) + F.least(over(a), over(b))
 
 
-def hubs(tokens: DataFrame, order: Column, percent: int) -> DataFrame:
-    """Pairs (a, b) of groups: of the groups that hold a token and have several labels, each with the first in ``order``, where they share at least half of what
-    a link needs. A row per group and token at most."""
-    first = tokens.groupBy("token").agg(F.min(F.struct(order.alias("o"), "gid", "n", "low", "high")).alias("c"), F.count("*").alias("g"), F.min("low").alias("l"), F.max("high").alias("h"))
-    first = first.filter("g > 2 and l < h").select("token", F.col("c.gid").alias("a"), F.col("c.n").alias("na"), F.col("c.low").alias("la"), F.col("c.high").alias("ha"))
+def central(tokens: DataFrame, percent: int) -> DataFrame:
+    """With ``central``: how many groups (g) hold a token of the group's prefix, on average. Tokens that are left out count as 0."""
+    prefix = F.expr(f"n - (n * {percent} + 99) div 100 + 1")
+    return tokens.withColumn("central", F.sum("g").over(Window.partitionBy("gid")) / prefix)
+
+
+def hubs(tokens: DataFrame, lots: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of groups: of more than two groups that hold a token and have several labels, each with the most central one of each lot, where
+    they share at least half of what a link needs. ``lots`` rows per group and token at most."""
+    tokens = tokens.filter("g > 2")
+    first = tokens.groupBy("token", F.pmod(F.xxhash64("gid"), F.lit(lots)).alias("lot")).agg(F.min(F.struct((-F.col("central")).alias("o"), "gid", "n", "low", "high")).alias("c"))
+    first = first.select("token", F.col("c.gid").alias("a"), F.col("c.n").alias("na"), F.col("c.low").alias("la"), F.col("c.high").alias("ha"))
     met = tokens.join(first, "token").filter((F.col("gid") != F.col("a")) & _fits("n", "na", percent) & ((F.col("low") < F.col("ha")) | (F.col("la") < F.col("high"))))
     met = met.groupBy("a", "gid", "n", "na").agg(F.count("*").alias("c")).filter(2 * F.col("c") >= least_shared("n", "na", percent))
     return met.select("a", F.col("gid").alias("b"))
@@ -314,14 +325,14 @@ def placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     tokens = heads.select(F.col("cid").alias("gid"), "n", "low", "high", F.posexplode("prefix").alias("pos", "token"))
     # partial sums before the shuffle: a token that very many groups hold is a row per task
     held = tokens.groupBy("token").agg(F.count("*").alias("g"), F.min("low").alias("least_label"), F.max("high").alias("most_label"))
-    held = saved(held.filter("g > 1 and least_label < most_label").select("token"), "held")
-    tokens = saved(tokens.join(sized(held, 20), "token"), "tokens")
+    held = saved(held.filter("g > 1 and least_label < most_label").select("token", "g"), "held")
+    tokens = saved(central(tokens.join(sized(held, 28), "token"), percent), "tokens")
     bits = saved(wide.select(F.col("cid").alias("gid"), "bits"), "bits")
     discard(wide, held)
-    # groups of near copies that the stars left apart: a token's groups are compared with one of them, from both ends of the order
+    # groups of near copies that the stars left apart: a token's groups are compared with a few of them
     links = labels.filter("label < cid").select(F.col("label").alias("a"), F.col("cid").alias("b"))
-    for order in (F.col("gid"), -F.col("gid")):
-        links = links.union(verified(hubs(tokens, order, percent).distinct(), base, classes, width, percent))
+    for lots in LOTS:
+        links = links.union(verified(hubs(tokens, lots, percent).distinct(), base, classes, width, percent))
         labels = components(links).select(F.col("node").alias("cid"), F.col("component").alias("label"))
         classes = saved(classes.drop("label").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "labelled")
         groups = saved(classes.groupBy("head", "n").agg(F.min("cid").alias("gid"), F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high")), "groups")

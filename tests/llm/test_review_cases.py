@@ -69,3 +69,37 @@ def test_parity_bitmaps_keep_every_link(spark):
             b = np.union1d(kept, rng.integers(0, 1 << 63, n // 20).astype(np.uint64))
             apart = sum(int(x).bit_count() for x in (parity(a) ^ parity(b)).view(np.uint64))
             assert apart <= len(np.setxor1d(a, b))
+
+
+def test_a_group_of_near_copies_is_not_paired_with_itself(spark, monkeypatch):
+    """Copies with one to three changed words: few pairs are compared for each, whatever the size of the group, and no link is lost."""
+    from polymix.llm import ngram_join
+
+    compared, kept = [], ngram_join.saved
+
+    def saved(df, what):
+        out = kept(df, what)
+        if what == "pairs":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "saved", saved)
+    rng = np.random.default_rng(11)
+    first = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    texts = []
+    for i in range(600):
+        words = list(first)
+        for at in rng.choice(150, 0 if i == 300 else rng.integers(1, 4), replace=False):
+            words[at] = f"x{rng.integers(0, 1 << 40)}"
+        texts.append(words)
+    sets = [{tuple(w[k : k + 5]) for k in range(146)} for w in texts]
+    label = list(range(600))
+    for i in range(600):
+        for j in range(i):
+            if label[i] != label[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(df, 5, 80).collect()}
+    assert got == dict(enumerate(label))
+    assert sum(compared) <= 6 * len(texts), compared
