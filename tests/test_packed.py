@@ -31,6 +31,14 @@ def test_tiles_hold_the_parts_with_a_cell():
     assert all(np.array_equal(x, y) for x, y in zip(t.cells(), (marker, ind, code), strict=True))
 
 
+def test_packing_takes_no_more_than_the_cells(spark):
+    """A row over these individuals would take 256 MB."""
+    from polymix.operators import packed
+
+    got = {(r.marker_id, i, d) for r in packed.tile_lists(cells(spark)).collect() for i, d in zip(r.ind, r.d, strict=True)}
+    assert got == set(CELLS)
+
+
 @pytest.mark.parametrize("at_once", ["2", "10000"])
 def test_markers_over_several_batches_stay_whole(spark, at_once):
     from polymix.operators import packed
