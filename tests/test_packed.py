@@ -41,7 +41,7 @@ def test_packing_takes_no_more_than_the_cells(spark):
 
 @pytest.mark.parametrize("at_once", ["2", "10000"])
 def test_markers_over_several_batches_stay_whole(spark, at_once):
-    from polymix.operators import packed
+    from polymix.operators import chain, packed
 
     n = 300
     d = np.random.default_rng(2).choice([0, 0, 1, 2, -1], (n, 7))
@@ -52,6 +52,8 @@ def test_markers_over_several_batches_stay_whole(spark, at_once):
     try:
         v = np.random.default_rng(3).normal(size=n)
         dots = {r.marker_id: r.num for r in packed.tile_products(cells(spark, rows), v).collect()}
+        moved = spark.createDataFrame([(j, 0.1 * j) for j in range(1, 9)], "marker_id int, delta_beta double")
+        change = {r.ind: r.delta_eps for r in chain.packed_change(cells(spark, rows), moved, n).collect()}
     finally:
         spark.conf.set(name, was)
     known = d >= 0
@@ -59,3 +61,4 @@ def test_markers_over_several_batches_stay_whole(spark, at_once):
     x = np.where(known, d - mave, 0)
     x *= np.sqrt((n - 1) / (x**2).sum(0))
     assert len(dots) == 7 and all(np.isclose(dots[j], x[:, j] @ v) for j in range(7))
+    assert len(change) == n and np.allclose([change[i] for i in range(n)], x @ (0.1 * np.arange(7)))
