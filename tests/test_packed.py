@@ -135,3 +135,17 @@ def test_moves_cost_their_cells(monkeypatch, model, masked):
         assert np.isclose(total, v.sum()) and np.isclose(one, v[(d[:, j] == 1) & mask].sum()) and np.isclose(miss, v[(d[:, j] < 0) & mask].sum())
     if model == "gaussian":
         assert sum(whole) <= 2 + m // 7 + m
+
+
+def test_files_of_packed_rows_are_written_from_tiles(spark, tmp_path):
+    """Rows of 4 MB: no row goes through a shuffle, and unpacking takes a few of them at a time."""
+    from polymix.sources import bed, sparse
+
+    n = (16 << 20) - 3
+    rows = [(m, i, d) for m in (1, 2, 5, 8) for i, d in ((m, 1), (n // 2 + m, 2), (n - 1, None))]
+    bed.write_bed(cells(spark, rows), f"file://{tmp_path}/g.bed", n, 9)
+    assert (tmp_path / "g.bed").stat().st_size == 3 + 9 * (4 << 20) and bed.markers_in(f"{tmp_path}/g.bed", n) == 9
+    sparse.bed_to_sparse(spark, f"{tmp_path}/g.bed", f"{tmp_path}/s", n, block=3)
+    spark.dataSource.register(sparse.SparseSource)
+    back = sparse.cells(spark.read.format("sparsegeno").load(f"{tmp_path}/s"))
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
